@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintflow.llm import formatdup, pii
+from glintflow.llm import formatdup, leakage, pairs, pii, reading, tokens
 from glintflow.sources.tables import table
 
 
@@ -33,7 +33,23 @@ def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return formatdup.collapsed(table(spark, d, _SAMPLES[0]), *_SAMPLES).unionByName(formatdup.collapsed(table(spark, d, _PATTERNS[0]), *_PATTERNS))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_collapsed": p4_collapsed}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "ml_training_examples"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encoded(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+QUERIES = {"p5_found": p5_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_collapsed": p4_collapsed}
 
 _P4 = r"""
 WITH raw AS (
