@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from glintflow.llm import bytetext
 from glintflow.llm.leakage import shards
 
-MAX_LABELLED = 20_000
+MAX_LABELLED = 10_000
 LEAST_WORDS = 40
 LEVELS = 5
 ENGLISH = 0.62  # least share of English function words among those of English and the next language
