@@ -98,7 +98,7 @@ def language_of(path: Column) -> Column:
 def normal_message(message: Column) -> Column:
     """The first that applies: runs of spaces to one, trailing full stops off, a capital first letter."""
     return (
-        F.when(message.contains("  "), F.trim(F.regexp_replace(message, r"\s+", " ")))
+        F.when(message.contains("  "), F.trim(F.regexp_replace(message, r"[\s\p{Z}]+", " ")))
         .when(message.endswith("."), F.regexp_replace(message, r"\.+$", ""))
         .when(message.rlike("^[a-z]"), F.concat(F.upper(F.substring(message, 1, 1)), F.regexp_replace(message, "(?s)^.", "")))
         .otherwise(message)

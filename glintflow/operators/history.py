@@ -121,7 +121,7 @@ def patterns_of(diagnostics: DataFrame) -> DataFrame:
     """Error patterns derived from diagnostics: a hash of message, code and source, with counts."""
     key = F.substring(F.sha2(F.concat_ws("\x1f", F.coalesce("message", F.lit("")), F.coalesce("code", F.lit("")), F.coalesce("source", F.lit(""))), 256), 1, 20)
     files = diagnostics.groupBy(key.alias("pattern_hash"), "file").agg(F.count(F.lit(1)).alias("n"), F.min("message").alias("m"), F.min("code").alias("c"), F.min("source").alias("s"))
-    return files.groupBy("pattern_hash").agg(F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("files_affected"), F.min("m").alias("error_message"), F.min("c").alias("error_code"), F.min("s").alias("source"))
+    return files.groupBy("pattern_hash").agg(F.sum("n").alias("occurrence_count"), F.count("file").alias("files_affected"), F.min("m").alias("error_message"), F.min("c").alias("error_code"), F.min("s").alias("source"))
 
 
 def fix_minutes(categories: DataFrame) -> DataFrame:

@@ -45,16 +45,21 @@ def cross_repo_relations(diagnostics: DataFrame, repository: str) -> DataFrame:
     for keys, p in tables:
         g = flags(keys, p)
         renamed = reduce(lambda d, k: d.withColumnRenamed(k, f"_{k}"), keys, g)
-        on = reduce(lambda x, y: x & y, (out[k].eqNullSafe(renamed[f"_{k}"]) for k in keys))
+        on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
         out = out.join(renamed, on).drop(*(f"_{k}" for k in keys))
     everything = flags([], "w").withColumn("_one", F.lit(1))
     out = out.withColumn("_one", F.lit(1)).join(F.broadcast(everything), "_one").drop("_one")  # one row
 
     def others(t: bool, a: bool, scope: str) -> Column:
-        """Rows of other repositories with the flags, in all (w), of the code (c), of the name (f) or of both (cf); a null code is no code."""
+        """Rows of other repositories with the flags, in all (w), of the code (c), of the name (f) or of both (cf); nulls equal nothing."""
         own = {"w": "r", "c": "rc", "f": "rf", "cf": "rcf"}[scope]
         n = F.col(f"{scope}{int(t)}{int(a)}") - F.col(f"{own}{int(t)}{int(a)}")
-        return F.when(F.col("code").isNull(), 0).otherwise(n) if scope.startswith("c") else n
+        unknown = F.lit(False)
+        if scope.startswith("c"):
+            unknown = unknown | F.col("code").isNull()
+        if scope.endswith("f"):
+            unknown = unknown | F.col("name").isNull()
+        return F.when(unknown, 0).otherwise(n)
 
     four = [(t, a) for t in (False, True) for a in (False, True)]
     add = lambda cs: reduce(lambda x, y: x + y, cs, F.lit(0))
@@ -65,9 +70,9 @@ def cross_repo_relations(diagnostics: DataFrame, repository: str) -> DataFrame:
     api = add(F.when(open_(t) & (F.col("a") | F.lit(a)), rest(t, a, "w", "c")).otherwise(0) for t, a in four)
     named = add(F.when(open_(t) & ~(F.col("a") | F.lit(a)), rest(t, a, "f", "cf")).otherwise(0) for t, a in four)
     counts = out.select("repo", "code", "name", "t", "a", same.cast("bigint").alias("same_pattern"), typed.cast("bigint").alias("type_mismatch"), api.cast("bigint").alias("api_violation"), named.cast("bigint").alias("similar_code"))
-    cond = reduce(lambda x, y: x & y, (rows[k].eqNullSafe(counts[k]) for k in ("repo", "code", "name", "t", "a")))
-    kinds = list(RELATION_BONUS)
-    return rows.join(counts, cond).select(rows["id"], rows["severity"], rows["repo"], *kinds)
+    keys = ("repo", "code", "name", "t", "a")
+    counts = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), *RELATION_BONUS)
+    return rows.join(counts, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))).select("id", "severity", "repo", *RELATION_BONUS)
 
 
 def cross_repo_impact(relations: DataFrame) -> DataFrame:

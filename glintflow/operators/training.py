@@ -19,7 +19,7 @@ def with_metadata(examples: DataFrame) -> DataFrame:
 def dataset_statistics(examples: DataFrame) -> DataFrame:
     """(statistic, key, n): pairs by language, confidence bucket and format, from one pass."""
     e = with_metadata(examples)
-    each = F.explode(F.array(F.struct(F.lit("language").alias("statistic"), F.coalesce("language", F.lit("unknown")).alias("key")), F.struct(F.lit("confidence"), F.when(F.col("confidence").isNull(), "unknown").otherwise(confidence_bucket(F.col("confidence")))), F.struct(F.lit("format"), F.col("format"))))
+    each = F.explode(F.array(F.struct(F.lit("language").alias("statistic"), F.coalesce("language", F.lit("unknown")).alias("key")), F.struct(F.lit("confidence").alias("statistic"), F.when(F.col("confidence").isNull(), "unknown").otherwise(confidence_bucket(F.col("confidence"))).alias("key")), F.struct(F.lit("format").alias("statistic"), F.col("format").alias("key"))))
     return e.select(each.alias("s")).groupBy("s.statistic", "s.key").agg(F.count(F.lit(1)).alias("n"))
 
 

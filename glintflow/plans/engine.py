@@ -33,7 +33,7 @@ def references_view(diagnostics: DataFrame) -> DataFrame:
 def projects_view(diagnostics: DataFrame) -> DataFrame:
     """Per project: files, diagnostics and errors. Per file first, so that the count of files needs no distinct set."""
     files = diagnostics.groupBy(project_of(F.col("file")).alias("project"), "file").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "Error").alias("e"))
-    return files.groupBy("project").agg(F.count(F.lit(1)).alias("file_count"), F.sum("n").alias("diagnostic_count"), F.sum("e").alias("error_count"))
+    return files.groupBy("project").agg(F.count("file").alias("file_count"), F.sum("n").alias("diagnostic_count"), F.sum("e").alias("error_count"))
 
 
 def history_view(snapshots: DataFrame) -> DataFrame:
