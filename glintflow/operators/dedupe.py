@@ -68,35 +68,52 @@ def _match(a: _Facts, b: _Facts) -> str | None:
     return None
 
 
+def _fold(rows: list) -> list[tuple]:
+    """The groups of one file's rows, which come in order of line, severity and arrival."""
+    facts = [_Facts(r) for r in rows]
+    taken: set[str] = set()
+    out = []
+    for i, a in enumerate(facts):
+        if a.id in taken:
+            continue
+        related, sure = [], 1.0
+        for j, b in enumerate(facts):
+            if i == j or b.id in taken or (rule := _match(a, b)) is None:
+                continue
+            related.append(b.id)
+            taken.add(b.id)
+            sure = min(sure, CONFIDENCE[rule])
+        taken.add(a.id)
+        out.append((rows[0].file, a.id, a.severity, a.line, related, sure))
+    return out
+
+
 def grouped(diagnostics: DataFrame) -> DataFrame:
     """Groups of related diagnostics: greedy in order of line, severity and arrival, one file at a time.
 
-    The rule is a sequential fold and all rules ask for the same file, so each file is one call. A file's diagnostics must fit a
-    task; the files are spread by hash.
+    The rule is a sequential fold and all rules ask for the same file. Rows are spread by file and sorted, and each partition is read as a
+    stream in which the files follow one another: a call a batch instead of one a file. One file's diagnostics must fit a task.
     """
+    from collections.abc import Iterator
+
     import pandas as pd
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["line", "severity_rank", "id"], kind="stable")
-        facts = [_Facts(r) for r in pdf.itertuples(index=False)]
-        taken: set[str] = set()
-        out = []
-        for i, a in enumerate(facts):
-            if a.id in taken:
-                continue
-            related, sure = [], 1.0
-            for j, b in enumerate(facts):
-                if i == j or b.id in taken or (rule := _match(a, b)) is None:
-                    continue
-                related.append(b.id)
-                taken.add(b.id)
-                sure = min(sure, CONFIDENCE[rule])
-            taken.add(a.id)
-            out.append((pdf["file"].iloc[0], a.id, a.severity, a.line, related, sure))
-        return pd.DataFrame(out, columns=["file", "primary_id", "severity", "line", "related", "confidence"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        columns = ["file", "primary_id", "severity", "line", "related", "confidence"]
+        for pdf in batches:
+            out: list[tuple] = []
+            for r in pdf.itertuples(index=False):
+                if held and held[0].file != r.file:
+                    out += _fold(held)
+                    held = []
+                held.append(r)
+            yield pd.DataFrame(out, columns=columns)
+        if held:
+            yield pd.DataFrame(_fold(held), columns=columns)
 
     rows = diagnostics.where("file IS NOT NULL AND id IS NOT NULL").select("id", "file", "line", "column", "severity", "severity_rank", "message", "source")
-    return rows.groupBy("file").applyInPandas(fold, GROUP_SCHEMA)
+    return rows.repartition("file").sortWithinPartitions("file", "line", "severity_rank", "id").mapInPandas(run, GROUP_SCHEMA)
 
 
 def group_summary(groups: DataFrame) -> DataFrame:
