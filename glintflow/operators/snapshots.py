@@ -36,11 +36,12 @@ def normal_path(path: Column) -> Column:
 def snapshot_rows(snapshots: DataFrame) -> DataFrame:
     """Valid snapshots as (file_path, ts, diags): diags is an array of (id, digest) sorted by id."""
     json = F.col("diagnostics_json")
-    complete = json.rlike(r"^\s*\[[\s\S]*\]\s*$")  # parse_json alone would pass over text after the array
-    parsed = F.when(complete, F.try_parse_json(json))
+    # parse_json passes over text after a value; as the only element of an array nothing can follow it
+    outer = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), json, F.lit("]"))), "$", "array<variant>")
+    items = F.when((F.size(outer) == 1) & json.rlike(r"^\s*\["), F.try_variant_get(F.get(outer, 0), "$", "array<variant>"))
     rows = (
         snapshots.where("file_path IS NOT NULL AND timestamp IS NOT NULL")
-        .select(normal_path(F.col("file_path")).alias("file_path"), F.col("timestamp").cast("bigint").alias("ts"), F.col("id").alias("_id"), F.try_variant_get(parsed, "$", "array<variant>").alias("_a"))
+        .select(normal_path(F.col("file_path")).alias("file_path"), F.col("timestamp").cast("bigint").alias("ts"), F.col("id").alias("_id"), items.alias("_a"))
         .where("_a IS NOT NULL")
     )
     # a variant keeps its keys sorted, so its text has one order; nulls are taken out, as absent ones are

@@ -224,7 +224,7 @@ def _(spark, d):
     return history.time_series(snaps(spark, d), 86_400, 1706745600, 1730419200)
 
 
-@query("w_velocity", "SELECT sum(error_count) / 24.0 AS error_velocity, sum(warning_count) / 24.0 AS warning_velocity FROM diagnostic_snapshots WHERE timestamp BETWEEN 1719792000 AND 1719878400")
+@query("w_velocity", "SELECT coalesce(sum(error_count), 0) / 24.0 AS error_velocity, coalesce(sum(warning_count), 0) / 24.0 AS warning_velocity FROM diagnostic_snapshots WHERE timestamp BETWEEN 1719792000 AND 1719878400")
 def _(spark, d):
     return history.velocity(history.time_series(snaps(spark, d), 3600, 1719792000, 1719878400), 86_400)
 
