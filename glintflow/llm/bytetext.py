@@ -91,3 +91,16 @@ def hashed(texts: list[str]) -> list[np.ndarray]:
     """Word hashes of each text of a short list."""
     h, before = words(*plain(pa.array(texts, pa.large_string())))
     return [h[before[i] : before[i + 1]] for i in range(len(texts))]
+
+
+def split(text: str) -> list[str]:
+    """The words of one text as ``words`` cuts them."""
+    a, _ = plain(pa.array([text], pa.large_string()))
+    out, word = [], bytearray()
+    for b in a.tolist():
+        if _LETTER[b]:
+            word.append(b)
+        elif word:
+            out.append(word.decode("utf-8", "replace"))
+            word = bytearray()
+    return [*out, word.decode("utf-8", "replace")] if word else out

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from glintflow.llm import bytetext
 
-SHARE, LEAST = 0.3, 15
-SMALL, INTERRUPTION = 4, 90
+SHARE, LEAST = 0.32, 15
+SMALL, INTERRUPTION, OTHER_NUMBER = 4, 90, 4
 SKIPPED, NEEDED = 6, LEAST - 2
 BLOCK = 20_000
 SHARD = 4 << 20  # bytes of text in a shard
@@ -48,6 +48,7 @@ class Passages:
         hashes = bytetext.hashed([p for _, p in items])
         kept = [(i, h) for (i, _), h in zip(items, hashes, strict=True) if len(h) >= LEAST]
         self.ids = [i for i, _ in kept]
+        self.numeric = [np.array([w.isdigit() for w in bytetext.split(p)], bool) for i, p in items if i in set(self.ids)]
         self.words = [h for _, h in kept]
         self.vocabulary = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
         v = np.int64(len(self.vocabulary) + 1)
@@ -95,14 +96,15 @@ class Passages:
         out = []
         for key in pairs[counts >= NEEDED - SKIPPED].tolist():
             d, i = divmod(key, len(self.ids))
-            matched, score = chain(c[before[d] : before[d + 1]], self.codes[i])
+            matched, score = chain(c[before[d] : before[d + 1]], self.codes[i], self.numeric[i])
             if matched >= max(LEAST, SHARE * len(self.codes[i])) and score >= LEAST:
                 out.append((d, i))
         return out
 
 
-def chain(doc: np.ndarray, passage: np.ndarray) -> tuple[int, float]:
+def chain(doc: np.ndarray, passage: np.ndarray, numeric: np.ndarray) -> tuple[int, float]:
     """(matched words, matched words less costs) of the best chain of runs of equal words."""
+    numbers = np.concatenate([[0], np.cumsum(numeric)]).tolist()
     order = np.argsort(passage, kind="stable")
     sorted_passage = passage[order]
     lo, hi = np.searchsorted(sorted_passage, doc, "left"), np.searchsorted(sorted_passage, doc, "right")
@@ -134,7 +136,8 @@ def chain(doc: np.ndarray, passage: np.ndarray) -> tuple[int, float]:
                 continue
             gap_d, gap_p, more = gap_d + shared, gap_p + shared, size_j - shared
             if gap_d <= SMALL and gap_p <= SMALL:
-                cost = 1 + max(gap_d, gap_p)
+                wide = max(gap_d, gap_p)
+                cost = 1 + (2 * wide if gap_d and gap_p and wide > 1 else wide) + (OTHER_NUMBER if gap_d and numbers[b + shared] > numbers[b2 + size_i] else 0)
                 (w, wn), (x, xn) = best[i]
                 whole = max(whole, (w + more - cost, wn + more))
                 broken = max(broken, (x + more - cost, xn + more))

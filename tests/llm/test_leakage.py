@@ -68,7 +68,7 @@ def test_index_loses_nothing_against_all_pairs(spark, tiny):
         for i, passage in enumerate(p.codes):
             if len(np.intersect1d(mine, passage)) < 10:
                 continue
-            matched, score = leakage.chain(mine, passage)
+            matched, score = leakage.chain(mine, passage, p.numeric[i])
             if matched >= max(leakage.LEAST, leakage.SHARE * len(passage)) and score >= leakage.LEAST:
                 want.add((d, i))
     assert set(p.search(h, before)) == want and want
