@@ -841,3 +841,27 @@ def _(spark, d):
 @query("k_chart")
 def _(spark, d):
     return export.series_chart(history.time_series(snaps(spark, d), 86_400), "bucket", ["total_errors", "total_warnings"], "diagnostics")
+
+
+# ---- code
+
+
+@query("x_applied_edit", _META + r""", c AS (SELECT example_id AS code_id, regexp_extract(completion, '(?s)```\w*\n(.*?)```', 1) AS code FROM e WHERE completion IS NOT NULL) SELECT code_id, '[' || code[1:2] || ']' || code[3:] AS code FROM c WHERE length(string_split(code, chr(10))[1]) >= 2
+ UNION ALL SELECT code_id, code FROM c WHERE code <> '' AND length(string_split(code, chr(10))[1]) < 2""")
+def _(spark, d):
+    from glintflow.functions.code import applied_edit
+
+    first = F.concat(F.lit("["), F.substring("code", 1, 2), F.lit("]"))
+    zero, two = F.lit(0), F.lit(2)
+    return _code(spark, d).select("code_id", applied_edit(F.col("code"), zero, zero, zero, two, first).alias("code"))
+
+
+@query("m_definitions", _META + r""", c AS (SELECT example_id AS code_id, language, regexp_extract(completion, '(?s)```\w*\n(.*?)```', 1) AS code FROM e WHERE completion IS NOT NULL), l AS (SELECT code_id, language, unnest(string_split(code, chr(10))) AS line, generate_subscripts(string_split(code, chr(10)), 1) - 1 AS line_no FROM c WHERE code <> ''),
+ p AS (SELECT code_id, line_no, line, CASE language WHEN 'typescript' THEN '\b(function|class|interface)\s+([A-Za-z_$][\w$]*)' WHEN 'python' THEN '^\s*(def|class)\s+([A-Za-z_]\w*)' WHEN 'rust' THEN '\b(fn|struct|enum|trait|impl)\s+([A-Za-z_]\w*)' WHEN 'go' THEN '\b(func|type)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)' END AS r FROM l),
+ x AS (SELECT code_id, line_no, CASE r WHEN '\b(function|class|interface)\s+([A-Za-z_$][\w$]*)' THEN regexp_extract(line, '\b(function|class|interface)\s+([A-Za-z_$][\w$]*)', ['w', 'n']) WHEN '^\s*(def|class)\s+([A-Za-z_]\w*)' THEN regexp_extract(line, '^\s*(def|class)\s+([A-Za-z_]\w*)', ['w', 'n'])
+   WHEN '\b(fn|struct|enum|trait|impl)\s+([A-Za-z_]\w*)' THEN regexp_extract(line, '\b(fn|struct|enum|trait|impl)\s+([A-Za-z_]\w*)', ['w', 'n']) ELSE regexp_extract(line, '\b(func|type)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)', ['w', 'n']) END AS m FROM p WHERE r IS NOT NULL)
+ SELECT code_id, CAST(line_no AS INT) AS line_no, CASE WHEN m.w IN ('function', 'def', 'fn', 'func') THEN 'function' ELSE 'type' END AS kind, m.n AS name FROM x WHERE m.n <> ''""")
+def _(spark, d):
+    from glintflow.functions.code import definitions
+
+    return definitions(_code(spark, d))

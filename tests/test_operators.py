@@ -143,3 +143,14 @@ def test_exports(spark, tmp_path):
     assert json.loads(export.chart_document(c, "line", "plotly"))["data"][0]["y"] == [5.0, 2.0]
     for w in ("plain", "chartjs", "vega", "html"):
         assert "5.0" in export.chart_document(c, "line", w)
+
+
+@pytest.mark.parametrize(
+    "place, new, want",
+    [((0, 0, 0, 0), "X", "Xab\ncd\nef"), ((0, 1, 1, 1), "-", "a-d\nef"), ((2, 2, 2, 2), "!", "ab\ncd\nef!"), ((1, 0, 2, 0), "", "ab\nef"), ((0, 0, 2, 2), "q", "q"), ((0, 3, 0, 3), "X", "ab\ncd\nef"), ((2, 0, 3, 0), "X", "ab\ncd\nef"), ((1, 1, 1, 0), "X", "ab\ncd\nef")],
+)
+def test_edits(spark, place, new, want):
+    from glintflow.functions.code import applied_edit
+
+    df = spark.createDataFrame([("ab\ncd\nef", *place, new)], "t string, a int, b int, c int, d int, n string")
+    assert df.select(applied_edit(*(F.col(c) for c in "tabcdn"))).first()[0] == want
