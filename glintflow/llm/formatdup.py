@@ -7,7 +7,7 @@ confirmed by the whole normalised structure, which is part of the grouping key,
 records. The grouping has partial sums: a record with a third of all rows as copies is one row a task.
 
 To give each copy its group's first id, the groups with the most copies (``HOT`` of them, a fixed
-number) are broadcast and all others are joined by digest, so that no hot group reaches one task.
+number) are broadcast and all others are joined by digest; records of hot groups pass that join under keys of their own, so that no hot group reaches one task.
 
 Defined results
 ---------------
@@ -74,7 +74,10 @@ def copies(rows: DataFrame, table_name: str, record_id: str, message: str, code:
     # two records under one digest differ in a field: the record's leaves go into the key of the join as well
     heads = one.where("_last <> first_id").select(F.struct("root", *FIELDS).alias("_k"), "first_id", "_n")
     hot = heads.orderBy(F.desc("_n"), "first_id").limit(HOT).select("_k", F.col("first_id").alias("_hot"))  # at most HOT rows
-    keyed = records.select("id", F.struct("root", *FIELDS).alias("_k")).join(F.broadcast(hot), "_k", "left")
-    cold = keyed.where("_hot IS NULL").select("id", "_k").join(heads.select("_k", "first_id"), "_k")
-    found = keyed.where("_hot IS NOT NULL").select("id", F.col("_hot").alias("first_id")).unionByName(cold.select("id", "first_id"))
+    key = F.struct("root", *FIELDS)
+    keyed = records.select("id", key.alias("_k")).join(F.broadcast(hot), "_k", "left")
+    # one pass over the records: those of hot groups are known by now and go on under a key of their own, which no group has
+    own = F.struct(F.concat(F.lit("#"), "id").alias("root"), *(F.lit("").alias(f) for f in FIELDS))
+    spread = keyed.select("id", "_hot", F.when(F.col("_hot").isNull(), F.col("_k")).otherwise(own).alias("_k"))
+    found = spread.join(heads.select("_k", "first_id"), "_k", "left").select("id", F.coalesce("_hot", "first_id").alias("first_id"))
     return found.where("id <> first_id").select(F.lit(table_name).alias("table_name"), "first_id", F.col("id").alias("copy_id")).distinct()
