@@ -75,27 +75,41 @@ def volatility(snapshots: DataFrame) -> DataFrame:
 
 
 def file_trends(snapshots: DataFrame, compat: bool = False) -> DataFrame:
-    """Mean of a file's later half less that of its earlier half, errors counting twice. compat: with the newest first."""
-    order = [F.desc("timestamp"), F.desc("id")] if compat else [F.asc("timestamp"), F.asc("id")]
-    w = Window.partitionBy("file_path")
-    rows = snapshots.select("file_path", "error_count", "warning_count", F.row_number().over(w.orderBy(*order)).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    early = F.col("i") <= F.floor(F.col("n") / 2)
-    mean = lambda c, half: F.avg(F.when(half, F.col(c)))
-    out = rows.groupBy("file_path").agg(
-        F.first("n").alias("n"),
-        ((mean("error_count", ~early) - mean("error_count", early)) * 2 + mean("warning_count", ~early) - mean("warning_count", early)).alias("change"),
-    )
+    """Mean of a file's later half less that of its earlier half, errors counting twice. compat: with the newest first.
+
+    The halves are found by days: a day lies before the middle, after it, or across it, and only the rows of the day across the middle are put in
+    order. So a file with a large part of all snapshots is spread over its days.
+    """
+    way = F.desc if compat else F.asc
+    rows = snapshots.select("file_path", "error_count", "warning_count", "timestamp", "id", F.expr(f"timestamp div {DAY}").alias("day"))
+    sums = [F.count(F.lit(1)).alias("n"), F.count("error_count").alias("ne"), F.count("warning_count").alias("nw"), F.sum("error_count").alias("e"), F.sum("warning_count").alias("w")]
+    days = rows.groupBy("file_path", "day").agg(*sums)
+    by_file = Window.partitionBy("file_path")  # one row a day and file
+    before = F.sum("n").over(by_file.orderBy(way("day")).rowsBetween(Window.unboundedPreceding, -1))
+    days = days.withColumns({"before": F.coalesce(before, F.lit(0)), "half": F.floor(F.sum("n").over(by_file) / 2)})
+    across = (F.col("before") < F.col("half")) & (F.col("before") + F.col("n") > F.col("half"))
+    split = days.where(across).select("file_path", F.col("day").alias("_day"), (F.col("half") - F.col("before")).alias("take"))
+    inside = rows.join(split, (rows["file_path"] == split["file_path"]) & rows["day"].eqNullSafe(split["_day"])).select(rows["file_path"], "error_count", "warning_count", "take", F.row_number().over(Window.partitionBy(rows["file_path"], "_day").orderBy(way("timestamp"), way("id"))).alias("i"))
+    parts = inside.groupBy("file_path", (F.col("i") <= F.col("take")).alias("early")).agg(*sums)
+    whole = days.where(~across).select("file_path", (F.col("before") + F.col("n") <= F.col("half")).alias("early"), "n", "ne", "nw", "e", "w")
+    both = whole.unionByName(parts).groupBy("file_path")
+    of = lambda c, early: F.sum(F.when(F.col("early") == early, F.col(c)))
+    mean = lambda c, n, early: F.try_divide(of(c, early), of(n, early))
+    out = both.agg(F.sum("n").alias("n"), ((mean("e", "ne", False) - mean("e", "ne", True)) * 2 + mean("w", "nw", False) - mean("w", "nw", True)).alias("change"))
     return out.select("file_path", F.when(F.col("n") < 2, 0.0).otherwise(F.col("change")).alias("change"), F.when(F.col("n") < 2, "Stable").otherwise(direction(F.col("change"), -1.0, 1.0)).alias("trend"))
 
 
 def predictions(snapshots: DataFrame) -> DataFrame:
-    """The whole mean of a file's five newest snapshots; below three snapshots nothing is predicted."""
-    w = Window.partitionBy("file_path")
-    rows = snapshots.select("file_path", "error_count", "warning_count", F.row_number().over(w.orderBy(F.desc("timestamp"), F.desc("id"))).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    recent = rows.where("i <= 5").groupBy("file_path").agg(F.first("n").alias("n"), F.floor(F.avg("error_count")).alias("e"), F.floor(F.avg("warning_count")).alias("w"))
-    out = recent.join(volatility(snapshots), "file_path")
+    """The whole mean of a file's five newest snapshots; below three snapshots nothing is predicted.
+
+    The limit of five a file applies before the shuffle too, so no file sends more than five rows a task.
+    """
+    newest = Window.partitionBy("file_path").orderBy(F.desc("timestamp"), F.desc("id"))
+    recent = snapshots.select("file_path", "error_count", "warning_count", F.row_number().over(newest).alias("i")).where("i <= 5")
+    mean = recent.groupBy("file_path").agg(F.floor(F.avg("error_count")).alias("e"), F.floor(F.avg("warning_count")).alias("w"))
+    whole = snapshots.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), (F.stddev_pop("error_count") / (F.avg("error_count") + 1)).alias("v"))
     enough = F.col("n") >= 3
-    return out.select("file_path", F.when(enough, F.col("e")).otherwise(0).cast("bigint").alias("next_errors"), F.when(enough, F.col("w")).otherwise(0).cast("bigint").alias("next_warnings"), F.when(enough, 1 / (1 + F.col("volatility"))).otherwise(0.0).alias("confidence"))
+    return mean.join(whole, "file_path").select("file_path", F.when(enough, F.col("e")).otherwise(0).cast("bigint").alias("next_errors"), F.when(enough, F.col("w")).otherwise(0).cast("bigint").alias("next_warnings"), F.when(enough, 1 / (1 + F.col("v"))).otherwise(0.0).alias("confidence"))
 
 
 def hot_spots(snapshots: DataFrame, top: int = 10) -> DataFrame:

@@ -27,11 +27,14 @@ def summary(diagnostics: DataFrame) -> DataFrame:
 
 
 def positional_percentile(scores: DataFrame, value: str, key: str, shares: tuple[float, ...]) -> DataFrame:
-    """Per key, the values at floor((n-1)·share) of the **descending** list."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    i = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(value)))
-    rows = scores.select(key, F.col(value).alias("_v"), i.alias("_i"), n.alias("_n"))
-    return rows.groupBy(key).agg(*(F.max(F.when(F.col("_i") == F.floor((F.col("_n") - 1) * p) + 1, F.col("_v"))).alias(f"at_{int(p * 100)}") for p in shares))
+    """Per key, the values at floor((n-1)·share) of the **descending** list; null values are passed over.
+
+    Equal values are counted before anything is ordered: a key has a row a distinct value.
+    """
+    counted = scores.where(F.col(value).isNotNull()).groupBy(F.col(key), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(key)
+    rows = counted.select(key, "_v", F.sum("_c").over(w.orderBy(F.desc("_v"))).alias("_upto"), F.sum("_c").over(w).alias("_n"))
+    return rows.groupBy(key).agg(*(F.max(F.when(F.col("_upto") > F.floor((F.col("_n") - 1) * p), F.col("_v"))).alias(f"at_{int(p * 100)}") for p in shares))
 
 
 def processing_metrics(records: DataFrame, now: int, seconds: int = 3600) -> DataFrame:
