@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -48,7 +49,7 @@ class Encoder:
         rng = np.random.default_rng(20240229)
         self.table = rng.integers(0, 1 << 32, 256, dtype=np.uint32)
         self.bytes64 = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.places = rng.integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self._powers(0)
         width = max(ranks.values()) + 1
         words = [b""] * width
         for b, i in ranks.items():
@@ -58,6 +59,14 @@ class Encoder:
         self.flat = np.frombuffer(b"".join(words), np.uint8)
         self._forget()
 
+    def _powers(self, n: int) -> None:
+        """Powers of an odd base and of its inverse modulo 2**64: a chunk's hash is a difference of prefix sums brought to a common place."""
+        n = max(n, WINDOW + 4096)
+        base = 0xD6E8FEB86659FD93
+        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        self.up, self.down = np.cumprod(up), np.cumprod(down)
+
     def _forget(self) -> None:
         self.slot: dict[int, int] = {}
         self.start = np.zeros(1024, np.int64)
@@ -65,17 +74,20 @@ class Encoder:
         self.pool = np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def _keep(self, key: int, ids: list[int]) -> int:
-        k, n = len(self.slot), len(ids)
-        if k == len(self.start):
+    def _keep(self, keys: list[int], ids: list[list[int]]) -> np.ndarray:
+        """Slots of new chunks."""
+        k, counts = len(self.slot), np.array([len(x) for x in ids], np.int64)
+        n = int(counts.sum())
+        while k + len(keys) > len(self.start):
             self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
         while self.used + n > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + n] = ids
-        self.start[k], self.count[k] = self.used, n
+        self.pool[self.used : self.used + n] = np.fromiter(chain.from_iterable(ids), np.int32, n)
+        self.start[k : k + len(keys)], self.count[k : k + len(keys)] = self.used + np.cumsum(counts) - counts, counts
         self.used += n
-        self.slot[key] = k
-        return k
+        slots = np.arange(k, k + len(keys))
+        self.slot.update(zip(keys, slots.tolist(), strict=True))
+        return slots
 
     def safe(self, a: np.ndarray) -> np.ndarray:
         """Positions before which pre-tokenisation surely restarts."""
@@ -90,20 +102,24 @@ class Encoder:
             h = moved
         at = self.safe(a)
         at = at[(h[at - 1] >> np.uint32(16)) & np.uint32(MASK) == 0]
-        starts = np.unique(np.concatenate([[0], at, edges]))
-        starts = starts[starts < len(a)]
+        begins = np.zeros(len(a) + 1, bool)
+        begins[0] = begins[at] = begins[edges] = True
+        starts = np.flatnonzero(begins[: len(a)])
         ends = np.append(starts[1:], len(a))
         size = ends - starts
-        inside = np.arange(len(a)) - np.repeat(starts, size)
-        keys = np.add.reduceat(self.bytes64[a] * self.places[inside % 4096] * (np.uint64(2) * (inside // 4096).astype(np.uint64) + np.uint64(1)), starts) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        if len(a) > len(self.up):
+            self._powers(len(a))
+        upto = np.concatenate([[np.uint64(0)], np.cumsum(self.bytes64[a] * self.up[: len(a)])])
+        keys = (upto[ends] - upto[starts]) * self.down[starts] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.slot) + len(distinct) > KEEP:
             self._forget()
-        raw, get = a.tobytes(), self.slot.get
-        slots = np.empty(len(distinct), np.int64)
-        for i, (key, f) in enumerate(zip(distinct.tolist(), first.tolist(), strict=True)):
-            s = get(key)
-            slots[i] = self._keep(key, self.plain.encode_ordinary(raw[starts[f] : ends[f]].decode("utf-8", "replace"))) if s is None else s
+        raw, get, encode = a.tobytes(), self.slot.get, self.plain.encode_ordinary
+        slots = np.fromiter((get(k, -1) for k in distinct.tolist()), np.int64, len(distinct))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            f = first[new]
+            slots[new] = self._keep(distinct[new].tolist(), [encode(raw[b:e].decode("utf-8", "replace")) for b, e in zip(starts[f].tolist(), ends[f].tolist(), strict=True)])
         each = slots[back]
         counts = self.count[each]
         before = np.concatenate([[0], np.cumsum(counts)])
