@@ -3,16 +3,15 @@
 The index is partitioned by document, as in a distributed search engine: each task indexes its own documents and answers all
 queries on them, so no posting is shuffled. Terms are words with their two successors, which makes
 the lists short. Of a shard's documents the postings (term, document, position) of the terms that occur in any passage are
-stored; for each passage the lists are taken from its rarest terms in the shard on: a match needs
-``NEEDED`` terms, so the ``SKIPPED`` most frequent places of a passage are left out and ``NEEDED - SKIPPED`` hits on the
+stored; for each passage the lists are taken from its rarest terms in the shard on: a match needs so many
+terms (``Passages.needed``), so the ``SKIPPED`` most frequent places of a passage are left out and the rest of the hits on the
 others are necessary. That rule loses no match, whatever is frequent.
 
 Lists are intersected after subtracting each term's offset in the passage: hits on one diagonal are an exact phrase, hits on near
 diagonals in order are proximity matches. Each surviving pair is confirmed word by word: runs of equal words are
-chained in the order of both texts; a small change costs one and its width, one longer interruption (up to
-``INTERRUPTION`` words of the document) costs four. A document leaks an item if the chain holds ``SHARE`` of the passage's
-words and ``LEAST`` words, and its words less its costs are ``LEAST`` too, which text made of the same phrases in other order
-doesn't reach.
+chained in the order of both texts; a small change costs one and its width (a changed number one more), one interruption of
+any length costs four. A document leaks an item if the best chain holds ``SHARE`` of the passage's words and ``LEAST`` words, and its costs
+are at most ``COSTS`` of its words, which text made of the same phrases with other words between them exceeds.
 
 Defined results
 ---------------
@@ -35,8 +34,9 @@ from pyspark.sql import functions as F
 from glintflow.llm import bytetext
 
 SHARE, LEAST = 0.32, 15
-SMALL, INTERRUPTION, OTHER_NUMBER = 4, 90, 4
-SKIPPED, NEEDED = 6, LEAST - 2
+SMALL, CUT, OTHER_NUMBER = 4, 4, 1
+COSTS = 0.4
+SKIPPED = 3
 BLOCK = 20_000
 SHARD = 4 << 20  # bytes of text in a shard
 
@@ -50,6 +50,9 @@ class Passages:
         self.ids = [i for i, _ in kept]
         self.numeric = [np.array([w.isdigit() for w in bytetext.split(p)], bool) for i, p in items if i in set(self.ids)]
         self.words = [h for _, h in kept]
+        self.least = np.array([max(LEAST, SHARE * len(h)) for h in self.words])
+        # a break costs two or more and takes two terms, as the end does
+        self.needed = np.ceil((1 - COSTS) * np.ceil(self.least) - 2 - 1e-9).astype(np.int64)
         self.vocabulary = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
         v = np.int64(len(self.vocabulary) + 1)
         self.width = v
@@ -94,10 +97,10 @@ class Passages:
         pair = np.repeat(doc[p], each) * np.int64(len(self.ids)) + self.item[entries]
         pairs, counts = np.unique(pair, return_counts=True)
         out = []
-        for key in pairs[counts >= NEEDED - SKIPPED].tolist():
+        for key in pairs[counts >= self.needed[pairs % len(self.ids)] - SKIPPED].tolist():
             d, i = divmod(key, len(self.ids))
             matched, score = chain(c[before[d] : before[d + 1]], self.codes[i], self.numeric[i])
-            if matched >= max(LEAST, SHARE * len(self.codes[i])) and score >= LEAST:
+            if matched >= self.least[i] and score >= (1 - COSTS) * matched:
                 out.append((d, i))
         return out
 
@@ -121,14 +124,15 @@ def chain(doc: np.ndarray, passage: np.ndarray, numeric: np.ndarray) -> tuple[in
     keep = size >= 2
     runs = sorted(zip(p[s][keep].tolist(), k[s][keep].tolist(), size[keep].tolist(), strict=True))
     best: list[tuple[tuple[float, int], tuple[float, int]]] = []
+    ends: dict[int, tuple[float, int, int]] = {}  # the best unbroken chain up to each word of the passage, and where it ends in the document
     top = (0.0, 0)
     oldest = 0
-    reach = len(passage) + INTERRUPTION
-    for j, (a, b, size_j) in enumerate(runs):
+    reach = len(passage) + SMALL
+    for a, b, size_j in runs:
         whole, broken = (float(size_j), size_j), (-1e9, 0)
         while runs[oldest][0] < a - reach:
             oldest += 1
-        for i in range(oldest, j):
+        for i in range(oldest, len(best)):
             a2, b2, size_i = runs[i]
             gap_d, gap_p = a - a2 - size_i, b - b2 - size_i
             shared = max(0, -gap_d, -gap_p)
@@ -141,10 +145,14 @@ def chain(doc: np.ndarray, passage: np.ndarray, numeric: np.ndarray) -> tuple[in
                 (w, wn), (x, xn) = best[i]
                 whole = max(whole, (w + more - cost, wn + more))
                 broken = max(broken, (x + more - cost, xn + more))
-            elif gap_d <= INTERRUPTION and gap_p <= SMALL:
-                w, wn = best[i][0]
-                broken = max(broken, (w + more - 4 - gap_p, wn + more))
+        for e in range(b - SMALL, b + size_j):
+            if e in ends:
+                w, wn, end = ends[e]
+                shared = max(0, e - b, end - a)
+                if shared < size_j and b + shared - e <= SMALL:
+                    broken = max(broken, (w + size_j - shared - CUT - (b + shared - e), wn + size_j - shared))
         best.append((whole, broken))
+        ends[b + size_j] = max(ends.get(b + size_j, (-1e9, 0, 0)), (*whole, a + size_j))
         top = max(top, whole, broken)
     return top[1], top[0]
 

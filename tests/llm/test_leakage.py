@@ -84,3 +84,19 @@ def test_words():
         assert bytetext.words(*bytetext.plain(pa.array(texts)))[0].tolist() == h.tolist()
     finally:
         bytetext.WINDOW = old
+
+
+def test_small_changes_in_a_short_leak_and_long_interruptions():
+    passage = " ".join(PASSAGES[0][:20] + ["84"] + PASSAGES[0][21:55])
+    words = passage.split()
+    p = leakage.Passages([(7, passage)])
+
+    def found(body):
+        h, before = bytetext.words(*bytetext.plain(pa.array([" ".join(FILL(30) + body + FILL(30))])))
+        return p.search(h, before) == [(0, 0)]
+
+    assert found(words[15:20] + ["other"] + words[21:31] + ["other"] + words[32:38])  # 21 of 55 words
+    assert found(words[4:20] + ["97"] + words[21:27])  # another number
+    assert found(words[:12] + FILL(400) + words[12:24])  # one interruption of any length
+    assert not found(words[:8] + FILL(100) + words[8:14] + FILL(100) + words[14:22])  # two of them
+    assert not found([w for k in range(0, 45, 4) for w in [*words[k : k + 2], "a", "b"]])  # scattered
