@@ -58,7 +58,22 @@ _WORDS = {
     "pt": "o os as e é uma do da que para em se por com não ao como seu este esta mais já dos das no na quando ou um pode aqui porque valor linha nunca precisa deste antes foi seja ser isso tem você",
     "it": "il gli e è una del della che per si con non al come questo questa più i di un da sono nel ma perché qui valore prima deve può riga lo viene",
     "nl": "de het een en van niet dat te op met voor zijn die er aan ook als wordt bij naar deze om omdat hier waarde regel moet kan",
+    "sv": "och att det är en ett som på av inte den med för till har om kan ska från eller när här måste innan raden värdet",
+    "da": "og at det er en et som på af ikke den med til har kan skal fra eller når her må før linjen værdien være",
+    "pl": "nie jest się na że jak dla przez tak co lub przed po ale tego musi może wartość linia tutaj być ponieważ",
+    "cs": "je se na že jak pro tak co nebo před po ale musí může hodnota řádek zde být protože není který",
+    "tr": "ve bir bu için ile değil olarak daha çok gibi var yok önce sonra ama çünkü değer satır burada olmalı",
+    "ro": "și este în cu pe nu din care pentru sau mai fi trebuie înainte dar aici valoarea linia poate sunt",
+    "fi": "ja on ei se että joka kun mutta tai ennen täällä arvo rivi pitää voi koska tämä ole",
+    "hu": "és az nem hogy egy ez van meg kell csak vagy mert itt előtt érték sor lehet",
 }
+# letters of each script; other letters are Latin
+_SCRIPTS = {
+    "cyrillic": r"[\u0400-\u052f]", "greek": r"[\u0370-\u03ff\u1f00-\u1fff]", "hebrew": r"[\u0590-\u05ff]", "arabic": r"[\u0600-\u06ff\u0750-\u077f]", "indic": r"[\u0900-\u0dff]",
+    "thai": r"[\u0e00-\u0e7f]", "hangul": r"[\u1100-\u11ff\uac00-\ud7af]", "kana": r"[\u3040-\u30ff]", "han": r"[\u3400-\u4dbf\u4e00-\u9fff]",
+}
+_SCRIPTS = {k: re.compile(v) for k, v in _SCRIPTS.items()}
+_NOT_LATIN = re.compile(r"[\u0370-\u052f\u0590-\u06ff\u0750-\u077f\u0900-\u0e7f\u1100-\u11ff\u1f00-\u1fff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]")
 _LANGUAGES_OF: dict[str, list[str]] = {}
 for _k, _v in _WORDS.items():
     for _w in set(_v.split()):
@@ -66,6 +81,9 @@ for _k, _v in _WORDS.items():
 _ASKED = {
     "de": r"german|deutsch|allemand|alemán|alemão", "fr": r"french|français|französisch|francés", "es": r"spanish|español|spanisch|espagnol", "pt": r"portuguese|português|portugiesisch|portugais|portugués",
     "it": r"italian|italiano|italienisch|italien", "nl": r"dutch|nederlands|niederländisch|néerlandais", "en": r"english|englisch|anglais|inglés|inglês",
+    "sv": r"swedish|svenska", "da": r"danish|norwegian|dansk|norsk", "pl": r"polish|polski", "cs": r"czech|čeština", "tr": r"turkish|türkçe", "ro": r"romanian|română", "fi": r"finnish|suomi", "hu": r"hungarian|magyar",
+    "cyrillic": r"russian|ukrainian|bulgarian|serbian|cyrillic", "greek": r"greek", "hebrew": r"hebrew", "arabic": r"arabic|persian|farsi|urdu", "indic": r"hindi|bengali|tamil|telugu|marathi|sanskrit", "thai": r"thai", "hangul": r"korean", "kana": r"japanese",
+    "han": r"chinese|mandarin|japanese",
 }
 _ASKS = {k: re.compile(rf"\b(?:in|auf|en|em|into|to|ins|au|al)\s+(?:{v})\b|\b(?:{v})\s+(?:answer|response|reply|translation|please)\b", re.I) for k, v in _ASKED.items()}
 
@@ -73,14 +91,54 @@ _ASKS = {k: re.compile(rf"\b(?:in|auf|en|em|into|to|ins|au|al)\s+(?:{v})\b|\b(?:
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def language(text: str) -> tuple[str, float]:
-    """The language with the most frequent words, and its share of those of the best two; '' if too few."""
-    votes = dict.fromkeys(_WORDS, 0)
+def votes(text: str) -> dict[str, int]:
+    """How many of the text's words are frequent words of each language."""
+    out = dict.fromkeys(_WORDS, 0)
     for w in _WORD.findall(text.lower()):
         for k in _LANGUAGES_OF.get(w, ()):
-            votes[k] += 1
-    best, second = sorted(votes.items(), key=lambda x: -x[1])[:2]
-    return (best[0], best[1] / (best[1] + second[1])) if best[1] >= 3 else ("", 0.0)
+            out[k] += 1
+    return out
+
+
+def script(text: str) -> str:
+    """The script other than Latin that most letters have; '' if most are Latin or there are fewer than four."""
+    if len(_NOT_LATIN.findall(text)) < 4:
+        return ""
+    n = {k: len(r.findall(text)) for k, r in _SCRIPTS.items()}
+    if n["kana"]:
+        n["kana"] += n.pop("han")
+    best = max(n, key=lambda k: n[k])
+    return best if 2 * n[best] > sum(map(len, _WORD.findall(text))) else ""
+
+
+def language(text: str) -> str:
+    """The script if it isn't Latin, else the language with the most frequent words; '' if too few."""
+    if known := script(text):
+        return known
+    v = votes(text)
+    best = max(v, key=lambda k: v[k])
+    return best if v[best] >= 3 else ""
+
+
+def foreign(prompt: str, answer: str) -> bool:
+    """Whether the answer's prose is in another language than the prompt's and than those that the prompt asks for."""
+    theirs = language(prompt)
+    if not theirs:
+        return False
+    mine, v = script(answer), votes(answer)
+    if mine == theirs or not mine and max(v.values()) < max(2, 1.5 * v.get(theirs, 0)):
+        return False
+    wanted = {k for k, r in _ASKS.items() if r.search(prompt)}
+    if mine:
+        return mine not in wanted
+    own = max((v[k] for k in v if k == theirs or k in wanted), default=0)
+    said = "\n".join(x for x in answer.split("\n") if not _CODE_LINE.match(x))
+    v = votes(said)
+    most = max(v.values())
+    if most >= 3 and most >= 1.5 * own:
+        return True
+    # few words: two different ones, and none of the prompt's language
+    return not own and theirs in v and max(votes(" ".join(set(_WORD.findall(said.lower())))).values()) >= 2
 
 
 def prose(text: str) -> str:
@@ -191,12 +249,8 @@ def judged(prompt: str | None, answer: str | None) -> tuple[str | None, list[str
         if a and (a == p or a == asked or (asked and a == head) or len(a) >= 20 and (a in p and len(a) >= 0.5 * len(p) or a.strip(".") == p.strip(".") or a == head or a == head + asked)):
             defect = "copies_prompt"
     if defect is None and prompt:
-        theirs, _ = language(prompt_prose(prompt))
-        mine, share = language(said)
-        if theirs and mine and mine != theirs and share >= 0.6:
-            wanted = {k for k, r in _ASKS.items() if r.search(prompt_prose(prompt))}
-            if mine not in wanted:
-                defect = "wrong_language"
+        if foreign(prompt_prose(prompt), said):
+            defect = "wrong_language"
     if defect is None and truncated(prompt or "", answer):
         defect = "truncated"
     return defect, openings, solution, strong

@@ -59,3 +59,15 @@ def test_clusters_join_near_openings(spark):
     texts = [base, base + " users", base + " people", "something else entirely that has nothing in common with it", "short"]
     got = {r.opening: r.cluster for r in pairs.clusters(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
     assert len({got[t] for t in texts[:3]}) == 1 and got[texts[3]] == texts[3] and got["short"] == "short"
+
+ES = "Mueve la comprobación antes del retorno temprano en `f`."
+RU = "Цикл не меняет значение, поэтому проверка сообщает об ошибке."
+
+
+@pytest.mark.parametrize("prompt, answer, want", [
+    (ASK, "Cambia la línea para que `a` se lea antes de `b`. " + ES, "wrong_language"), (ASK, "Fix: " + ES, "wrong_language"), (ASK + "\nAnswer in Spanish, please.", "Fix: " + ES, None),
+    (ASK, RU, "wrong_language"), (ASK + "\nPlease answer in Russian.", RU, None), ("Почему программа не работает и что делать?", RU, None), (ASK, "このループは値を変更しないため、エラーになります。", "wrong_language"), (RU, DE, "wrong_language"),
+    (ASK, "Pętla nie zmienia tego pola, więc przed użyciem musi być sprawdzona.", "wrong_language"), (ASK, "func (s *T) f() {\n\ts.del = s.en\n\ts.del()\n}", None), (ASK, "Check `a`.", None),
+])
+def test_language_against_that_of_the_prompt(prompt, answer, want):
+    assert pairs.judged(prompt, answer)[0] == want
