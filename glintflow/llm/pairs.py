@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -323,17 +323,28 @@ def clusters(openings: DataFrame) -> DataFrame:
 
 
 def templates(read: DataFrame) -> DataFrame:
-    """(opening, cluster, refusal): every distinct opening; refusal by the corpus-wide figures of its cluster."""
+    """(opening, cluster, refusal): every distinct opening; refusal by the corpus-wide figures of its cluster.
+
+    A cluster recurs over the distinct prompts of all its members: of each opening the ``RECURS`` smallest prompt keys are carried to
+    it, which tell whether there are so many. It speaks of declining if half of its places do, or if the opening itself does plainly.
+    """
     from glintflow.session import checkpointed
 
-    each = read.select(F.explode(F.array_distinct("r.openings")).alias("opening"), "prompt_key", F.col("r.solution").cast("int").alias("solved"))
-    stats = checkpointed(each.groupBy("opening").agg(F.approx_count_distinct("prompt_key").alias("prompts"), F.count(F.lit(1)).alias("n"), F.sum("solved").alias("solved")))
-    member = clusters(stats).join(stats, "opening")
-    whole = member.groupBy("cluster").agg(F.max("prompts").alias("most"), F.sum("n").alias("n"), F.sum("solved").alias("solved"))
-    says = _cues(F.col("cluster"))
+    each = read.select(F.explode(F.array_distinct("r.openings")).alias("opening"), F.coalesce("prompt_key", F.lit(0)).alias("prompt_key"), F.col("r.solution").cast("int").alias("solved"))
+    stats = checkpointed(each.groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.sum("solved").alias("solved")))
+    member = checkpointed(clusters(stats).join(stats, "opening"))
     share = F.col("solved") / F.col("n")
-    refusal = (says["weak"] & (F.col("most") >= RECURS) & (share <= SOLVED)) | (says["strong"] & (share <= 0.5))
-    return member.select("opening", "cluster").join(whole.select("cluster", refusal.alias("refusal")), "cluster")
+    whole = member.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("solved").alias("solved")).where(share <= 0.5)
+    first = Window.partitionBy("opening").orderBy("prompt_key")
+    few = each.select("opening", "prompt_key").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= RECURS)
+    prompts = few.join(member.select("opening", "cluster"), "opening").groupBy("cluster", "prompt_key").agg(F.lit(1).alias("one")).groupBy("cluster").agg(F.count("one").alias("prompts"))
+    said = checkpointed(member.join(whole.select("cluster"), "cluster", "left_semi").select("opening", "cluster", "n", _cues(F.col("opening")).alias("says")))
+    half = lambda cue: 2 * F.sum(F.when(F.col(f"says.{cue}"), F.col("n")).otherwise(0)) >= F.sum("n")
+    judged_ = said.groupBy("cluster").agg(half("weak").alias("weak"), half("strong").alias("strong")).join(whole, "cluster").join(prompts, "cluster")
+    recurring = F.col("weak") & (F.col("prompts") >= RECURS) & (share <= SOLVED)
+    verdict = said.select("opening", "cluster", "says").join(judged_.select("cluster", recurring.alias("recurring"), "strong"), "cluster")
+    verdict = verdict.select("opening", (F.col("recurring") | F.col("strong") | F.col("says.strong")).alias("refusal"))
+    return member.select("opening", "cluster").join(verdict, "opening", "left").select("opening", "cluster", F.coalesce("refusal", F.lit(False)).alias("refusal"))
 
 
 @F.pandas_udf(T.StructType([T.StructField("weak", T.BooleanType()), T.StructField("strong", T.BooleanType())]))

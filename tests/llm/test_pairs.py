@@ -71,3 +71,11 @@ RU = "Цикл не меняет значение, поэтому проверк
 ])
 def test_language_against_that_of_the_prompt(prompt, answer, want):
     assert pairs.judged(prompt, answer)[0] == want
+
+
+def test_templates_with_a_slot_recur_by_their_cluster(spark):
+    said = "whatever the question about its content may have been, nothing is ever discussed by this service, and that will never change in any way for the file {}"
+    rows = [(k, "jsonl", f"Why does `q{k}` fail here and what is to be done for it?", said.format(slot).capitalize() + ".", None, None) for k, slot in enumerate(["alpha", "beta", "gamma", "delta", "omega"])]
+    rows += [(10 + k, "jsonl", "Why does it fail and what is to be done?", f"It is not clear to me which of the two you mean, and it would be good to know some more of it before going on with these {slot}.", None, None) for k, slot in enumerate(["files", "rows", "lines", "words", "terms"])]
+    got = {r.example_id: r.defect for r in pairs.defects(spark.createDataFrame(rows, X)).collect()}
+    assert got == dict.fromkeys(range(5), "refusal")  # the other template has one prompt
