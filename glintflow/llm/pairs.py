@@ -1,7 +1,7 @@
 """Broken prompt and response pairs, each with its defect.
 
 Responses open with sentences. Identifiers and code are masked in them, and the distinct openings of all
-responses are clustered by MinHash: bands of a signature over their five-word shingles propose neighbours, each is verified by the Jaccard
+responses are clustered by MinHash: bands of a signature over their five-word shingles propose neighbours, each that would join two clusters is verified by the Jaccard
 similarity of the shingles (``SIMILAR``), and verified links are contracted to clusters. For each cluster the whole corpus tells over how many
 unrelated prompts it recurs and how often a solution follows. A template that recurs across unrelated prompts, hardly
 ever with a solution, and speaks of declining, is a refusal; one that solutions follow is none, whatever it says. Copies, other
@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 OPENINGS = 3
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
+PAIRED = 1000  # openings in a block of a bucket
 RECURS = 4  # distinct prompts from which on a template counts as recurring
 SOLVED = 0.05  # share of members with a solution up to which it can be a refusal
 
@@ -300,16 +301,42 @@ def _bands(texts: pd.Series) -> pd.Series:
 
 
 def clusters(openings: DataFrame) -> DataFrame:
-    """(opening, cluster): distinct openings and the smallest opening of their cluster."""
+    """(opening, cluster): distinct openings and the smallest opening of their cluster.
+
+    The smallest and the largest opening of a bucket are verified with all others, which joins most; then all pairs of a bucket
+    that are still in different clusters are, in blocks of ``PAIRED``, so that no pair of a bucket whose link matters is passed over.
+    """
     from glintflow.session import checkpointed
 
-    keyed = openings.select("opening", F.posexplode(_bands(shingles(F.col("opening")))).alias("band", "key"))
-    ends = keyed.groupBy("band", "key").agg(F.min("opening").alias("lo"), F.max("opening").alias("hi")).where("lo <> hi")
-    near = keyed.join(ends, ["band", "key"]).select("opening", F.explode(F.array("lo", "hi")).alias("centre")).where("opening <> centre").distinct()
+    keyed = checkpointed(openings.select("opening", F.posexplode(_bands(shingles(F.col("opening")))).alias("band", "key")))
+    buckets = keyed.groupBy("band", "key").agg(F.min("opening").alias("lo"), F.max("opening").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    near = keyed.join(buckets, ["band", "key"]).select("opening", F.explode(F.array("lo", "hi")).alias("centre")).where("opening <> centre").distinct()
+    links = checkpointed(_verified(near))
+    label = _contracted(links)
+    held = keyed.join(buckets.where("size > 2").select("band", "key", "size"), ["band", "key"]).join(label, "opening", "left").withColumn("cluster", F.coalesce("cluster", "opening"))
+    torn = held.groupBy("band", "key").agg(F.min("cluster").alias("one"), F.max("cluster").alias("other")).where("one <> other").select("band", "key")
+    held = held.join(torn, ["band", "key"]).withColumn("blocks", F.ceil(F.col("size") / PAIRED).cast("int"))
+    held = checkpointed(held.withColumn("block", F.pmod(F.xxhash64("opening"), F.col("blocks")).cast("int")))
+    if held.limit(1).count():
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        mine = held.select("band", "key", "opening", "cluster", F.col("block").alias("i"), every.alias("j"))
+        theirs = held.select("band", "key", F.col("opening").alias("centre"), F.col("cluster").alias("other"), every.alias("i"), F.col("block").alias("j"))
+        rest = mine.join(theirs, ["band", "key", "i", "j"]).where("opening < centre AND cluster <> other").select("opening", "centre").distinct()
+        label = _contracted(checkpointed(links.unionByName(_verified(rest))))
+    return openings.select("opening").join(label, "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
+
+
+def _verified(near: DataFrame) -> DataFrame:
+    """The pairs (opening, centre) that are similar, in both directions."""
     mine, theirs = shingles(F.col("opening")), shingles(F.col("centre"))
-    alike = F.size(F.array_intersect(mine, theirs)) >= SIMILAR * F.size(F.array_union(mine, theirs))
-    links = near.where(alike)
-    links = checkpointed(links.unionByName(links.select(F.col("centre").alias("opening"), F.col("opening").alias("centre"))).distinct())
+    links = near.where(F.size(F.array_intersect(mine, theirs)) >= SIMILAR * F.size(F.array_union(mine, theirs)))
+    return links.unionByName(links.select(F.col("centre").alias("opening"), F.col("opening").alias("centre"))).distinct()
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """(opening, cluster): each linked opening and the smallest opening that links lead to."""
+    from glintflow.session import checkpointed
+
     label = checkpointed(links.groupBy("opening").agg(F.least(F.col("opening"), F.min("centre")).alias("cluster")))
     while True:  # the smallest label of the neighbours, then of the label itself, until nothing changes
         seen = links.join(label.withColumnRenamed("opening", "centre"), "centre").groupBy("opening").agg(F.min("cluster").alias("c"))
@@ -318,8 +345,7 @@ def clusters(openings: DataFrame) -> DataFrame:
         new = checkpointed(jump.select("opening", F.least("next", F.coalesce("further", "next")).alias("cluster"), "was"))
         label = new.select("opening", "cluster")
         if new.where("cluster <> was").limit(1).count() == 0:
-            break
-    return openings.select("opening").join(label, "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
+            return label
 
 
 def templates(read: DataFrame) -> DataFrame:

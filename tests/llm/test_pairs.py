@@ -79,3 +79,15 @@ def test_templates_with_a_slot_recur_by_their_cluster(spark):
     rows += [(10 + k, "jsonl", "Why does it fail and what is to be done?", f"It is not clear to me which of the two you mean, and it would be good to know some more of it before going on with these {slot}.", None, None) for k, slot in enumerate(["files", "rows", "lines", "words", "terms"])]
     got = {r.example_id: r.defect for r in pairs.defects(spark.createDataFrame(rows, X)).collect()}
     assert got == dict.fromkeys(range(5), "refusal")  # the other template has one prompt
+
+
+def test_clusters_verify_the_inner_pairs_of_a_bucket(spark, monkeypatch):
+    stem = "this service keeps to its rules and so it will not go into any question about the file that was sent to it by you or by others today".split()
+    odd = lambda first, last: " ".join([first, *stem[1:9], "x", *stem[10:20], last])
+    texts = [" ".join(stem), " ".join([*stem, "indeed"]), "aaa " + " ".join(odd("a", "b").split()[:14]) + " q w e r t", "zzz " + " ".join(odd("a", "b").split()[4:14]) + " p o i u y"]
+    one = pairs.F.udf(lambda _: [7], "array<bigint>")  # all in one bucket
+    monkeypatch.setattr(pairs, "_bands", one)
+    for block in (1000, 1):
+        monkeypatch.setattr(pairs, "PAIRED", block)
+        got = {r.opening: r.cluster for r in pairs.clusters(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
+        assert got == {texts[0]: texts[0], texts[1]: texts[0], texts[2]: texts[2], texts[3]: texts[3]}
