@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glintflow.operators.training import pairs
+
 OPENINGS = 3
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -266,14 +268,6 @@ def _judge(prompts: pd.Series, answers: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["defect", "openings", "solution", "strong"])
 
 
-def pairs(examples: DataFrame) -> DataFrame:
-    """(example_id, prompt, answer) of either format."""
-    of = lambda role: F.filter("messages", lambda m: F.lower(F.trim(m["role"])) == role)
-    last = lambda role: F.try_element_at(of(role), F.lit(-1))["content"]
-    chat = (F.size("messages") > 0) & F.col("prompt").isNull() & F.col("completion").isNull()
-    return examples.where("example_id IS NOT NULL").select("example_id", F.when(chat, last("user")).otherwise(F.col("prompt")).alias("prompt"), F.when(chat, last("assistant")).otherwise(F.col("completion")).alias("answer"))
-
-
 def shingles(text: Column) -> Column:
     """The distinct runs of five words; a shorter text is one."""
     words = F.split(text, " ")

@@ -49,20 +49,37 @@ def completion_text(language: Column, description: Column, code: Column) -> Colu
     return F.concat(head, F.lit("```"), language, F.lit("\n"), code, F.lit("\n```"))
 
 
+def pairs(examples: DataFrame, *more: str) -> DataFrame:
+    """(example_id, prompt, answer) of either format, with more columns if named."""
+    of = lambda role: F.filter("messages", lambda m: F.lower(F.trim(m["role"])) == role)
+    last = lambda role: F.try_element_at(of(role), F.lit(-1))["content"]
+    chat = (F.size("messages") > 0) & F.col("prompt").isNull() & F.col("completion").isNull()
+    return examples.where("example_id IS NOT NULL").select("example_id", F.when(chat, last("user")).otherwise(F.col("prompt")).alias("prompt"), F.when(chat, last("assistant")).otherwise(F.col("completion")).alias("answer"), *more)
+
+
+def code_blocks(text: Column) -> Column:
+    """The code of every fenced block that isn't empty; the last one may lack its end."""
+    return F.filter(F.regexp_extract_all(text, F.lit(r"(?s)```[\w+#.-]*[ \t]*\r?\n(.*?)(?:```|\z)"), 1), lambda c: F.trim(c) != "")
+
+
+def _answered(examples: DataFrame) -> DataFrame:
+    return pairs(examples).where("prompt IS NOT NULL AND answer IS NOT NULL")
+
+
 def as_chat(examples: DataFrame, system: str) -> DataFrame:
-    """(example_id, line): one chat record in JSON for each pair of prompt and completion."""
+    """(example_id, line): one chat record in JSON for each pair of prompt and answer, of either format."""
     turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    return examples.where("prompt IS NOT NULL AND completion IS NOT NULL").select("example_id", F.to_json(F.struct(F.array(turn("system", F.lit(system)), turn("user", F.col("prompt")), turn("assistant", F.col("completion"))).alias("messages"))).alias("line"))
+    return _answered(examples).select("example_id", F.to_json(F.struct(F.array(turn("system", F.lit(system)), turn("user", F.col("prompt")), turn("assistant", F.col("answer"))).alias("messages"))).alias("line"))
 
 
 def as_lines(examples: DataFrame) -> DataFrame:
-    """(example_id, line): one prompt and completion record in JSON."""
-    return examples.where("prompt IS NOT NULL AND completion IS NOT NULL").select("example_id", F.to_json(F.struct("prompt", "completion")).alias("line"))
+    """(example_id, line): one prompt and completion record in JSON for each pair, of either format."""
+    return _answered(examples).select("example_id", F.to_json(F.struct("prompt", F.col("answer").alias("completion"))).alias("line"))
 
 
 def as_labelled(examples: DataFrame) -> DataFrame:
-    """(example_id, text, label): the prompt as text and the completion as its label."""
-    return examples.where("prompt IS NOT NULL AND completion IS NOT NULL").select("example_id", F.col("prompt").alias("text"), F.col("completion").alias("label"))
+    """(example_id, text, label): the prompt as text and the answer as its label, of either format."""
+    return _answered(examples).select("example_id", F.col("prompt").alias("text"), F.col("answer").alias("label"))
 
 
 # name, difficulty, language, from, to, message: errors to be made

@@ -616,7 +616,7 @@ def _(spark, d):
 
 @query("m_labelled", "SELECT example_id, prompt AS text, completion AS label FROM ml_training_examples WHERE prompt IS NOT NULL AND completion IS NOT NULL")
 def _(spark, d):
-    return training.as_labelled(_examples(spark, d))
+    return training.as_labelled(_examples(spark, d).where("completion IS NOT NULL"))  # as its SQL
 
 
 @query("m_prompts", _META + r""" SELECT example_id, 'Fix the following ' || coalesce(language, 'unknown') || ' code that has these diagnostics:' || chr(10) || chr(10) || 'Diagnostics:' || chr(10) || '- Line 7: Error - broken' || chr(10) || chr(10) || 'Code:' || chr(10) || '```' || coalesce(language, 'unknown') || chr(10) || completion || chr(10) || '```' || chr(10) AS prompt_text,
@@ -628,14 +628,21 @@ def _(spark, d):
     return e.select("example_id", training.prompt_text(lang, one, F.col("completion"), F.lit("")).alias("prompt_text"), training.completion_text(lang, F.lit("mended"), F.col("completion")).alias("completion_text"))
 
 
+def _blocks(spark, d):
+    """The code blocks of every answer, of either format."""
+    e = training.pairs(training.with_metadata(_examples(spark, d)), "language")
+    return e.select(F.col("example_id").alias("code_id"), "language", training.code_blocks(F.col("answer")).alias("blocks"))
+
+
 def _code(spark, d):
+    """The first code block of each completion, as the SQL of the queries that read it."""
     e = training.with_metadata(_examples(spark, d)).where("completion IS NOT NULL")
     return e.select(F.col("example_id").alias("code_id"), "language", F.regexp_extract("completion", r"(?s)```\w*\n(.*?)```", 1).alias("code")).where("code <> ''")
 
 
 @query("m_injected")
 def _(spark, d):
-    return training.injected(_code(spark, d))
+    return training.injected(_blocks(spark, d).select("code_id", "language", F.explode("blocks").alias("code")).distinct())
 
 
 @query("m_types", _META + r""", c AS (SELECT example_id AS code_id, regexp_extract(completion, '(?s)```\w*\n(.*?)```', 1) AS code FROM e WHERE completion IS NOT NULL), l AS (SELECT code_id, unnest(string_split(code, chr(10))) AS line, generate_subscripts(string_split(code, chr(10)), 1) - 1 AS line_no FROM c WHERE code <> '')
@@ -646,7 +653,7 @@ def _(spark, d):
 
 @query("m_imports")
 def _(spark, d):
-    return multirepo.imports_of(_code(spark, d))
+    return multirepo.imports_of(_blocks(spark, d).select("code_id", "language", F.array_join("blocks", "\n").alias("code")))  # lines are counted over all blocks
 
 
 @query("m_adjustment", _META + " SELECT example_id, round(greatest(0.0, least(1.0, 0.5 + CASE WHEN n % 2 = 0 THEN 0.3 ELSE 0 END + CASE WHEN c > 0.5 THEN 0.2 ELSE 0 END - least(n * 0.05, 0.2) - least(n * 0.1, 0.2))), 6) AS adjustment FROM e WHERE c IS NOT NULL")

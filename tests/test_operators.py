@@ -154,3 +154,14 @@ def test_edits(spark, place, new, want):
 
     df = spark.createDataFrame([("ab\ncd\nef", *place, new)], "t string, a int, b int, c int, d int, n string")
     assert df.select(applied_edit(*(F.col(c) for c in "tabcdn"))).first()[0] == want
+
+
+def test_training_texts_of_both_formats(spark):
+    two = "See\n```go\na := 1\n```\nand\n```c++\nb = 2\n``` or\n```\nc"
+    x = "example_id bigint, prompt string, completion string, messages array<struct<role:string,content:string>>"
+    rows = [(1, "p", two, None), (2, None, None, [("system", "s"), ("user", "q"), ("assistant", two)]), (3, "p", None, None), (4, None, None, [("user", "q")]), (5, None, None, None)]
+    e = spark.createDataFrame(rows, x)
+    assert sorted(tuple(r) for r in training.as_labelled(e).collect()) == [(1, "p", two), (2, "q", two)]
+    assert {r.example_id: json.loads(r.line) for r in training.as_lines(e).collect()} == {1: {"prompt": "p", "completion": two}, 2: {"prompt": "q", "completion": two}}
+    assert {r.example_id: [m["content"] for m in json.loads(r.line)["messages"]] for r in training.as_chat(e, "s").collect()} == {1: ["s", "p", two], 2: ["s", "q", two]}
+    assert training.pairs(e).where("example_id = 2").select(training.code_blocks(F.col("answer"))).first()[0] == ["a := 1\n", "b = 2\n", "c"]
