@@ -15,7 +15,7 @@ Defined results
 * A null or absent answer is empty. Without a prompt nothing is copied and no language is wrong.
 * Pairs that are sound have no row. Repeated pairs have a row for each id; null ids are passed over.
 * Openings of fewer than five words are one shingle. Ties between templates of a cluster go to the smallest text.
-* Texts are used whole; the first ``OPENINGS`` sentences of an answer are its openings. Extra columns are ignored.
+* Texts are used whole; all sentences of an answer without a solution are its openings, else the first ``OPENINGS``. Extra columns are ignored.
 * An empty table gives an empty result.
 """
 
@@ -240,10 +240,10 @@ def judged(prompt: str | None, answer: str | None) -> tuple[str | None, list[str
     said = prose(bare)
     units = sentences(_TICKS.sub("\x01", _FENCE.sub("\n", bare)))
     masked = [re.sub(r"\d+", "0", re.sub(r"\s+", " ", u.strip()).lower()).replace("\x01", "`x`") for u in units]
-    openings = masked[:OPENINGS]
-    strong = any(_STRONG.search(o) for o in openings)
     code = any(len(m[2].strip()) > 0 for m in _FENCE.finditer(bare)) or sum(bool(_CODE_LINE.match(x)) for x in bare.split("\n")) >= 2
     solution = code or any("`x`" in m and not _STRONG.search(m) for m in masked)
+    openings = masked[:OPENINGS] if solution else masked
+    strong = any(_STRONG.search(o) for o in openings)
     defect = None
     if prompt:
         a, p = squeezed(answer), squeezed(prompt)

@@ -91,3 +91,10 @@ def test_clusters_verify_the_inner_pairs_of_a_bucket(spark, monkeypatch):
         monkeypatch.setattr(pairs, "PAIRED", block)
         got = {r.opening: r.cluster for r in pairs.clusters(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
         assert got == {texts[0]: texts[0], texts[1]: texts[0], texts[2]: texts[2], texts[3]: texts[3]}
+
+
+def test_a_late_refusal_is_one(spark):
+    said = "Hello there. You ask about a function. I see that the matter is pressing. I cannot help with that."
+    row = lambda k, text: (k, "jsonl", "Why does it fail and what is to be done?", text, None, None)
+    got = pairs.defects(spark.createDataFrame([row(1, said), row(2, said + " Rename `a` and run it again.")], X)).collect()
+    assert [tuple(r) for r in got] == [(1, "refusal")]
