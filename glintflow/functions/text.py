@@ -108,17 +108,17 @@ def normal_message(message: Column) -> Column:
 MASK_LIMIT = 8192
 
 
-def mask_strings(text: Column) -> Column:
-    """Quoted strings of the first 8192 characters replaced by a mark."""
-    t = F.substring(text, 1, MASK_LIMIT)
+def mask_strings(text: Column, compat: bool = False) -> Column:
+    """Quoted strings replaced by a mark; ``compat`` keeps the first 8192 characters only."""
+    t = F.substring(text, 1, MASK_LIMIT) if compat else text
     t = F.regexp_replace(t, '"[^"]*"', '"[STRING]"')
     t = F.regexp_replace(t, "'[^']*'", "'[STRING]'")
     return F.regexp_replace(t, "`[^`]*`", "`[STRING]`")
 
 
-def mask_comments(text: Column) -> Column:
-    """Comments replaced by a mark: line comments at the end of the text, blocks anywhere, then hash comments."""
-    t = F.substring(text, 1, MASK_LIMIT)
+def mask_comments(text: Column, compat: bool = False) -> Column:
+    """Comments replaced by a mark: line comments at the end of the text, blocks anywhere, then hash comments; ``compat`` as above."""
+    t = F.substring(text, 1, MASK_LIMIT) if compat else text
     t = F.regexp_replace(t, r"//[^\n]*\z", "// [COMMENT]")
     t = F.regexp_replace(t, r"/\*[\s\S]*?\*/", "/* [COMMENT] */")
     return F.regexp_replace(t, r"#[^\n]*\z", "# [COMMENT]")

@@ -23,6 +23,7 @@ class Policy:
     errors_only: bool = False
     per_file: int = 50
     anonymous_paths: bool = False
+    compat: bool = False  # texts cut before they are masked
 
     @classmethod
     def strict(cls) -> Policy:
@@ -63,9 +64,9 @@ def sanitised(diagnostics: DataFrame, policy: Policy = Policy()) -> DataFrame:
         rows = rows.where("severity = 'Error'")
     m = F.col("message")
     if policy.mask_strings:
-        m = mask_strings(m)
+        m = mask_strings(m, policy.compat)
     if policy.mask_comments:
-        m = mask_comments(m)
+        m = mask_comments(m, policy.compat)
     rows = rows.withColumn("message", m)
     if policy.anonymous_paths:
         rows = rows.withColumn("file", anonymous_path(F.col("file")))

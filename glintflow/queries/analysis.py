@@ -114,12 +114,12 @@ def _(spark, d):
 
 @query("x_mask_strings", """SELECT id, regexp_replace(regexp_replace(regexp_replace(message[1:8192], '"[^"]*"', '"[STRING]"', 'g'), '''[^'']*''', '''[STRING]''', 'g'), '`[^`]*`', '`[STRING]`', 'g') AS message FROM diagnostics""", True)
 def _(spark, d):
-    return diags(spark, d).select("id", X.mask_strings(F.col("message")).alias("message"))
+    return diags(spark, d).select("id", X.mask_strings(F.col("message"), compat=True).alias("message"))
 
 
 @query("x_mask_comments", r"""SELECT id, regexp_replace(regexp_replace(regexp_replace(message[1:8192], '//[^\n]*\z', '// [COMMENT]'), '/\*(?s:.*?)\*/', '/* [COMMENT] */', 'g'), '#[^\n]*\z', '# [COMMENT]') AS message FROM diagnostics""", True)
 def _(spark, d):
-    return diags(spark, d).select("id", X.mask_comments(F.col("message")).alias("message"))
+    return diags(spark, d).select("id", X.mask_comments(F.col("message"), compat=True).alias("message"))
 
 
 @query("x_anonymous_path", "SELECT id, '[DIR_' || substr(sha256(CASE WHEN contains(file, '/') THEN regexp_extract(file, '^(.*)/[^/]*$', 1) ELSE '' END), 1, 6) || ']/' || regexp_extract(file, '([^/]*)$', 1) AS file FROM diagnostics", True)
@@ -344,7 +344,7 @@ def _(spark, d):
 @query("d_privacy", """, m AS (SELECT id, file, severity_rank, regexp_replace(regexp_replace(regexp_replace(message[1:8192], '"[^"]*"', '"[STRING]"', 'g'), '''[^'']*''', '''[STRING]''', 'g'), '`[^`]*`', '`[STRING]`', 'g') AS message FROM diagnostics
  WHERE NOT coalesce(regexp_matches(file, '^(.*/)?(\\.env[^/]*|secrets/.*|\\.git/.*|node_modules/.*|[^/]*\\.log|dist/.*|build/.*)$'), false)), r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY severity_rank, id) AS i FROM m) SELECT id, file, message FROM r WHERE i <= 50""", True)
 def _(spark, d):
-    return privacy.sanitised(diags(spark, d)).select("id", "file", "message")
+    return privacy.sanitised(diags(spark, d), privacy.Policy(compat=True)).select("id", "file", "message")
 
 
 @query("d_capture")

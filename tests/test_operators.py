@@ -165,3 +165,9 @@ def test_training_texts_of_both_formats(spark):
     assert {r.example_id: json.loads(r.line) for r in training.as_lines(e).collect()} == {1: {"prompt": "p", "completion": two}, 2: {"prompt": "q", "completion": two}}
     assert {r.example_id: [m["content"] for m in json.loads(r.line)["messages"]] for r in training.as_chat(e, "s").collect()} == {1: ["s", "p", two], 2: ["s", "q", two]}
     assert training.pairs(e).where("example_id = 2").select(training.code_blocks(F.col("answer"))).first()[0] == ["a := 1\n", "b = 2\n", "c"]
+
+
+def test_masks_take_whole_texts(spark):
+    one = spark.createDataFrame([("x" * 9000 + ' "b" /* c */ end',)], "m string")
+    r = one.select(text.mask_strings(F.col("m")), text.mask_comments(F.col("m")), text.mask_strings(F.col("m"), compat=True)).first()
+    assert r[0].endswith('x "[STRING]" /* c */ end') and r[1].endswith('"b" /* [COMMENT] */ end') and r[2] == "x" * 8192
