@@ -1,11 +1,15 @@
 """Broken prompt and response pairs, each with its defect.
 
-Responses open with sentences. Identifiers and code are masked in them, and the distinct openings of all
-responses are clustered by MinHash: bands of a signature over their five-word shingles propose neighbours, each that would join two clusters is verified by the Jaccard
-similarity of the shingles (``SIMILAR``), and verified links are contracted to clusters. For each cluster the whole corpus tells over how many
-unrelated prompts it recurs and how often a solution follows. A template that recurs across unrelated prompts, hardly
-ever with a solution, and speaks of declining, is a refusal; one that solutions follow is none, whatever it says. Copies, other
-languages and broken ends are told from each pair alone.
+Responses are split into sentences, identifiers and code masked, and the distinct ones of all responses (their openings, and
+what follows them) are clustered by MinHash: bands of a signature over their five-word shingles propose neighbours, each that would join
+two clusters is verified by the Jaccard similarity of the shingles (``SIMILAR``), and verified links are contracted to clusters. For each
+cluster the whole corpus tells over how many unrelated prompts it recurs and how often a solution (code, or another sentence that names an
+identifier) comes with it. A template that recurs over ``RECURS`` prompts, with a solution in at most ``SOLVED`` of its places, is one of
+refusals, whatever its words and language. If it names an identifier itself, it must also mostly come with a
+recurring sentence that names none and has no solution in half of its places, as a recurring short repair does not; it is no solution then.
+An answer without a solution that consists of such templates by half of its words or more is a refusal. Phrases that decline break ties
+only: where a sentence recurs too seldom for the corpus to tell, or templates are less than half of the answer. A template that
+solutions come with is none, whatever it says. Copies, other languages and broken ends are told from each pair alone.
 
 Order of defects where several would apply: empty, refusal, copies_prompt, wrong_language, truncated.
 
@@ -14,8 +18,8 @@ Defined results
 * The answer is the completion, else the content of the last message of the assistant; the prompt likewise, of the user's last message before it.
 * A null or absent answer is empty. Without a prompt nothing is copied and no language is wrong.
 * Pairs that are sound have no row. Repeated pairs have a row for each id; null ids are passed over.
-* Openings of fewer than five words are one shingle. Ties between templates of a cluster go to the smallest text.
-* Texts are used whole; all sentences of an answer without a solution are its openings, else the first ``OPENINGS``. Extra columns are ignored.
+* Sentences of fewer than five words are one shingle. Ties between templates of a cluster go to the smallest text.
+* Texts are used whole, all sentences of all answers are counted. Extra columns are ignored.
 * An empty table gives an empty result.
 """
 
@@ -30,19 +34,18 @@ from pyspark.sql import types as T
 
 from glintflow.operators.training import pairs
 
-OPENINGS = 3
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
 PAIRED = 1000  # openings in a block of a bucket
 RECURS = 4  # distinct prompts from which on a template counts as recurring
-SOLVED = 0.05  # share of members with a solution up to which it can be a refusal
+SOLVED = 0.05  # share of places with a solution up to which a recurring template is one of refusals
+COVERED = 0.5  # share of an answer's words that such templates make up in a refusal
 
 _FENCE = re.compile(r"```[ \t]*([\w+#.-]*)[ \t]*\n?(.*?)(?:```|\Z)", re.S)
 _TICKS = re.compile(r"`[^`\n]*`")
 _BLANK = r"[\s​-‏⁠﻿­ ]"
 _LABEL = re.compile(rf"^{_BLANK}*(?:[*_#>]*{_BLANK}*(?:answer|response|fix|solution|output|result|reply|assistant|antwort|réponse|respuesta|lösung|solución|a)[*_]*{_BLANK}*[:：][*_]*{_BLANK}*)+", re.I)
 _FILLERS = {"", "na", "none", "null", "nil", "todo", "tbd", "fixme", "answer", "response", "fix", "solution", "output", "placeholder", "empty", "noanswer", "noresponse", "nooutput", "tobedone", "pending", "xxx", "insertanswerhere", "youranswerhere", "keine", "aucune", "ninguna"}  # fixed values
-_WEAK = re.compile(r"\b(?:not|no|cannot|never|decline\w*|refus\w*|sorry|unable|unfortunately|beyond|rather|against|apolog\w+|won['’]?t|can['’]?t|don['’]?t|nicht|kein\w*|leider|désolé\w*|pas|ne|siento|puedo|desculpe|não)\b", re.I)
 _STRONG = re.compile(
     r"\b(?:i|we)\b[^.!?]{0,30}\b(?:can['’]?t|cannot|can not|won['’]?t|will not|unable|not able|not allowed|not permitted|decline|refuse)\b[^.!?]{0,30}\b(?:help|assist|answer|do|comply|provide|work|change|support|fulfil+|discuss|continue|process|with|that|this)\b"
     r"|\b(?:i|we)\b[^.!?]{0,20}\b(?:must|have to|need to) (?:decline|refuse)\b|\b(?:i|we)(?: would|['’]d) (?:rather|prefer) not\b|\bnot (?:feel )?comfortable\b|\bdon['’]?t feel comfortable\b"
@@ -146,23 +149,40 @@ def foreign(prompt: str, answer: str) -> bool:
 
 def prose(text: str) -> str:
     """The text without code."""
-    return _TICKS.sub(" ", _FENCE.sub(" ", text))
+    return _TICKS.sub(" ", _FENCE.sub(" ", text) if "```" in text else text)
+
+
+_QUOTED = re.compile(r"\s*(?:[-*]\s*\[|(?:language|file|diagnostics|code)\s*:)", re.I)
+_MESSAGE = re.compile(r"\bthe message is:", re.I)
 
 
 def prompt_prose(prompt: str) -> str:
     """What the asker wrote: without code and without quoted diagnostics and file headers."""
-    kept = [line for line in prose(prompt).split("\n") if not re.match(r"\s*(?:[-*]\s*\[|(?:language|file|diagnostics|code)\s*:)", line, re.I)]
-    return re.split(r"(?i)\bthe message is:", "\n".join(kept))[0]
+    kept = [line for line in prose(prompt).split("\n") if not _QUOTED.match(line)]
+    return _MESSAGE.split("\n".join(kept))[0]
+
+
+_LINE_MARK = re.compile(r"(?m)^[ \t]*(?:[>|]+|//|#+(?= )|\*(?= )|\d+[.)](?= ))[ \t]*")
+_FENCE_MARK = re.compile(r"```[ \t]*[\w+#.-]*")
+_ZERO_WIDTH = dict.fromkeys([*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD])
+
+
+def unlabelled(text: str) -> str:
+    """The text after a label such as ``Answer:``."""
+    m = _LABEL.match(text)
+    return text[m.end() :] if m else text
 
 
 def squeezed(text: str) -> str:
     """Lower-cased text without white space, quote marks at line starts, fences and emphasis."""
-    t = _LABEL.sub("", text).strip()
+    t = unlabelled(text).strip()
     if len(t) > 1 and t[0] + t[-1] in ('""', "''", "“”", "„“", "«»", "‘’"):
         t = t[1:-1]  # the whole in quotes
-    t = re.sub(r"(?m)^[ \t]*(?:[>|]+|//|#+(?= )|\*(?= )|\d+[.)](?= ))[ \t]*", "", t)
-    t = re.sub(r"```[ \t]*[\w+#.-]*", "", t)
-    return re.sub(rf"{_BLANK}+|\*\*|`", "", t).lower()  # quotes and operators stay: they may be what was mended
+    t = _LINE_MARK.sub("", t)
+    if "```" in t:
+        t = _FENCE_MARK.sub("", t)
+    t = "".join(t.replace("**", "").replace("`", "").split())  # quotes and operators stay: they may be what was mended
+    return (t if t.isascii() else t.translate(_ZERO_WIDTH)).lower()
 
 
 _OPEN, _CLOSE = "([{", ")]}"
@@ -229,43 +249,56 @@ def _broken_code(code: str, asked: str | None) -> bool:
     return bool(re.search(r"(?:[=+*/,(&|]|\b(?:return|if|in|for|def|func|let|const)|\.)$", mine[-1].strip())) and not re.search(r"\breturn$", mine[-1].strip()) or mine[-1].strip().endswith(":")
 
 
-def judged(prompt: str | None, answer: str | None) -> tuple[str | None, list[str], bool, bool]:
-    """(defect told from the pair alone, masked openings, whether a solution is given, whether an opening declines by its words)."""
+_LETTERS = re.compile(r"[^\W_]+")
+_HOLDERS = re.compile(rf"<[^<>]*>|\[[^\[\]]*\]|\([^()]*\)|{_BLANK}")
+_DIGITS = re.compile(r"\d+")
+_LONGEST = max(map(len, _FILLERS))
+
+
+def filler(text: str) -> bool:
+    """Whether letters and digits of the text are nothing or a filler."""
+    held = ""
+    for m in _LETTERS.finditer(text):
+        held += m[0]
+        if len(held) > _LONGEST:
+            return False
+    return held.lower() in _FILLERS
+
+
+def judged(prompt: str | None, answer: str | None) -> tuple[str | None, list[str], bool]:
+    """(defect told from the pair alone, distinct masked sentences, whether code is given)."""
     if answer is None:
-        return "empty", [], False, False
-    bare = _LABEL.sub("", answer)
-    words = re.sub(r"[^\w]|_", "", re.sub(r"```[ \t]*[\w+#.-]*", "", bare)).lower()
-    if words in _FILLERS or re.sub(rf"<[^<>]*>|\[[^\[\]]*\]|\([^()]*\)|{_BLANK}", "", bare) == "" and len(bare) < 60:
-        return "empty", [], False, False
+        return "empty", [], False
+    bare = unlabelled(answer)
+    if filler(_FENCE_MARK.sub("", bare)) or len(bare) < 60 and _HOLDERS.sub("", bare) == "":
+        return "empty", [], False
+    fences = list(_FENCE.finditer(bare)) if "```" in bare else []
     said = prose(bare)
-    units = sentences(_TICKS.sub("\x01", _FENCE.sub("\n", bare)))
-    masked = [re.sub(r"\d+", "0", re.sub(r"\s+", " ", u.strip()).lower()).replace("\x01", "`x`") for u in units]
-    code = any(len(m[2].strip()) > 0 for m in _FENCE.finditer(bare)) or sum(bool(_CODE_LINE.match(x)) for x in bare.split("\n")) >= 2
-    solution = code or any("`x`" in m and not _STRONG.search(m) for m in masked)
-    openings = masked[:OPENINGS] if solution else masked
-    strong = any(_STRONG.search(o) for o in openings)
+    units = sentences(_TICKS.sub("\x01", _FENCE.sub("\n", bare) if fences else bare))
+    masked = [_DIGITS.sub("0", " ".join(u.split()).lower()).replace("\x01", "`x`") for u in units]
+    code = any(m[2].strip() for m in fences) or sum(bool(_CODE_LINE.match(x)) for x in bare.split("\n")) >= 2
     defect = None
     if prompt:
         a, p = squeezed(answer), squeezed(prompt)
-        asked = "".join(squeezed(m[2]) for m in _FENCE.finditer(prompt))
-        head = squeezed(prompt_prose(prompt))
+        asked = "".join(squeezed(m[2]) for m in _FENCE.finditer(prompt)) if "```" in prompt else ""
+        written = prompt_prose(prompt)
+        head = squeezed(written)
         if a and (a == p or a == asked or (asked and a == head) or len(a) >= 20 and (a in p and len(a) >= 0.5 * len(p) or a.strip(".") == p.strip(".") or a == head or a == head + asked)):
             defect = "copies_prompt"
-    if defect is None and prompt:
-        if foreign(prompt_prose(prompt), said):
+        elif foreign(written, said):
             defect = "wrong_language"
     if defect is None and truncated(prompt or "", answer):
         defect = "truncated"
-    return defect, openings, solution, strong
+    return defect, list(dict.fromkeys(masked)), code
 
 
-_JUDGED = T.StructType([T.StructField("defect", T.StringType()), T.StructField("openings", T.ArrayType(T.StringType())), T.StructField("solution", T.BooleanType()), T.StructField("strong", T.BooleanType())])
+_JUDGED = T.StructType([T.StructField("defect", T.StringType()), T.StructField("openings", T.ArrayType(T.StringType())), T.StructField("code", T.BooleanType())])
 
 
 @F.pandas_udf(_JUDGED)
 def _judge(prompts: pd.Series, answers: pd.Series) -> pd.DataFrame:
     rows = [judged(p, a) for p, a in zip(prompts, answers, strict=True)]
-    return pd.DataFrame(rows, columns=["defect", "openings", "solution", "strong"])
+    return pd.DataFrame(rows, columns=["defect", "openings", "code"])
 
 
 def shingles(text: Column) -> Column:
@@ -295,90 +328,123 @@ def _bands(texts: pd.Series) -> pd.Series:
 
 
 def clusters(openings: DataFrame) -> DataFrame:
-    """(opening, cluster): distinct openings and the smallest opening of their cluster.
+    """(opening, cluster): distinct openings and the smallest opening of their cluster."""
+    named = openings.select("opening", F.xxhash64("opening").alias("id"))
+    held = named.join(_labels(named), "id", "left").select("opening", F.coalesce("label", "id").alias("label"))
+    return held.join(held.groupBy("label").agg(F.min("opening").alias("cluster")), "label").select("opening", "cluster")
+
+
+def _labels(openings: DataFrame) -> DataFrame:
+    """(id, label) of those of (id, opening) that are similar to others: one label for each cluster. Ids are 64-bit digests of openings.
 
-    The smallest and the largest opening of a bucket are verified with all others, which joins most; then all pairs of a bucket
+    The smallest and the largest id of a bucket are verified with all others, which joins most; then all pairs of a bucket
     that are still in different clusters are, in blocks of ``PAIRED``, so that no pair of a bucket whose link matters is passed over.
     """
     from glintflow.session import checkpointed
 
-    keyed = checkpointed(openings.select("opening", F.posexplode(_bands(shingles(F.col("opening")))).alias("band", "key")))
-    buckets = keyed.groupBy("band", "key").agg(F.min("opening").alias("lo"), F.max("opening").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    near = keyed.join(buckets, ["band", "key"]).select("opening", F.explode(F.array("lo", "hi")).alias("centre")).where("opening <> centre").distinct()
-    links = checkpointed(_verified(near))
+    keyed = checkpointed(openings.select("id", F.posexplode(_bands(shingles(F.col("opening")))).alias("band", "key")))
+    buckets = keyed.groupBy("band", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    near = keyed.join(buckets, ["band", "key"]).select("id", F.explode(F.array("lo", "hi")).alias("centre")).where("id <> centre").distinct()
+    links = checkpointed(_verified(near, openings))
     label = _contracted(links)
-    held = keyed.join(buckets.where("size > 2").select("band", "key", "size"), ["band", "key"]).join(label, "opening", "left").withColumn("cluster", F.coalesce("cluster", "opening"))
-    torn = held.groupBy("band", "key").agg(F.min("cluster").alias("one"), F.max("cluster").alias("other")).where("one <> other").select("band", "key")
+    held = keyed.join(buckets.where("size > 2").select("band", "key", "size"), ["band", "key"]).join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    torn = held.groupBy("band", "key").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("band", "key")
     held = held.join(torn, ["band", "key"]).withColumn("blocks", F.ceil(F.col("size") / PAIRED).cast("int"))
-    held = checkpointed(held.withColumn("block", F.pmod(F.xxhash64("opening"), F.col("blocks")).cast("int")))
+    held = checkpointed(held.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     if held.limit(1).count():
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        mine = held.select("band", "key", "opening", "cluster", F.col("block").alias("i"), every.alias("j"))
-        theirs = held.select("band", "key", F.col("opening").alias("centre"), F.col("cluster").alias("other"), every.alias("i"), F.col("block").alias("j"))
-        rest = mine.join(theirs, ["band", "key", "i", "j"]).where("opening < centre AND cluster <> other").select("opening", "centre").distinct()
-        label = _contracted(checkpointed(links.unionByName(_verified(rest))))
-    return openings.select("opening").join(label, "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
+        mine = held.select("band", "key", "id", "label", F.col("block").alias("i"), every.alias("j"))
+        theirs = held.select("band", "key", F.col("id").alias("centre"), F.col("label").alias("other"), every.alias("i"), F.col("block").alias("j"))
+        rest = mine.join(theirs, ["band", "key", "i", "j"]).where("id < centre AND label <> other").select("id", "centre").distinct()
+        label = _contracted(checkpointed(links.unionByName(_verified(rest, openings))))
+    return label
 
 
-def _verified(near: DataFrame) -> DataFrame:
-    """The pairs (opening, centre) that are similar, in both directions."""
-    mine, theirs = shingles(F.col("opening")), shingles(F.col("centre"))
-    links = near.where(F.size(F.array_intersect(mine, theirs)) >= SIMILAR * F.size(F.array_union(mine, theirs)))
-    return links.unionByName(links.select(F.col("centre").alias("opening"), F.col("opening").alias("centre"))).distinct()
+def _verified(near: DataFrame, openings: DataFrame) -> DataFrame:
+    """The pairs (id, centre) whose openings are similar, in both directions."""
+    mine, theirs = shingles(F.col("opening")), shingles(F.col("other"))
+    both = near.join(openings.select("id", "opening"), "id").join(openings.select(F.col("id").alias("centre"), F.col("opening").alias("other")), "centre")
+    links = both.where(F.size(F.array_intersect(mine, theirs)) >= SIMILAR * F.size(F.array_union(mine, theirs))).select("id", "centre")
+    return links.unionByName(links.select(F.col("centre").alias("id"), F.col("id").alias("centre"))).distinct()
 
 
 def _contracted(links: DataFrame) -> DataFrame:
-    """(opening, cluster): each linked opening and the smallest opening that links lead to."""
+    """(id, label): each linked id and the smallest id that links lead to."""
     from glintflow.session import checkpointed
 
-    label = checkpointed(links.groupBy("opening").agg(F.least(F.col("opening"), F.min("centre")).alias("cluster")))
+    label = checkpointed(links.groupBy("id").agg(F.least(F.col("id"), F.min("centre")).alias("label")))
     while True:  # the smallest label of the neighbours, then of the label itself, until nothing changes
-        seen = links.join(label.withColumnRenamed("opening", "centre"), "centre").groupBy("opening").agg(F.min("cluster").alias("c"))
-        step = label.join(seen, "opening").select("opening", F.least("cluster", "c").alias("next"), F.col("cluster").alias("was"))
-        jump = step.alias("s").join(label.select(F.col("opening").alias("next"), F.col("cluster").alias("further")), "next", "left")
-        new = checkpointed(jump.select("opening", F.least("next", F.coalesce("further", "next")).alias("cluster"), "was"))
-        label = new.select("opening", "cluster")
-        if new.where("cluster <> was").limit(1).count() == 0:
+        seen = links.join(label.withColumnRenamed("id", "centre"), "centre").groupBy("id").agg(F.min("label").alias("c"))
+        step = label.join(seen, "id").select("id", F.least("label", "c").alias("next"), F.col("label").alias("was"))
+        jump = step.join(label.select(F.col("id").alias("next"), F.col("label").alias("further")), "next", "left")
+        new = checkpointed(jump.select("id", F.least("next", F.coalesce("further", "next")).alias("label"), "was"))
+        label = new.select("id", "label")
+        if new.where("label <> was").limit(1).count() == 0:
             return label
 
 
 def templates(read: DataFrame) -> DataFrame:
-    """(opening, cluster, refusal): every distinct opening; refusal by the corpus-wide figures of its cluster.
+    """(id, label, names, recurs, n, solved, coded, declines): the figures of the cluster (label) of each sentence that recurs or declines.
 
-    A cluster recurs over the distinct prompts of all its members: of each opening the ``RECURS`` smallest prompt keys are carried to
-    it, which tell whether there are so many. It speaks of declining if half of its places do, or if the opening itself does plainly.
+    names: whether it names an identifier. n, solved and coded: the cluster's places, and those with a solution beside it and with code.
+    recurs: whether it stands under ``RECURS`` distinct prompts or more. declines: whether the sentence says so in plain words.
+    A cluster's prompts are those of all its members: of each opening the ``RECURS`` smallest prompt keys are carried to it, which tell
+    whether there are so many.
     """
     from glintflow.session import checkpointed
 
-    each = read.select(F.explode(F.array_distinct("r.openings")).alias("opening"), F.coalesce("prompt_key", F.lit(0)).alias("prompt_key"), F.col("r.solution").cast("int").alias("solved"))
-    stats = checkpointed(each.groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.sum("solved").alias("solved")))
-    member = checkpointed(clusters(stats).join(stats, "opening"))
-    share = F.col("solved") / F.col("n")
-    whole = member.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("solved").alias("solved")).where(share <= 0.5)
-    first = Window.partitionBy("opening").orderBy("prompt_key")
-    few = each.select("opening", "prompt_key").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= RECURS)
-    prompts = few.join(member.select("opening", "cluster"), "opening").groupBy("cluster", "prompt_key").agg(F.lit(1).alias("one")).groupBy("cluster").agg(F.count("one").alias("prompts"))
-    said = checkpointed(member.join(whole.select("cluster"), "cluster", "left_semi").select("opening", "cluster", "n", _cues(F.col("opening")).alias("says")))
-    half = lambda cue: 2 * F.sum(F.when(F.col(f"says.{cue}"), F.col("n")).otherwise(0)) >= F.sum("n")
-    judged_ = said.groupBy("cluster").agg(half("weak").alias("weak"), half("strong").alias("strong")).join(whole, "cluster").join(prompts, "cluster")
-    recurring = F.col("weak") & (F.col("prompts") >= RECURS) & (share <= SOLVED)
-    verdict = said.select("opening", "cluster", "says").join(judged_.select("cluster", recurring.alias("recurring"), "strong"), "cluster")
-    verdict = verdict.select("opening", (F.col("recurring") | F.col("strong") | F.col("says.strong")).alias("refusal"))
-    return member.select("opening", "cluster").join(verdict, "opening", "left").select("opening", "cluster", F.coalesce("refusal", F.lit(False)).alias("refusal"))
+    each = read.select(F.explode("r.openings").alias("opening"), F.coalesce("prompt_key", F.lit(0)).alias("prompt_key"), F.col("r.code").alias("code"), "ticks")
+    each = each.select("opening", "prompt_key", F.col("code").cast("int").alias("coded"), (F.col("code") | (F.col("ticks") > F.when(_names("opening"), 1).otherwise(0))).cast("int").alias("solved"))
+    by_prompt = each.groupBy("opening", "prompt_key").agg(F.count(F.lit(1)).alias("n"), F.sum("solved").alias("solved"), F.sum("coded").alias("coded"))
+    by_prompt = checkpointed(by_prompt.withColumn("id", F.xxhash64("opening")))
+    named = checkpointed(by_prompt.groupBy("id", "opening").agg(F.sum("n").alias("n"), F.sum("solved").alias("solved"), F.sum("coded").alias("coded")))
+    member = checkpointed(named.join(_labels(named.select("id", "opening")), "id", "left").withColumn("label", F.coalesce("label", "id")))
+    figures = member.groupBy("label").agg(F.sum("n").alias("n"), F.sum("solved").alias("solved"), F.sum("coded").alias("coded"))
+    first = by_prompt.select("id", "prompt_key", F.row_number().over(Window.partitionBy("id").orderBy("prompt_key")).alias("k")).where(F.col("k") <= RECURS)  # Spark limits each group before the shuffle
+    prompts = first.join(member.select("id", "label"), "id").select("label", "prompt_key").distinct().groupBy("label").agg((F.count(F.lit(1)) >= RECURS).alias("recurs"))
+    told = member.select("id", "opening", "label", _names("opening").alias("names")).join(figures, "label").join(prompts, "label")
+    return told.withColumn("declines", _declines("opening")).drop("opening").where("recurs OR declines")
+
+
+def _names(opening: str) -> Column:
+    return F.col(opening).contains("`x`")
 
 
-@F.pandas_udf(T.StructType([T.StructField("weak", T.BooleanType()), T.StructField("strong", T.BooleanType())]))
-def _cues(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"weak": [bool(_WEAK.search(t)) for t in texts], "strong": [bool(_STRONG.search(t)) for t in texts]})
+@F.pandas_udf(T.BooleanType())
+def _declines(texts: pd.Series) -> pd.Series:
+    return pd.Series([bool(_STRONG.search(t)) for t in texts], dtype=bool)
+
+
+def refusals(read: DataFrame) -> DataFrame:
+    """(example_id) of the answers that decline and give no solution."""
+    from glintflow.session import checkpointed
+
+    words = lambda o: F.size(F.split(o, " "))
+    open_ = read.where("NOT r.code AND (r.defect IS NULL OR r.defect <> 'empty')").withColumn("k", F.monotonically_increasing_id())  # of a checkpoint: the same whenever it is read
+    open_ = open_.select("example_id", "k", "ticks", "r.openings", F.aggregate("r.openings", F.lit(0), lambda a, o: a + words(o)).alias("words"))
+    said = open_.select("example_id", "k", "ticks", F.col("words").alias("whole"), F.explode("openings").alias("o")).select("example_id", "k", "ticks", "whole", F.xxhash64("o").alias("id"), words(F.col("o")).alias("words"))
+    few = lambda c: F.col(c) <= SOLVED * F.col("n")
+    known = templates(read).select("id", "label", "names", "recurs", "n", "solved", (F.col("declines") & (F.col("solved") <= 0.5 * F.col("n"))).alias("declines"), (~F.col("names") & F.col("recurs") & few("coded") & (F.col("solved") <= 0.5 * F.col("n"))).alias("beside"), (F.col("names") & F.col("recurs") & few("solved")).alias("alone"))
+    told = checkpointed(said.join(known, "id"))
+    # templates that name an identifier: what mostly stands beside them
+    beside = told.groupBy("k").agg(F.bool_or("beside").alias("beside"), F.bool_or("alone").alias("alone")).where("alone").drop("alone")
+    shy = told.where("alone").drop("beside").join(beside, "k").groupBy("label").agg((2 * F.count_if("beside") >= F.count(F.lit(1))).alias("shy")).where("shy")
+    told = told.join(shy, "label", "left").withColumn("shy", F.coalesce("shy", F.col("names") & F.col("declines") & ~F.col("recurs")))
+    # answers that name identifiers in such templates only have no solution
+    unsolved = told.groupBy("k").agg(F.count_if("shy").alias("shies"), F.max("ticks").alias("ticks")).where("shies >= ticks").select("k", (F.col("ticks") > 0).alias("shied"))
+    told = checkpointed(told.join(unsolved, "k"))
+    fewer = told.where("shied AND NOT names").groupBy("label").agg(F.count(F.lit(1)).alias("fewer"))
+    told = told.join(fewer, "label", "left").withColumn("solved", F.col("solved") - F.coalesce("fewer", F.lit(0)))
+    of_template = F.col("recurs") & F.when(F.col("names"), F.col("shy")).otherwise(few("solved"))
+    out = told.groupBy("k", "example_id", "whole").agg(F.sum(F.when(of_template, F.col("words")).otherwise(0)).alias("covered"), F.bool_or("declines").alias("declines"))
+    return out.where(F.col("declines") | (F.col("covered") > 0) & (F.col("covered") >= COVERED * F.col("whole"))).select("example_id").distinct()
 
 
 def defects(examples: DataFrame) -> DataFrame:
     """(example_id, defect) of each defective pair."""
     from glintflow.session import checkpointed
 
-    read = checkpointed(pairs(examples).select("example_id", F.xxhash64("prompt").alias("prompt_key"), _judge("prompt", "answer").alias("r")))
-    refusing = templates(read).where("refusal").select("opening")
-    open_ = read.where("NOT r.solution AND (r.defect IS NULL OR r.defect <> 'empty')").select("example_id", F.explode("r.openings").alias("opening"))
-    refused = open_.join(refusing, "opening", "left_semi").select("example_id").distinct().withColumn("refused", F.lit(True))
-    out = read.join(refused, "example_id", "left")
+    ticks = F.size(F.filter("r.openings", lambda o: o.contains("`x`")))
+    read = checkpointed(pairs(examples).select("example_id", F.xxhash64("prompt").alias("prompt_key"), _judge("prompt", "answer").alias("r")).withColumn("ticks", ticks))
+    out = read.join(refusals(read).withColumn("refused", F.lit(True)), "example_id", "left")
     return out.select("example_id", F.when(F.col("refused"), "refusal").otherwise(F.col("r.defect")).alias("defect")).where("defect IS NOT NULL")

@@ -98,3 +98,37 @@ def test_a_late_refusal_is_one(spark):
     row = lambda k, text: (k, "jsonl", "Why does it fail and what is to be done?", text, None, None)
     got = pairs.defects(spark.createDataFrame([row(1, said), row(2, said + " Rename `a` and run it again.")], X)).collect()
     assert [tuple(r) for r in got] == [(1, "refusal")]
+
+
+def _asks(k):
+    return f"Why does `q{k}` fail here and what is to be done for it?"
+
+
+def test_figures_decide_without_phrases(spark, monkeypatch):
+    never = pairs.F.udf(lambda _: False, "boolean")
+    monkeypatch.setattr(pairs, "_declines", never)
+    rows, want = [], {}
+    say = lambda text, defect=None: (rows.append((len(rows), "jsonl", _asks(len(rows)), text, None, None)), defect and want.update({len(rows) - 1: defect}))
+    for k in range(6):
+        say("Zu dieser Anfrage wird hier grundsätzlich keine Auskunft erteilt. Danke.", "refusal")  # no word of it is listed anywhere
+        say(f"Hello! I would rather talk about something else than `q{k}`. Danke.", "refusal")  # names an identifier, beside a sentence that names none
+        say(f"Rename `q{k}` to fix it.")  # a recurring short repair stands alone
+        say(f"Rename `q{k}` to fix it. Hello!")
+        say("Run the checker again. Change `a` to `b`.")  # recurs beside a solution
+        say(f"Hello! The loop number {k} of this file counts the rows of page {k} in vain, which nobody reads later on anyway.".replace("rows", "rows" + "abcdef"[k]))  # a greeting is less than half
+    got = {r.example_id: r.defect for r in pairs.defects(spark.createDataFrame(rows, X)).collect()}
+    assert {k: v for k, v in got.items() if v == "refusal"} == want
+
+
+def test_clusters_find_all_similar_pairs(spark):
+    """Recall of the links against exact Jaccard over all pairs of distinct sentences."""
+    d = spark.read.parquet("/root/testdata/sf0.01/ml_training_examples.parquet")
+    read = pairs.pairs(d).select(pairs._judge("prompt", "answer").alias("r")).select(pairs.F.explode("r.openings").alias("opening")).distinct()
+    texts = [r.opening for r in read.collect()]
+    texts += [f"{t} {w}" for t in texts if len(t.split()) > 12 for w in ("now", "then", "again")]  # near copies
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split(" ") for t in texts)]
+    got = {r.opening: r.cluster for r in pairs.clusters(spark.createDataFrame([(t,) for t in set(texts)], "opening string")).collect()}
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and texts[i] != texts[j]]
+    found = sum(got[texts[i]] == got[texts[j]] for i, j in links)
+    assert len(links) > 100 and found >= 0.9 * len(links), (found, len(links))
+    print("links found", found, "of", len(links))
