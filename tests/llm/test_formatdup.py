@@ -29,3 +29,45 @@ def test_hot_groups_and_long_texts(spark, monkeypatch):
     for k, m, *_ in sorted(rows):
         first.setdefault(m, k)
     assert got == {(first[m], k) for k, m, *_ in rows if first[m] != k}
+
+
+NESTED = "id string, record struct<kind:string, spans:array<struct<file:string, line:int>>, notes:map<string,struct<text:string, tags:array<string>>>, extra:string>"
+
+
+def _nested(spark):
+    note = lambda text, *tags: (text, list(tags))
+    a = ("Type  mismatch!", [("src/a.rs", 3), ("b.rs", 4)], {"Why": note("Expected `u8`", "x", "Y"), "how": note("cast it")}, None)
+    rows = [
+        ("2", a), ("1", ("type mismatch", [("SRC a.rs", 3), ("b rs", 4)], {"HOW": note("Cast it."), "why": note("expected u8", "y", "X")}, "")),  # children permuted at two levels, other spellings
+        ("3", ("type mismatch", [("b.rs", 4), ("src/a.rs", 3)], {"how": note("cast it"), "why": note("expected u8", "x", "y")}, None)),  # spans have an order
+        ("4", ("type mismatch", [("src/a.rs", 3), ("b.rs", 4)], {"how": note("expected u8", "x", "y"), "why": note("cast it")}, None)),  # other labels
+        ("5", ("type mismatch", [("src/a.rs", 3)], {}, "b.rs 4")), ("6", (None, None, None, None)), ("7", ("", [], {}, " .")), ("8", None), ("8", None), (None, a),
+    ]
+    return spark.createDataFrame(rows, NESTED)
+
+
+def test_nested_records(spark, monkeypatch):
+    df = _nested(spark)
+    want = {("1", "2"), ("6", "7"), ("6", "8")}
+    for hot in (1 << 20, 1):
+        monkeypatch.setattr(formatdup, "HOT", hot)
+        assert sorted(tuple(r) for r in formatdup.record_copies(df, ("tags",)).collect()) == sorted(want)
+        assert {tuple(r) for r in formatdup.record_groups(df, ("tags",)).collect()} == {("1", 2), ("3", 1), ("4", 1), ("5", 1), ("6", 3)}
+    assert {tuple(r) for r in formatdup.record_copies(df).collect()} == want - {("1", "2")}  # tags have an order now
+
+
+def test_a_collision_joins_nothing(spark, monkeypatch):
+    real = formatdup.rooted
+    monkeypatch.setattr(formatdup, "rooted", lambda r, u=(): real(r, u).withColumn("root", formatdup.F.unhex(formatdup.F.lit("00" * 16))))
+    for hot in (1 << 20, 2):
+        monkeypatch.setattr(formatdup, "HOT", hot)
+        assert {tuple(r) for r in formatdup.record_copies(_nested(spark), ("tags",)).collect()} == {("1", "2"), ("6", "7"), ("6", "8")}
+        assert {tuple(r) for r in formatdup.record_groups(_nested(spark), ("tags",)).collect()} == {("1", 2), ("3", 1), ("4", 1), ("5", 1), ("6", 3)}
+
+
+def test_flat_records_have_the_digests_of_nested_ones(spark):
+    r = spark.createDataFrame([("1", ("A b", "c", None))], "id string, record struct<message:string,code:string,source:string>")
+    kind = r.schema["record"].dataType
+    one = formatdup.rooted(r).select(formatdup.F.lower(formatdup.F.hex("root")).alias("root"), "whole").first()
+    two = r.select(formatdup.root_digest(formatdup.F.col("record"), kind).alias("root"), formatdup.structure(formatdup.F.col("record"), kind).alias("whole")).first()
+    assert tuple(one) == tuple(two)
