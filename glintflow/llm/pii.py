@@ -1,22 +1,29 @@
 """Personal information in free text: find it and replace it by typed placeholders.
 
-Anchor expansion: an Aho-Corasick automaton finds at-signs and their disguises, schemes, identifier
-cues, street words and the parts of registered persons' names in one pass; at each anchor a
-deterministic local parser expands to the item's boundaries and validates it. Numbers in the shape of
-a telephone are their own anchors. A later item never overlaps an earlier, stronger one: schemes and
-remotes protect their text, then e-mails, identity numbers, addresses, telephones and names.
+Anchor expansion: one pass of an Aho-Corasick automaton over a text finds the anchors, and at each of them a deterministic local parser
+expands to the item's boundaries and validates it; nothing else reads the text. Anchors are
+
+* at-signs and their disguises, for e-mails, remotes and handles; schemes and slashes, for addresses of the net and paths, which shield their text;
+* cues of identity numbers, and letters or digits that meet digits as they do in such numbers;
+* types of streets (words in English and French, endings of words in German);
+* plus signs, opened brackets and separators between digits, and cues of telephones;
+* the parts of registered persons' names, and cues, titles, greetings and signatures that names follow.
+
+A later item never overlaps an earlier, stronger one: schemes and
+remotes protect their text, then e-mails, paths, handles, identity numbers, addresses, telephones and names.
 
 Names come from the member registry: given names and surnames as registered, and surnames put together from
 two parts that are each productive in it. The distinct name parts are broadcast if there are at most
-``MAX_NAME_PARTS``; beyond that, the words of each text are joined with them instead.
+``MAX_NAME_PARTS`` names. Beyond that the same parts are worked out as tables and the words of the texts are joined with them; the results
+are the same. A name that the registry doesn't suggest is found after a cue only (``Dear``, ``contact``, ``Mr``), as capitalised words.
 
 Defined results
 ---------------
 * Null, empty and blank texts hold nothing; null ids are kept as null.
 * Repeated rows give one row for each id and type.
-* Texts of any length are scanned whole, in time linear in their length.
-* Overlapping candidates: the first in the order above holds. Ties within a type go to the longer item.
-* Without a registry (empty table) only the names beside cues that follow ``First Last`` are missed; other types are unaffected.
+* Texts of any length are scanned whole, in time in proportion to their length and the number of anchors.
+* Overlapping candidates: the first in the order above holds. Ties within a type go to the one that begins first.
+* Without a registry (empty table) only names beside cues are found; other types are unaffected.
 * Extra columns, also named like the outputs, are ignored.
 """
 
@@ -35,9 +42,7 @@ MAX_NAME_PARTS = 200_000
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _DOT = r"(?:\.|\s?[\(\[\{]\s?dot\s?[\)\]\}]\s?|\sdot\s)"
-_LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]|%(?!40))*$")
 _DOMAIN = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9])", re.I)
-_WORD_AT = re.compile(r"\s?(?:[\(\[\{]\s?at\s?[\)\]\}]|\bat\b)\s?", re.I)
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
 _PATH = re.compile(r"(?<![\w/])(?:~|\.{0,2})/(?:[\w.@+-]+/)+[\w.@+-]*")
 _HANDLE = re.compile(r"(?<![\w.+-])@[A-Za-z][\w.-]*(?:/[\w.-]+)*")
@@ -52,13 +57,15 @@ _ID_BARE = re.compile(r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\
 STREETS = (
     "street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "crescent", "cres", "drive", "court", "boulevard", "blvd", "way", "place", "square", "terrace", "close", "row", "grove", "gardens",
 )  # fixed values
+GERMAN_STREETS = ("weg", "straße", "strasse", "str.", "allee", "gasse", "platz", "ring", "damm", "ufer")  # fixed values
+FRENCH_STREETS = ("rue", "avenue", "boulevard", "place", "chemin", "quai", "allée", "impasse", "cours")  # fixed values
 _EN_STREET = re.compile(
     r"(?<![\w.-])(?:(?:flat|apt|apartment|unit|suite)\.? ?\d+[A-Za-z]?,? )?\d{1,5}[A-Za-z]?,? (?:[NSEW]{1,2}\.? )?(?:[A-Z][\w-]*(?:['’][\w-]+)* |[A-Z][A-Za-z]{0,2}\. ){1,3}(?:" + "|".join(STREETS) + r")\b\.?"
     r"(?:,? (?:suite|apt|apartment|unit|flat|floor)\.? ?\d+[A-Za-z]?)?"
     r"(?:,? (?:[A-ZÀ-Þ][\w-]*(?:['’][\w-]+)*)(?: [A-ZÀ-Þ][\w-]*(?:['’][\w-]+)*)?(?:,? \d{4,5})?)?"
 )
-_DE_STREET = re.compile(r"(?<![\w-])[A-ZÄÖÜ][\wäöüß-]*(?i:weg|straße|strasse|str\.|allee|gasse|platz|ring|damm|ufer) \d{1,4}[a-z]?\b(?:, (?:\d{4,5} )?[A-ZÀ-Þ][\w-]*(?:['’][\w-]+)*(?: [A-ZÀ-Þ][\w-]*(?:['’][\w-]+)*)?)?")
-_FR_STREET = re.compile(r"(?<![\w.-])\d{1,4}(?: (?i:bis|ter))?,? (?i:rue|avenue|boulevard|place|chemin|quai|allée|impasse|cours) (?:(?i:de la|de l['’]|des|du|de|d['’]|la|le|les) ?)?[A-ZÀ-Þ][\w-]*(?:['’][\w-]+)*(?: [A-ZÀ-Þ][\w-]*(?:['’][\w-]+)*)?(?:, (?:\d{4,5} )?[A-ZÀ-Þ][\w-]*(?:['’][\w-]+)*(?: [A-ZÀ-Þ][\w-]*(?:['’][\w-]+)*)?)?")
+_DE_STREET = re.compile(r"(?<![\w-])[A-ZÄÖÜ][\wäöüß-]*(?i:" + "|".join(map(re.escape, GERMAN_STREETS)) + r") \d{1,4}[a-z]?\b(?:, (?:\d{4,5} )?[A-ZÀ-Þ][\w-]*(?:['’][\w-]+)*(?: [A-ZÀ-Þ][\w-]*(?:['’][\w-]+)*)?)?")
+_FR_STREET = re.compile(r"(?<![\w.-])\d{1,4}(?: (?i:bis|ter))?,? (?i:" + "|".join(FRENCH_STREETS) + r") (?:(?i:de la|de l['’]|des|du|de|d['’]|la|le|les) ?)?[A-ZÀ-Þ][\w-]*(?:['’][\w-]+)*(?: [A-ZÀ-Þ][\w-]*(?:['’][\w-]+)*)?(?:, (?:\d{4,5} )?[A-ZÀ-Þ][\w-]*(?:['’][\w-]+)*(?: [A-ZÀ-Þ][\w-]*(?:['’][\w-]+)*)?)?")
 
 _PHONE = re.compile(
     r"(?<![\w.+/-])(?:"
@@ -71,8 +78,17 @@ _PHONE = re.compile(
     r")(?:,? ?(?:ext|x|extension)\.? ?\d{1,5})?(?![\w-]|\.\d)",
     re.I,
 )
-_PHONE_CUED = re.compile(r"\b(?:tel|telephone|phone|mobile|mob|cell|fax|whatsapp)\b[.:=]? ?(?:no\.?|number)? ?[:=]? ?(\+?\(?\d[\d ().-]{6,16}\d)(?![\w-]|\.\d)", re.I)
+PHONE_CUES = ("telephone", "phone", "mobile", "whatsapp", "cell", "tel", "mob", "fax")  # fixed values
+_AFTER_PHONE_CUE = re.compile(r"(?!\w)[.:=]? ?(?:no\.?|number)? ?[:=]? ?(\+?\(?\d[\d ().-]{6,16}\d)(?![\w-]|\.\d)", re.I)
+_EXTENSION = re.compile(r"[ ,]*(?:ext|x)", re.I)
 _INITIAL = re.compile(r"[ ]([A-Z])\.(?!\w)")
+NAME_CUES = ("mr", "mrs", "ms", "dr", "prof", "dear", "contact", "regards", "sincerely")  # fixed values
+_AFTER_NAME_CUE = re.compile(r"(?<=[a-z])[.,]?[ \n]{1,2}([A-ZÀ-Þ][^\W\d_A-Z]+(?:['’-][A-ZÀ-Þ]?[^\W\d_A-Z]+)*(?: [A-Z]\.)?(?:[ ](?:(?:van|von|de|di|da|del|la|le) )?[A-ZÀ-Þ][^\W\d_A-Z]+(?:['’-][A-ZÀ-Þ]?[^\W\d_A-Z]+)*){1,2})(?![\w@/\\])")
+_FRENCH_NUMBER = re.compile(r"(?<![\w.-])\d{1,4}(?: (?:bis|ter))?,? $", re.I)
+_ENGLISH_START = re.compile(r"(?<![\w.-])(?:(?:flat|apt|apartment|unit|suite)\b|\d)", re.I)
+_GERMAN_LETTER = re.compile(r"[\wäöüß-]")
+_BETWEEN_NAMES = re.compile(r",? |-|\xa0| [A-Z]\. ")
+_INITIAL_BEFORE = re.compile(r"(?<!\w)[A-Z]\. $")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]{2,})?")
 
 
@@ -92,118 +108,219 @@ def name_parts(names: list[str]) -> tuple[set[str], set[str]]:
     return parts, {a + b for a, n in firsts.items() if n >= 4 for b, m in seconds.items() if m >= 4} - parts
 
 
+def _anchors(names: set[str]) -> dict[str, list[str]]:
+    """Every anchor in lower case, with its kinds."""
+    digits = "0123456789"
+    kinds = {
+        "at": ["@", "＠", "%40", "(at)", "[at]", "{at}", " at ", "( at )"], "scheme": ["://"], "slash": ["/"], "id": ID_CUES, "letters": [a + sep + d for a in "abcdefghijklmnopqrstuvwxyz" for sep in ("", " ") for d in digits],
+        "digits": [*(a + sep + d for a in digits for sep in " .-/" for d in digits), *("(" + d for d in digits), *("+" + d for d in digits)], "tel": PHONE_CUES,
+        "en": STREETS, "de": [x + " " for x in GERMAN_STREETS], "fr": [x + " " for x in FRENCH_STREETS], "who": NAME_CUES, "name": names,
+    }
+    out: dict[str, list[str]] = {}
+    for kind, words in kinds.items():
+        for w in words:
+            out.setdefault(w, []).append(kind)
+    return out
+
+
+class _Taken:
+    """The places of a text that belong to an item or are shielded: a byte a character, so that asking and taking cost the span's length."""
+
+    def __init__(self, length: int) -> None:
+        self.marks = bytearray(length)
+
+    def free(self, s: int, e: int) -> bool:
+        return self.marks.find(1, s, e) < 0
+
+    def take(self, s: int, e: int) -> None:
+        self.marks[s:e] = b"\x01" * (e - s)
+
+
 class Finder:
     """Finds the items of one text; built once a Python worker."""
 
     def __init__(self, parts: set[str], made: set[str]) -> None:
         import ahocorasick
 
-        self.names = parts | made
         self.auto = ahocorasick.Automaton()
-        anchors = {"@": "at", "＠": "at", "%40": "at", "(at)": "at", "[at]": "at", "{at}": "at", " at ": "at", "( at )": "at", "://": "scheme"}
-        anchors |= dict.fromkeys(ID_CUES, "id")
-        for a, kind in anchors.items():
-            self.auto.add_word(a, (kind, len(a)))
+        for a, kinds in _anchors(parts | made).items():
+            self.auto.add_word(a, (tuple(kinds), len(a)))
         self.auto.make_automaton()
 
     def spans(self, text: str, names: set[str] | None = None) -> list[tuple[int, int, str]]:
-        """(start, end, type), sorted, without overlaps; names: the name parts to look for, if not those of the registry."""
+        """(start, end, type), sorted, without overlaps; names: further name parts to look for."""
         low = text.lower()
         if len(low) != len(text):  # some letters grow when lowered
             low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-        hits = list(self.auto.iter(low))
-        shielded: list[tuple[int, int, str]] = []
+        hits: dict[str, list[tuple[int, int]]] = {}
+        for end, (kinds, n) in self.auto.iter(low):
+            for kind in kinds:
+                hits.setdefault(kind, []).append((end - n + 1, end + 1))
+        for w in names or ():
+            at = low.find(w)
+            while at >= 0:
+                hits.setdefault("name", []).append((at, at + len(w)))
+                at = low.find(w, at + 1)
+        if not hits:
+            return []
+        taken = _Taken(len(text))
         found: list[tuple[int, int, str]] = []
-        free = lambda s, e: all(e <= a or s >= b for a, b, _ in found) and all(e <= a or s >= b for a, b, _ in shielded)
-
-        for end, (kind, n) in hits:
-            if kind == "scheme":
-                at = _URL.search(text, max(0, end - n - 20), end - n + 1)
-                stop = end + 1
-                while stop < len(text) and not text[stop].isspace() and text[stop] not in "\"'<>)]":
-                    stop += 1
-                shielded.append((at.start() if at else end - n + 1, stop, ""))
-        for end, (kind, n) in hits:
-            if kind == "at":
-                self._email(text, end - n + 1, end + 1, found, shielded)
-        for m in _PATH.finditer(text):
-            if free(*m.span()):
-                shielded.append((*m.span(), ""))
-        if "@" in text:
-            for m in _HANDLE.finditer(text):
-                if free(*m.span()):
-                    shielded.append((*m.span(), ""))
-        if any(c.isdigit() for c in text):
-            for end, (kind, n) in hits:
-                if kind == "id" and not (low[end - n : end - n + 1].isalnum()):
-                    m = _ID_AFTER.match(text, end + 1)
-                    if m and sum(c.isdigit() for c in m[1]) >= 6 and free(*m.span(1)):
-                        found.append((*m.span(1), "id_number"))
-            for m in _ID_BARE.finditer(text):
-                if free(*m.span()):
-                    found.append((*m.span(), "id_number"))
-            for pattern in (_DE_STREET, _FR_STREET, _EN_STREET_I):
-                for m in pattern.finditer(text):
-                    if free(*m.span()):
-                        found.append((*m.span(), "address"))
-            for m in _PHONE.finditer(text):
-                if 9 <= sum(c.isdigit() for c in re.split(r"(?i)[ ,]*(?:ext|x)", m[0])[0]) <= 15 and free(*m.span()):
-                    found.append((*m.span(), "phone"))
-            for m in _PHONE_CUED.finditer(text):
-                if 7 <= sum(c.isdigit() for c in m[1]) <= 15 and free(*m.span(1)):
-                    found.append((*m.span(1), "phone"))
-        self._names(text, low, found, free, self.names if names is None else names)
+
+        def add(s: int, e: int, kind: str) -> None:
+            if taken.free(s, e):
+                taken.take(s, e)
+                found.append((s, e, kind))
+
+        for s, e in hits.get("scheme", ()):
+            if taken.marks[s]:
+                continue
+            while s > 0 and (low[s - 1].isascii() and low[s - 1].isalnum() or low[s - 1] in "+.-") and not taken.marks[s - 1]:
+                s -= 1
+            while not low[s].isalpha() and low[s] != ":":
+                s += 1
+            taken.take(s, _TO_SCHEME_END.match(text, e).end())
+        for s, e in hits.get("at", ()):
+            if not taken.marks[s]:
+                self._email(text, s, e, taken, add)
+        past = 0
+        for s, _ in hits.get("slash", ()):
+            if s >= past:
+                while s > 0 and s > past and (text[s - 1] == "." and text[s : s + 1] in "./" and text[s : s + 2] != ".." or text[s - 1] == "~" and text[s] == "/"):
+                    s -= 1
+                m = _PATH.match(text, s)
+                if m:
+                    past = m.end()
+                    if taken.free(*m.span()):
+                        taken.take(*m.span())
+        for s, e in hits.get("at", ()):
+            if text[s:e] == "@" and (m := _HANDLE.match(text, s)) and taken.free(*m.span()):
+                taken.take(*m.span())
+        for s, e in hits.get("id", ()):
+            if not low[s - 1 : s].isalnum() and (m := _ID_AFTER.match(text, e)) and sum(map(str.isdigit, m[1])) >= 6:
+                add(*m.span(1), "id_number")
+        starts = self._number_starts(text, hits)
+        past = 0
+        for s in starts:
+            if s >= past and (m := _ID_BARE.match(text, s)):
+                past = m.end()
+                add(*m.span(), "id_number")
+        self._addresses(text, hits, add, taken)
+        past = 0
+        for s in starts:
+            if s >= past and (m := _PHONE.match(text, s)):
+                past = m.end()
+                if 9 <= sum(map(str.isdigit, _EXTENSION.split(m[0])[0])) <= 15:
+                    add(*m.span(), "phone")
+        for s, e in hits.get("tel", ()):
+            if not (low[s - 1 : s].isalnum() or low[s - 1 : s] == "_") and (m := _AFTER_PHONE_CUE.match(text, e)) and 7 <= sum(map(str.isdigit, m[1])) <= 15:
+                add(*m.span(1), "phone")
+        for s, e in hits.get("who", ()):
+            if not (low[s - 1 : s].isalnum() or low[s - 1 : s] in ("_", "-", "/", "@", ".")) and (m := _AFTER_NAME_CUE.match(text, e)):
+                add(*m.span(1), "name")
+        self._names(text, low, hits.get("name", ()), taken, found)
         return sorted(found)
 
-    def _email(self, text: str, s: int, e: int, found: list, shielded: list) -> None:
-        word = text[s:e].strip().lower() == "at"
-        left = s
-        while left > 0 and text[left - 1] == " " and text[s:e] not in ("@", "%40"):
-            left -= 1
-        local = _LOCAL.search(text, max(0, left - 80), left)
-        if local is None or local.start() == local.end():
-            return
-        right = e
-        while right < len(text) and text[right] == " " and text[s:e] not in ("@", "%40"):
-            right += 1
-        domain = _DOMAIN.match(text, right)
+    @staticmethod
+    def _number_starts(text: str, hits: dict) -> list[int]:
+        """Where telephones and identity numbers may begin: at the sign, bracket, letters or first digit that an anchor belongs to."""
+        starts = set()
+        low = -1  # digits before it were expanded by an earlier anchor
+        for s, _ in hits.get("digits", ()):
+            if text[s].isdigit():
+                at = s
+                while s > 0 and s - 1 > low and text[s - 1].isdigit():
+                    s -= 1
+                low = at
+            starts.add(s)
+        for s, _ in hits.get("letters", ()):
+            if s > 0:
+                starts.add(s - 1)
+        return sorted(starts)
+
+    @staticmethod
+    def _email(text: str, s: int, e: int, taken: _Taken, add) -> None:
+        sign = text[s:e]
+        word = sign.strip().lower() == "at"
+        left, right = s, e
+        if sign not in ("@", "%40"):
+            while left > 0 and text[left - 1] == " ":
+                left -= 1
+            while right < len(text) and text[right] == " ":
+                right += 1
+        a = left
+        while a > 0 and (text[a - 1].isascii() and text[a - 1].isalnum() or text[a - 1] in "._+-" or text[a - 1] == "%" and text[a : a + 2] != "40"):
+            a -= 1
+        while a < left and not text[a].isalnum():
+            a += 1
+        domain = _DOMAIN.match(text, right) if a < left else None
         if domain is None or word and " dot " not in domain[0].lower() and "dot" not in re.sub(r"[^a-z ]", " ", domain[0].lower()).split():
             return
-        a, b = local.start(), domain.end()
-        if text[b : b + 1] == ":" and re.match(r":[\w~/.-]+", text[b:]) and text[s:e] == "@" or text[b : b + 1] == "/" and local[0] == "git":
-            stop = b
-            while stop < len(text) and not text[stop].isspace() and text[stop] not in "\"'<>)":
-                stop += 1
-            shielded.append((a, stop, ""))  # a remote
+        b = domain.end()
+        if text[b : b + 1] == ":" and _REMOTE.match(text, b) and sign == "@" or text[b : b + 1] == "/" and text[a:left] == "git":
+            taken.take(a, _TO_REMOTE_END.match(text, b).end())
             return
-        if all(b <= x or a >= y for x, y, _ in found) and all(b <= x or a >= y for x, y, _ in shielded):
-            found.append((a, b, "email"))
-
-    def _names(self, text: str, low: str, found: list, free, names: set[str]) -> None:
-        run: list[list[int]] = []
-        for m in _WORD.finditer(low):
-            w = m[0]
-            s, e = m.span()
-            if w.endswith(("'s", "’s")):
-                w, e = w[:-2], e - 2
-            if w not in names or not free(s, e):  # a name inside an e-mail or path is none
+        add(a, b, "email")
+
+    @staticmethod
+    def _addresses(text: str, hits: dict, add, taken: _Taken) -> None:
+        past = 0
+        for s, e in hits.get("de", ()):
+            if text[e : e + 1].isdigit():
+                while s > past and _GERMAN_LETTER.match(text[s - 1]):
+                    s -= 1
+                if m := _DE_STREET.match(text, s):
+                    past = m.end()
+                    add(*m.span(), "address")
+        for s, _ in hits.get("fr", ()):
+            if (n := _FRENCH_NUMBER.search(text, max(0, s - 16), s)) and (m := _FR_STREET.match(text, n.start())):
+                add(*m.span(), "address")
+        past = 0
+        for s, e in hits.get("en", ()):
+            if s < past or text[s - 1 : s] != " " or text[e : e + 1].isalnum() or text[e : e + 1] == "_":
                 continue
+            at = s - 1
+            for _ in range(8):  # a flat and its number, the house number, a direction, and up to three words
+                at = text.rfind(" ", past, at) if at > past else -1
+                if at < 0:
+                    break
+            for start in _ENGLISH_START.finditer(text, max(at, past), s):
+                m = _EN_STREET_I.match(text, start.start())
+                if m and m.end() >= e:
+                    past = m.end()
+                    add(*m.span(), "address")
+                    break
+
+    @staticmethod
+    def _names(text: str, low: str, hits, taken: _Taken, found: list) -> None:
+        run: list[list[int]] = []
+        for s, e in sorted(hits):
             before, after = text[s - 1 : s], text[e : e + 1]
+            if before.isalpha() or after.isalpha():
+                continue
+            if before in ("'", "’") and text[s - 2 : s - 1].isalpha() and s > 1 and text[s + 1 : s + 2].isalpha():
+                continue  # inside a word with an apostrophe
+            if after in ("'", "’") and after and text[e + 1 : e + 2].isalpha() and text[e + 2 : e + 3].isalpha():
+                continue
+            if not taken.free(s, e):  # a name inside an e-mail or path is none
+                continue
             if before in ("_", "@", "/", "\\", "+") and before or after in ("_", "@", "/", "\\") and after or before.isdigit() or after.isdigit() or before == "." and s > 1 and text[s - 2].isalnum() or after == "." and text[e + 1 : e + 2].isalnum():
                 continue
-            if run and re.fullmatch(r",? |-|\xa0| [A-Z]\. ", text[run[-1][1] : s]):
+            if run and _BETWEEN_NAMES.fullmatch(text, run[-1][1], s):
                 run[-1][1] = e
             else:
                 run.append([s, e])
         for s, e in run:
             if m := _INITIAL.match(text, e):
                 e = m.end()
-            elif re.search(r"(?<!\w)[A-Z]\. $", text[max(0, s - 4) : s]) and free(s - 3, s):
+            elif _INITIAL_BEFORE.search(text, max(0, s - 4), s) and taken.free(s - 3, s):
                 s -= 3
-            if free(s, e):
+            if taken.free(s, e):
+                taken.take(s, e)
                 found.append((s, e, "name"))
 
 
+_REMOTE = re.compile(r":[\w~/.-]")
+_TO_SCHEME_END, _TO_REMOTE_END = re.compile(r"[^\s\"'<>)\]]*"), re.compile(r"[^\s\"'<>)]*")
 # English streets by capitalised words, or the whole in capitals; only the type of street may be in any case
 _EN_STREET_I = re.compile(_EN_STREET.pattern.replace("(?:" + "|".join(STREETS) + ")", "(?i:" + "|".join(STREETS) + ")").replace("(?:flat|apt|", "(?i:flat|apt|").replace("(?:suite|apt|", "(?i:suite|apt|"))
 
@@ -221,6 +338,26 @@ def _registered(members: DataFrame) -> DataFrame:
     return members.select(F.trim("name").alias("name")).where("name IS NOT NULL AND name <> ''").distinct()
 
 
+_PART = r"([^\W\d_]+(?:['’][^\W\d_]{2,})?)"
+
+
+def _name_words(names: DataFrame, words: DataFrame) -> DataFrame:
+    """The words (w) that are parts of registered names, or surnames made of two parts that are each productive among them, as ``name_parts`` has them."""
+    from glintflow.session import checkpointed
+
+    held = F.regexp_extract_all(F.lower("name"), F.lit(r"(?U)" + _PART), 1)
+    parts = checkpointed(names.select(held.alias("p")).select("p", F.size("p").alias("n")))
+    single = parts.select(F.explode("p").alias("w")).where("length(w) > 2").distinct()
+    last = parts.where("n > 1").select(F.explode(F.slice("p", 2, F.col("n") - 1)).alias("w")).where("length(w) > 4").distinct()
+    cut = lambda df: df.select("w", F.explode(F.sequence(F.lit(3), F.length("w") - 2)).alias("k")).select("w", "k", F.expr("substring(w, 1, k)").alias("a"), F.expr("substring(w, k + 1)").alias("b"))
+    cuts = cut(last)
+    heads, tails = cuts.groupBy("a").agg(F.count(F.lit(1)).alias("na")), cuts.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
+    best = checkpointed(cuts.join(heads, "a").join(tails, "b").groupBy("w").agg(F.max_by(F.struct("a", "b"), F.struct(F.col("na") * F.col("nb"), "k")).alias("c")))
+    productive = lambda side: best.groupBy(F.col(f"c.{side}").alias(side)).agg(F.count(F.lit(1)).alias("n")).where("n >= 4").select(side)
+    made = cut(words.where("length(w) > 4")).join(productive("a"), "a", "left_semi").join(productive("b"), "b", "left_semi").select("w")
+    return words.join(single.unionByName(made).distinct(), "w", "left_semi")
+
+
 def _scan(rows: DataFrame, members: DataFrame, what: str) -> DataFrame:
     """Adds ``_out`` to rows with ``_t``: the types found, or the redacted text."""
     spark = rows.sparkSession
@@ -244,15 +381,14 @@ def _scan(rows: DataFrame, members: DataFrame, what: str) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     if small:
-        known = F.lit(None).cast("array<string>")
-    else:  # a registry that is too large to broadcast: the words of each distinct text are joined with its parts
-        words = F.regexp_extract_all(F.lower("_t"), F.lit(r"(\p{L}{3,})"), 1)
-        rows = rows.withColumn("_h", F.sha2("_t", 256))
-        parts = members.select(F.explode(F.regexp_extract_all(F.lower("name"), F.lit(r"(\p{L}{3,})"), 1)).alias("_w")).distinct()
-        held = rows.select("_h", F.explode(F.array_distinct(words)).alias("_w")).distinct().join(parts, "_w", "left_semi").groupBy("_h").agg(F.collect_set("_w").alias("_known"))
-        rows = rows.join(held, "_h", "left")
-        known = F.coalesce("_known", F.array().cast("array<string>"))
-    return rows.withColumn("_out", scan(F.col("_t"), known))
+        return rows.withColumn("_out", scan(F.col("_t"), F.lit(None).cast("array<string>")))
+    # a registry that is too large to broadcast: the distinct words of the texts are joined with its parts
+    rows = rows.withColumn("_h", F.sha2("_t", 256))
+    words = rows.select("_h", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower("_t"), "['’]s(?![a-z])", " "), F.lit(r"(?U)" + _PART), 1))).alias("w")).distinct()
+    known = _name_words(_registered(members), words.select("w").distinct())
+    held = words.join(known, "w").groupBy("_h").agg(F.collect_set("w").alias("_known"))  # the words of one text
+    rows = rows.join(held, "_h", "left")
+    return rows.withColumn("_out", scan(F.col("_t"), F.col("_known")))
 
 
 _FINDERS: dict[int, Finder] = {}

@@ -49,3 +49,40 @@ def test_rows(spark, monkeypatch):
     assert {(r.record_id, r.pii_type) for r in found().collect()} == want
     assert pii.redacted(rows, "t", "id", F.col("notes"), members.limit(0)).where("redacted = 'İ Galo'").count() == 1
     assert pii.personal_items(rows.limit(0), "t", "id", F.col("notes"), members).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [
+    ("x" * 90 + ".y@mail.example ok", "[EMAIL] ok"), ("...a.b@mail.example", "...[EMAIL]"), ("Contact Maria Gonzalez at the desk", "Contact [NAME] at the desk"), ("Dear Anna van Holt, the build", "Dear [NAME], the build"), ("Best regards,\nPetra Lindqvist-Marr", "Best regards,\n[NAME]"),
+    ("ask Dr. Marta B. Okafor.", "ask Dr. [NAME]."), ("contact the Larkspur Gateway team", None), ("contact Support", None), ("QQ957443B and QQ 95 74 43 B", "[ID_NUMBER] and [ID_NUMBER]"), ("+49 30 23125 993 or 020 7946 0989, not 7.946.0989.1", "[PHONE] or [PHONE], not 7.946.0989.1"),
+    ("Am Markt, Langegasse 5, 28 Old Mill Road Lane and 12 rue de la Paix", "Am Markt, [ADDRESS], [ADDRESS] and [ADDRESS]"), ("at ~/x/ilse/y.rs and ./galo/z, ../noor/q/ too", None), ("phone: 5835550176, telephone no. 583 555 0177", "phone: [PHONE], telephone no. [PHONE]"), ("O'Galo and Galo’s; d'Ilse", "O'Galo and [NAME]’s; d'Ilse"),
+])
+def test_more_redactions(finder, text, want):
+    assert pii.redact(text, finder.spans(text)) == (text if want is None else want)
+
+
+def test_time_is_linear_in_the_number_of_items(finder):
+    import time
+
+    took = []
+    for n in (10_000, 100_000):
+        t = "a.b@mail.example, tel 020 7946 0989; Ilse Mireovani / 28 Fernhollow Road - ssn 905-53-7992 " * (n // 5)
+        began = time.perf_counter()
+        spans = finder.spans(t)
+        took.append(time.perf_counter() - began)
+        assert len(spans) == n
+    assert took[1] < 30 * took[0]
+    for t in ("a st " * 50_000, "1 " * 100_000, "a" * 500_000 + "@" * 1000, "/" * 200_000, "(" * 100_000 + "1.1" * 50_000, "%40" * 100_000, "contact A" * 50_000, "http://" * 30_000):
+        began = time.perf_counter()
+        finder.spans(t)
+        assert time.perf_counter() - began < 10
+
+
+def test_registries_of_any_size_give_the_same_rows(spark, monkeypatch):
+    texts = [t for t, _ in CASES] + ["cc Mireholt and Ochomark", "Tarnovani's note to O'Brienne and d'Arcy Mire", "MIREHOLT, TARNHOLT; Brienne o'brienne", "İ Galo", "Noor_x noor", "ochoQVIST-tarnmark"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, notes string")
+    members = spark.createDataFrame([(n,) for n in [*NAMES, "Sean O'Brienne", "Al Bo", "Uma d'Arcy"]], "name string")
+    got = []
+    for most in (200_000, 3):
+        monkeypatch.setattr(pii, "MAX_NAME_PARTS", most)
+        got.append(sorted((r.record_id, r.redacted) for r in pii.redacted(rows, "t", "id", F.col("notes"), members).collect()))
+    assert got[0] == got[1] and sum("[NAME]" in r for _, r in got[0]) > 10
