@@ -1,24 +1,25 @@
-"""Evaluation passages that leaked into a corpus, by a positional inverted index.
+"""Evaluation passages that leaked into a corpus, by a distributed positional inverted index.
 
-The index is partitioned by document, as in a distributed search engine: each task indexes its own documents and answers all
-queries on them, so no posting is shuffled. Terms are words with their two successors, which makes
-the lists short. Of a shard's documents the postings (term, document, position) of the terms that occur in any passage are
-stored; for each passage the lists are taken from its rarest terms in the shard on: a match needs so many
-terms (``Passages.needed``), so the ``SKIPPED`` most frequent places of a passage are left out and the rest of the hits on the
-others are necessary. That rule loses no match, whatever is frequent.
+Terms are words with their two successors, which makes the lists short. The corpus is read once, in a narrow pass, whatever the number of
+passages: a Bloom filter of the passages' terms (``BITS`` bits, of a fixed size) tells which of a document's terms can be asked for, and the
+documents that hold so many of them that a match is possible are stored with their words and the positions of these terms (a written
+table, which the rest reads). Its postings (term, document) are joined with those of the passages, from the rarest terms on: a
+match needs so many terms (``needed``), so the ``SKIPPED`` most frequent places of a passage are left out and the rest of the hits on the
+others are necessary. That rule loses no match, whatever is frequent; a false hit of the filter only costs its join.
 
-Lists are intersected after subtracting each term's offset in the passage: hits on one diagonal are an exact phrase, hits on near
-diagonals in order are proximity matches. Each surviving pair is confirmed word by word: runs of equal words are
+Each surviving pair is confirmed by position: offsets in the passage are subtracted from those in the document, equal words on one
+diagonal are an exact phrase, phrases on near diagonals in order are proximity matches. Runs of equal words are
 chained in the order of both texts; a small change costs one and its width (a changed number one more), one interruption of
 any length costs four. A document leaks an item if the best chain holds ``SHARE`` of the passage's words and ``LEAST`` words, and its costs
-are at most ``COSTS`` of its words, which text made of the same phrases with other words between them exceeds.
+are at most ``COSTS`` of its words, which text made of the same phrases with other words between them exceeds. A run looks back
+over the document no further than the passage is long, so chaining costs the number of runs times that of those in such a stretch.
 
 Defined results
 ---------------
 * Case, punctuation, markup, layout and zero-width marks are no part of words.
 * Null, empty and blank texts and passages match nothing; passages of fewer than ``LEAST`` words can't match.
 * Repeated documents give a row each; equal rows are given once. Empty tables give an empty result. Extra columns are ignored.
-* More than ``BLOCK`` items are answered in blocks of at most so many, each against all documents.
+* Any number of items, also repeated ids: each row of the items is a passage of its own.
 * Texts of any length are searched whole.
 """
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintflow.llm import bytetext
@@ -37,72 +38,21 @@ SHARE, LEAST = 0.32, 15
 SMALL, CUT, OTHER_NUMBER = 4, 4, 1
 COSTS = 0.4
 SKIPPED = 3
-BLOCK = 20_000
+BITS = 1 << 26  # of the filter: 8 MB, and at most two million words of 32 bits when it is put together
 SHARD = 4 << 20  # bytes of text in a shard
 
 
-class Passages:
-    """The passages of a block of items, ready to be looked up in a shard."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        hashes = bytetext.hashed([p for _, p in items])
-        kept = [(i, h) for (i, _), h in zip(items, hashes, strict=True) if len(h) >= LEAST]
-        self.ids = [i for i, _ in kept]
-        self.numeric = [np.array([w.isdigit() for w in bytetext.split(p)], bool) for i, p in items if i in set(self.ids)]
-        self.words = [h for _, h in kept]
-        self.least = np.array([max(LEAST, SHARE * len(h)) for h in self.words])
-        # a break costs two or more and takes two terms, as the end does
-        self.needed = np.ceil((1 - COSTS) * np.ceil(self.least) - 2 - 1e-9).astype(np.int64)
-        self.vocabulary = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
-        v = np.int64(len(self.vocabulary) + 1)
-        self.width = v
-        codes = [np.searchsorted(self.vocabulary, h).astype(np.int64) for h in self.words]
-        self.codes = codes
-        terms = [(c[:-2] * v + c[1:-1]) * v + c[2:] for c in codes]
-        self.term = np.concatenate([*terms, np.zeros(0, np.int64)])
-        self.item = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        self.distinct, self.of = np.unique(self.term, return_inverse=True)
-
-    def code(self, h: np.ndarray) -> np.ndarray:
-        """Each word's place in the vocabulary, -1 for words of no passage."""
-        if not len(self.vocabulary):
-            return np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == h, at, -1).astype(np.int64)
-
-    def search(self, h: np.ndarray, before: np.ndarray) -> list[tuple[int, int]]:
-        """(document, item) places of the leaks in a shard of word hashes."""
-        c = self.code(h)
-        if len(c) < 3 or not len(self.distinct):
-            return []
-        doc = np.repeat(np.arange(len(before) - 1), np.diff(before))
-        p = np.flatnonzero((c[:-2] >= 0) & (c[1:-1] >= 0) & (c[2:] >= 0) & (doc[:-2] == doc[2:]))
-        terms = (c[p] * self.width + c[p + 1]) * self.width + c[p + 2]
-        at = np.minimum(np.searchsorted(self.distinct, terms), len(self.distinct) - 1)
-        held = self.distinct[at] == terms
-        p, at = p[held], at[held]
-        # the postings of the shard, by term and position
-        frequency = np.bincount(at, minlength=len(self.distinct))
-        entry_frequency = frequency[self.of]
-        order = np.lexsort((-entry_frequency, self.item))
-        first = np.searchsorted(self.item[order], np.arange(len(self.ids)))
-        rank = np.arange(len(order)) - first[self.item[order]]
-        rare = order[rank >= SKIPPED]  # a passage's entries but for the most frequent ones
-        rare = rare[entry_frequency[rare] > 0]
-        rare = rare[np.argsort(self.of[rare], kind="stable")]
-        lo = np.searchsorted(self.of[rare], np.arange(len(self.distinct)))
-        n = np.append(lo[1:], len(rare)) - lo
-        each = n[at]
-        entries = rare[np.repeat(lo[at] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
-        pair = np.repeat(doc[p], each) * np.int64(len(self.ids)) + self.item[entries]
-        pairs, counts = np.unique(pair, return_counts=True)
-        out = []
-        for key in pairs[counts >= self.needed[pairs % len(self.ids)] - SKIPPED].tolist():
-            d, i = divmod(key, len(self.ids))
-            matched, score = chain(c[before[d] : before[d + 1]], self.codes[i], self.numeric[i])
-            if matched >= self.least[i] and score >= (1 - COSTS) * matched:
-                out.append((d, i))
-        return out
+def terms(h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and 64-bit terms of all words that have two successors in their text."""
+    doc = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    at = np.flatnonzero(doc[:-2] == doc[2:]) if len(h) > 2 else np.zeros(0, np.int64)
+    mixed = (h[at] * np.uint64(0x9E3779B97F4A7C15) ^ h[at + 1]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ h[at + 2]
+    return at, (mixed * np.uint64(0x165667B19E3779F9)).view(np.int64)
+
+
+def _place(term: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """A term's bit in the filter: its highest bits."""
+    return (term.view(np.uint64) >> np.uint64(65 - (32 * len(bits)).bit_length())).astype(np.int64)
 
 
 def chain(doc: np.ndarray, passage: np.ndarray, numeric: np.ndarray) -> tuple[int, float]:
@@ -157,34 +107,98 @@ def chain(doc: np.ndarray, passage: np.ndarray, numeric: np.ndarray) -> tuple[in
     return top[1], top[0]
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
-    """(doc_id, item_id): the documents that hold a stretch of an item's passage."""
-    asked = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(passage).alias("p")).where("i IS NOT NULL AND length(trim(p)) > 0")
-    blocks = max(1, -(-2 * asked.count() // BLOCK)) if asked.limit(BLOCK + 1).count() > BLOCK else 1
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND length(text) > 0")
-    out = None
-    for b in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        found = _search(rows, [(r[0], r[1]) for r in block.collect()])
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+def _lists(values: np.ndarray, before: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(values))
+
 
+def passages(items: DataFrame, item_id: str = "item_id", passage: str = "passage") -> DataFrame:
+    """(k, item_id, words, numeric, terms, needed): the passages that can match, a row each."""
+    from glintflow.session import checkpointed
 
-def _search(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(block)
+    asked = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(passage).alias("p")).where("item_id IS NOT NULL AND length(trim(p)) > 0").withColumn("k", F.monotonically_increasing_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1)
+            for lo, hi in shards(texts):
+                part = texts.slice(lo, hi - lo)
+                h, before = bytetext.words(*bytetext.plain(part))
+                at, t = terms(h, before)
+                numeric = np.array([w.isdigit() for p in part.to_pylist() for w in bytetext.split(p)], bool)
+                yield pa.record_batch([b.column(2).slice(lo, hi - lo), b.column(0).slice(lo, hi - lo), _lists(h.view(np.int64), before), _lists(numeric, before), _lists(t, np.searchsorted(at, before))], ["k", "item_id", "words", "numeric", "terms"])
+
+    rows = asked.mapInArrow(run, "k bigint, item_id bigint, words array<bigint>, numeric array<boolean>, terms array<bigint>")
+    # a break costs two or more and takes two terms, as the end does
+    least = F.ceil(F.greatest(F.lit(float(LEAST)), SHARE * F.size("words")))
+    return checkpointed(rows.where(F.size("words") >= LEAST).withColumn("needed", F.ceil((1 - COSTS) * least - 2 - 1e-9).cast("int")))
+
+
+def term_filter(asked: DataFrame) -> np.ndarray:
+    """The bits of all terms of the passages, of a fixed size; put together where the passages are."""
+    shift = 64 - (BITS.bit_length() - 1)
+    words = asked.select(F.explode("terms").alias("t")).select(F.shiftrightunsigned("t", shift).alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("v")).toArrow()  # at most BITS / 32 rows
+    out = np.zeros(max(1, BITS // 32), np.uint32)
+    out[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
+    return out
+
+
+def index(docs: DataFrame, bits: np.ndarray, least: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(u, doc_id, words, terms) of the documents with ``least`` terms in the filter or more: the stored index, a row each."""
+    from glintflow.session import checkpointed
+
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = None
         for batch in batches:
-            passages = passages or Passages(shared.value)
             ids, texts = batch.column(0), batch.column(1)
-            found: list[tuple[int, int]] = []
             for lo, hi in shards(texts):
                 h, before = bytetext.words(*bytetext.plain(texts.slice(lo, hi - lo)))
-                found += [(lo + d, passages.ids[i]) for d, i in passages.search(h, before)]
-            yield pa.record_batch([ids.take(pa.array([d for d, _ in found], pa.int64())), pa.array([i for _, i in found], pa.int64())], ["doc_id", "item_id"])
+                at, t = terms(h, before)
+                b = _place(t, shared.value)
+                held = np.flatnonzero(shared.value[b >> 5] >> (b & 31).astype(np.uint32) & np.uint32(1))
+                edges = np.searchsorted(at[held], before)
+                kept = np.flatnonzero(np.diff(edges) >= least)
+                if len(kept):
+                    of_doc = np.isin(np.repeat(np.arange(hi - lo), np.diff(before)), kept)
+                    of_term = np.isin(np.repeat(np.arange(hi - lo), np.diff(edges)), kept)
+                    sizes = lambda x, kept=kept: np.concatenate([[0], np.cumsum(np.diff(x)[kept])])
+                    yield pa.record_batch([ids.take(pa.array(lo + kept)), _lists(h.view(np.int64)[of_doc], sizes(before)), _lists(t[held][of_term], sizes(edges))], ["doc_id", "words", "terms"])
+
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND length(text) > 0")
+    return checkpointed(rows.mapInArrow(run, "doc_id bigint, words array<bigint>, terms array<bigint>").withColumn("u", F.monotonically_increasing_id()))
+
+
+def candidates(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """(u, k): the documents and passages that share as many of the passage's rarer terms as a match needs."""
+    postings = stored.select("u", F.explode("terms").alias("term"))
+    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("f"))
+    entries = asked.select("k", "needed", F.explode("terms").alias("term")).join(frequency, "term", "left")
+    rarer = entries.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc_nulls_last("f"), "term"))).where((F.col("rank") > SKIPPED) & F.col("f").isNotNull())
+    return postings.join(rarer.select("k", "needed", "term"), "term").groupBy("u", "k", "needed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("needed") - SKIPPED).select("u", "k")
+
+
+def confirmed(words: np.ndarray, passage: np.ndarray, numeric: np.ndarray) -> bool:
+    """Whether a document's words hold a stretch of the passage that is a leak."""
+    matched, score = chain(words, passage, numeric)
+    return matched >= max(LEAST, SHARE * len(passage)) and score >= (1 - COSTS) * matched
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
+    """(doc_id, item_id): the documents that hold a stretch of an item's passage."""
+    asked = passages(items, item_id, passage)
+    least = asked.agg(F.min("needed")).first()[0]
+    if least is None:
+        return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("item_id")).limit(0)
+    stored = index(docs, term_filter(asked), least, doc_id, text)
+    pairs = candidates(asked, stored).join(stored.select("u", "doc_id", "words"), "u").join(asked.select("k", "item_id", F.col("words").alias("passage"), "numeric"), "k").select("doc_id", "item_id", "words", "passage", "numeric")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, asked_words, numeric = (b.column(i) for i in (2, 3, 4))
+            ok = [confirmed(words[i].values.to_numpy(), asked_words[i].values.to_numpy(), numeric[i].values.to_numpy(zero_copy_only=False)) for i in range(b.num_rows)]
+            yield pa.record_batch([b.column(0), b.column(1)], ["doc_id", "item_id"]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.mapInArrow(run, "doc_id bigint, item_id bigint")
+    return pairs.mapInArrow(run, "doc_id bigint, item_id bigint").distinct()
 
 
 def shards(texts: pa.Array) -> Iterator[tuple[int, int]]:
