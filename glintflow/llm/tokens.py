@@ -1,15 +1,21 @@
 """Encoding of a corpus by a public byte-level BPE tokenizer, by content-defined chunk reuse.
 
-A rolling hash over the last eight bytes cuts all texts of a batch into chunks, so that equal passages of different
-documents fall into equal chunks. Each distinct chunk is encoded once in a Python worker and kept (up to
-``KEEP`` chunks); all others are looked up by their hash, without a loop over chunks in Python. Joins are
-repaired before they can differ: a cut is moved to the next place where pre-tokenisation restarts whatever
-surrounds it (a space or line feed after a printable ASCII character: no pre-token holds white space after
-another character). Then the ids of every document are decoded and compared with its bytes; a document that doesn't agree (a
-collision of hashes) is encoded anew as a whole, so the result is exact.
+A rolling hash over the last eight bytes cuts all texts of a batch into chunks of some fifty bytes, so that equal passages of different
+documents fall into equal chunks: mostly before white space, and at one in a thousand characters wherever they stand, so that scripts
+without spaces are cut too. Each distinct chunk is encoded once in a Python worker, by its pre-tokens, and kept (the last
+``KEEP`` to two times ``KEEP`` chunks); all others are looked up by their hash, without a loop over chunks in Python.
 
-The job is one narrow pass: nothing is shuffled, and a hot text costs one lookup. Memory is bounded by windows of
-``WINDOW`` bytes, into which long texts are cut at safe places.
+Joins are then repaired. A cut may split a pre-token or change where white space goes, so for each distinct pair of neighbouring chunks the
+last pre-tokens of the one and the first of the other are split anew together, over a window that grows until both of its ends agree with
+what the chunks have by themselves; from there on, a chunk's own ids are right, since pre-tokenisation
+depends on nothing before a boundary. The ids in between are replaced by those of the window. A text in which no window agrees, or in
+which the repairs of a chunk's two ends meet, is encoded anew as a whole. This holds for every pattern without look-behind.
+At last the ids of every text are decoded and compared with its bytes, which shows collisions of hashes.
+
+Pre-tokens are found by a Python engine, which knows the classes of letters, numbers and white space as the tokenizer's own does for
+characters up to ``COMMON``; a chunk with others is also encoded by the tokenizer itself, and its texts are encoded anew if they differ.
+
+The job is one narrow pass: nothing is shuffled, and a hot text costs one lookup.
 
 Defined results
 ---------------
@@ -32,9 +38,13 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the vocabulary's pre-tokenisation
-MASK = 1  # of the rolling hash: a cut at every second safe place on average
+MASK = 7  # of the rolling hash: a cut at every eighth place before white space on average
+ANYWHERE = 1023  # and at one in so many other characters
 WINDOW = 1 << 21
-KEEP = 1 << 20
+KEEP = 1 << 18
+PIECES = 1 << 19  # pre-tokens whose ids are kept
+AROUND = (2, 4, 8)  # pre-tokens on both sides of a join that are split anew
+COMMON = 0x24F  # up to the Latin letters
 MAX_VOCABULARY_BYTES = 64 << 20
 
 
@@ -42,10 +52,14 @@ class Encoder:
     """Encodes byte buffers; keeps the ids of the chunks it has seen."""
 
     def __init__(self, vocabulary: bytes, pattern: str = PATTERN) -> None:
+        import regex
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        compiled = regex.compile(pattern)
+        self.split = lambda text: [m.group() for m in compiled.finditer(text)] if compiled.groups else compiled.findall(text)
+        self.rare = regex.compile(rf"[^\x00-\x1b\x20-\x84\x86-{chr(COMMON)}]")
         rng = np.random.default_rng(20240229)
         self.table = rng.integers(0, 1 << 32, 256, dtype=np.uint32)
         self.bytes64 = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,6 +71,8 @@ class Encoder:
         self.length = np.array([len(w) for w in words], np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.flat = np.frombuffer(b"".join(words), np.uint8)
+        self.piece: dict[str, list[int]] = {}
+        self.anew = self.seen = 0  # bytes encoded and bytes seen
         self._forget()
 
     def _powers(self, n: int) -> None:
@@ -70,40 +86,111 @@ class Encoder:
     def _forget(self) -> None:
         self.slot: dict[int, int] = {}
         self.start = np.zeros(1024, np.int64)
-        self.count = np.zeros(1024, np.int64)
+        self.count = np.zeros(1024, np.int64)  # -1: the engines differ on the chunk
         self.pool = np.zeros(1 << 16, np.int32)
         self.used = 0
+        self.ends: list[tuple[list[str], list[str], bool]] = []  # of each chunk, its first and last pre-tokens, and whether these are all
+        self.joins: dict[int, int] = {}
+        self.repairs: list[tuple[int, int, int]] = [(0, 0, 0)]  # ids to drop at the end and at the start, and the slot of those in between
+        self.context = [0]  # ids of the first chunk that the repair relies on
 
-    def _keep(self, keys: list[int], ids: list[list[int]]) -> np.ndarray:
-        """Slots of new chunks."""
-        k, counts = len(self.slot), np.array([len(x) for x in ids], np.int64)
+    def ids_of(self, piece: str) -> list[int]:
+        known = self.piece.get(piece)
+        if known is None:
+            if len(self.piece) >= PIECES:
+                self.piece.clear()
+            known = self.piece[piece] = self.plain._core_bpe.encode_single_piece(piece.encode())
+        return known
+
+    def _keep(self, ids: list[list[int]]) -> np.ndarray:
+        """Slots of new lists of ids."""
+        k, counts = len(self.ends), np.array([len(x) for x in ids], np.int64)
         n = int(counts.sum())
-        while k + len(keys) > len(self.start):
+        while k + len(ids) > len(self.start):
             self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
         while self.used + n > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + n] = np.fromiter(chain.from_iterable(ids), np.int32, n)
-        self.start[k : k + len(keys)], self.count[k : k + len(keys)] = self.used + np.cumsum(counts) - counts, counts
+        self.start[k : k + len(ids)], self.count[k : k + len(ids)] = self.used + np.cumsum(counts) - counts, counts
         self.used += n
-        slots = np.arange(k, k + len(keys))
+        return np.arange(k, k + len(ids))
+
+    def _new_chunks(self, keys: list[int], texts: list[str]) -> np.ndarray:
+        all_ids, ends, differing = [], [], []
+        most = AROUND[-1]
+        for k, text in enumerate(texts):
+            pieces = self.split(text)
+            ids = list(chain.from_iterable(map(self.ids_of, pieces)))
+            if self.rare.search(text) and ids != self.plain.encode_ordinary(text):
+                differing.append(k)
+            all_ids.append(ids)
+            ends.append((pieces, pieces, True) if len(pieces) <= most else (pieces[:most], pieces[-most:], False))
+        slots = self._keep(all_ids)
+        self.ends += ends
+        self.count[slots[differing]] = -1
         self.slot.update(zip(keys, slots.tolist(), strict=True))
         return slots
 
-    def safe(self, a: np.ndarray) -> np.ndarray:
-        """Positions before which pre-tokenisation surely restarts."""
-        return np.flatnonzero(((a[1:] == 32) | (a[1:] == 10)) & (a[:-1] > 32) & (a[:-1] < 127)) + 1
+    def _join(self, left: int, right: int) -> int:
+        """The repair of a join: its place in ``repairs``, 0 if both sides agree as they are, -1 if no window agrees."""
+        _, tail, whole_left = self.ends[left]
+        head, _, whole_right = self.ends[right]
+        for around in AROUND:
+            a, b = tail[-around:], head[:around]
+            alone = whole_left and len(a) == len(tail)  # the window begins where the chunk does
+            closed = whole_right and len(b) == len(head)  # and ends where it does
+            both = "".join(a) + "".join(b)
+            got = self.split(both)
+            if self.rare.search(both) and [i for x in got for i in self.ids_of(x)] != self.plain.encode_ordinary(both):
+                return -1
+            if not alone and got[0] != a[0]:
+                continue
+            first = 0 if alone else 1
+            cut = sum(map(len, a))
+            theirs, at = {}, cut  # boundaries of the second chunk: how many of its pre-tokens lie before
+            for k, x in enumerate(b):
+                theirs[at] = k
+                at += len(x)
+            if closed:
+                theirs[at] = len(b)
+            at, n = 0, 0
+            for n, x in enumerate(got):
+                if at >= cut and at in theirs and n < len(got):
+                    break
+                at += len(x)
+            else:
+                n = len(got)
+                if not (closed and at in theirs):
+                    continue
+            mid, dropped, skipped = got[first:n], a[first:], b[: theirs[at]]
+            size = lambda pieces: sum(len(self.ids_of(x)) for x in pieces)
+            if mid == dropped + skipped:
+                # both sides agree; the first chunk's last pre-tokens must be its own all the same
+                return 0
+            slot = int(self._keep([[i for x in mid for i in self.ids_of(x)]])[0])
+            self.ends.append(([], [], True))
+            self.anew += sum(len(x.encode()) for x in mid)
+            self.repairs.append((size(dropped), size(skipped), slot))
+            self.context.append(size(a))
+            return len(self.repairs) - 1
+        return -1
 
-    def window(self, a: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the bytes, and the number of ids before each of the given edges (starts of texts)."""
+    def cuts(self, a: np.ndarray) -> np.ndarray:
+        """Where chunks may begin by the rolling hash of the bytes before."""
         h = self.table[a]
         for step, factor in ((1, 0x9E3779B1), (2, 0x85EBCA77), (4, 0xC2B2AE3D)):
             moved = h.copy()
             moved[step:] += h[:-step] * np.uint32(factor)
             h = moved
-        at = self.safe(a)
-        at = at[(h[at - 1] >> np.uint32(16)) & np.uint32(MASK) == 0]
+        h = h[:-1] >> np.uint32(16)
+        space = ((a[1:] == 32) | (a[1:] == 10)) & (a[:-1] > 32)
+        begins = (a[1:] & 0xC0) != 0x80  # no byte inside a character
+        return np.flatnonzero(space & (h & np.uint32(MASK) == 0) | begins & ~space & (h & np.uint32(ANYWHERE) == 1)) + 1
+
+    def _slots(self, a: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the chunks of a window, and their slots."""
         begins = np.zeros(len(a) + 1, bool)
-        begins[0] = begins[at] = begins[edges] = True
+        begins[0] = begins[self.cuts(a)] = begins[edges] = True
         starts = np.flatnonzero(begins[: len(a)])
         ends = np.append(starts[1:], len(a))
         size = ends - starts
@@ -112,19 +199,14 @@ class Encoder:
         upto = np.concatenate([[np.uint64(0)], np.cumsum(self.bytes64[a] * self.up[: len(a)])])
         keys = (upto[ends] - upto[starts]) * self.down[starts] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.slot) + len(distinct) > KEEP:
-            self._forget()
-        raw, get, encode = a.tobytes(), self.slot.get, self.plain.encode_ordinary
+        raw, get = a.tobytes(), self.slot.get
         slots = np.fromiter((get(k, -1) for k in distinct.tolist()), np.int64, len(distinct))
         new = np.flatnonzero(slots < 0)
         if len(new):
             f = first[new]
-            slots[new] = self._keep(distinct[new].tolist(), [encode(raw[b:e].decode("utf-8", "replace")) for b, e in zip(starts[f].tolist(), ends[f].tolist(), strict=True)])
-        each = slots[back]
-        counts = self.count[each]
-        before = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.pool[np.repeat(self.start[each] - before[:-1], counts) + np.arange(before[-1])]
-        return ids, before[np.searchsorted(starts, edges)]
+            self.anew += int(size[f].sum())
+            slots[new] = self._new_chunks(distinct[new].tolist(), [raw[b:e].decode("utf-8", "replace") for b, e in zip(starts[f].tolist(), ends[f].tolist(), strict=True)])
+        return starts, slots[back]
 
     def agrees(self, ids: np.ndarray, a: np.ndarray) -> bool:
         n = self.length[ids]
@@ -135,44 +217,76 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and each text's offsets in it. offsets: of the texts in data, one more than texts."""
-        total, parts, known = int(offsets[-1]), [], 0
-        where = np.zeros(len(offsets), np.int64)
-        lo = int(offsets[0])
+        if len(self.ends) > KEEP:
+            self._forget()
+        base, total = int(offsets[0]), int(offsets[-1])
+        self.seen += total - base
+        n_texts = len(offsets) - 1
+        if total == base:
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        starts, slots, lo = [], [], base
         while lo < total:
             hi = min(lo + WINDOW, total)
-            if hi < total:  # back to the start of a text, else to a safe place, else on to one
-                k = int(offsets[np.searchsorted(offsets, hi, "right") - 1])
-                if k <= lo:
-                    s = self.safe(data[lo:hi])
-                    k = lo + int(s[-1]) if len(s) else 0
-                while k <= lo and hi < total:
-                    nxt = min(hi + WINDOW, int(offsets[np.searchsorted(offsets, hi, "left")]))
-                    s = self.safe(data[hi - 1 : nxt])
-                    k = hi - 1 + int(s[0]) if len(s) else (nxt if nxt in offsets else lo)
-                    hi = nxt
-                hi = k if k > lo else total
-            a = data[lo:hi]
-            l, r = np.searchsorted(offsets, lo, "left"), np.searchsorted(offsets, hi, "left")
-            edges = offsets[l:r] - lo
-            ids, before = self.window(a, edges)
-            if not self.agrees(ids, a):
-                ids, before = self._anew(a, edges)
-            where[l:r] = known + before
-            parts.append(ids)
-            known += len(ids)
+            if hi < total:  # to the next start of a text, or to a cut that is one wherever windows end
+                nxt = int(offsets[np.searchsorted(offsets, hi, "left")])
+                while hi < nxt:  # stretch by stretch
+                    cut = self.cuts(data[max(hi - 8, 0) : min(hi + (1 << 16), nxt)])
+                    cut = cut[cut >= 8]
+                    if len(cut):
+                        hi = max(hi - 8, 0) + int(cut[0])
+                        break
+                    hi = min(hi + (1 << 16), nxt)
+            edges = offsets[np.searchsorted(offsets, lo, "left") : np.searchsorted(offsets, hi, "left")] - lo
+            s, k = self._slots(data[lo:hi], edges)
+            starts.append(s + lo)
+            slots.append(k)
             lo = hi
-        where[np.searchsorted(offsets, lo, "left") :] = known
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32), where
-
-    def _anew(self, a: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw, cuts = a.tobytes(), [0, *[int(e) for e in edges], len(a)]
-        out: list[int] = []
-        before = []
-        for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if k:
-                before.append(len(out))
-            out += self.plain.encode_ordinary(raw[s:e].decode("utf-8", "replace"))
-        return np.array(out, np.int32), np.array(before, np.int64)
+        start, slot = np.concatenate(starts), np.concatenate(slots)
+        text = np.searchsorted(offsets, start, "right") - 1
+        # joins inside texts
+        inner = np.flatnonzero(text[1:] == text[:-1]) + 1
+        pair = slot[inner - 1] << np.int64(32) | slot[inner]
+        distinct, back = np.unique(pair, return_inverse=True)
+        got = []
+        for x in distinct.tolist():
+            r = self.joins.get(x)
+            if r is None:
+                r = self.joins[x] = self._join(x >> 32, x & 0xFFFFFFFF)
+            got.append(r)
+        repair = np.zeros(len(start), np.int64)
+        repair[inner] = np.array(got, np.int64)[back] if len(inner) else 0
+        table, context = np.array(self.repairs, np.int64), np.array(self.context, np.int64)
+        count = self.count[slot]
+        bad = (repair < 0) | (count < 0)
+        repair, count = np.maximum(repair, 0), np.maximum(count, 0)
+        head = table[repair, 1]
+        tail, needs = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        tail[:-1], needs[:-1] = table[repair[1:], 0], context[repair[1:]]
+        bad |= (head > 0) & (head + needs > count) | (head + tail > count)  # the repairs of a chunk's ends meet
+        # a chunk that is repaired at its start only: a join that agrees relies on its last pre-tokens, which must lie behind the repair
+        bad |= (head > 0) & (head >= count) & np.append(text[1:] == text[:-1], False)
+        # in between, then the chunk
+        seg_start = np.stack([self.start[table[repair, 2]], self.start[slot] + head], 1).ravel()
+        seg_len = np.stack([np.where(repair > 0, self.count[table[repair, 2]], 0), count - head - tail], 1).ravel()
+        doubtful = np.unique(text[bad])
+        if len(doubtful):
+            seg_len[np.repeat(np.isin(text, doubtful), 2)] = 0
+        before = np.concatenate([[0], np.cumsum(seg_len)])
+        ids = self.pool[np.repeat(seg_start - before[:-1], seg_len) + np.arange(before[-1])]
+        where = before[2 * np.searchsorted(text, np.arange(n_texts + 1), "left")]
+        sure = np.ones(n_texts, bool)
+        sure[doubtful] = False
+        if not len(doubtful) and self.agrees(ids, data[base:total]):
+            return ids, where
+        parts, out = [], np.zeros(n_texts + 1, np.int64)
+        for t in range(n_texts):
+            a, mine = data[offsets[t] : offsets[t + 1]], ids[where[t] : where[t + 1]]
+            if len(a) and not (sure[t] and self.agrees(mine, a)):
+                self.anew += len(a)
+                mine = np.array(self.plain.encode_ordinary(a.tobytes().decode("utf-8", "replace")), np.int32)
+            parts.append(mine)
+            out[t + 1] = out[t] + len(mine)
+        return np.concatenate(parts), out
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

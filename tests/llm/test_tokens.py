@@ -41,8 +41,42 @@ def test_forgets_beyond_its_bound(monkeypatch):
     monkeypatch.setattr(tokens, "KEEP", 10)
     e = tokens.Encoder(open(tokens.VOCABULARY, "rb").read())
     for k in range(5):
-        e.encode(*tokens.text_buffers(pa.array([" ".join(f"w{k}{i}" for i in range(30))])))
-    assert len(e.slot) < 60
+        t = " ".join(f"w{k}{i}" for i in range(300))
+        ids, _ = e.encode(*tokens.text_buffers(pa.array([t])))
+        assert len(e.slot) < 200 and ids.tolist() == e.plain.encode_ordinary(t)
+
+
+PATTERNS = [
+    tokens.PATTERN,
+    r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+", r"\p{N}{1,3}(?=(?:\p{N}{3})*(?:\P{N}|$))|\p{L}+ ?|\s|.", r"(?:\w+\s)*\w+|\s+|\W", r"[a-z]+|[A-Z]+ ?|(?s:.)",
+]
+ENCODERS = {p: tokens.Encoder(open(tokens.VOCABULARY, "rb").read(), p) for p in PATTERNS}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(PIECES, max_size=60).map("".join)), max_size=8), st.sampled_from([16, 64, 1 << 20]), st.sampled_from([0, 3, 63]))
+def test_any_pattern_is_repaired_at_joins(texts, window, anywhere):
+    """Cuts at every place, at every fourth one and at few ones."""
+    old = tokens.WINDOW, tokens.ANYWHERE
+    tokens.WINDOW, tokens.ANYWHERE = window, anywhere
+    try:
+        for p, e in ENCODERS.items():
+            e._forget()
+            ids, where = e.encode(*tokens.text_buffers(pa.array(texts, pa.string())))
+            assert [ids[where[i] : where[i + 1]].tolist() for i in range(len(texts))] == [e.plain.encode_ordinary(t or "") for t in texts], p
+    finally:
+        tokens.WINDOW, tokens.ANYWHERE = old
+
+
+def test_a_corpus_without_spaces_and_reuse(monkeypatch):
+    monkeypatch.setattr(tokens, "ANYWHERE", 15)
+    e = tokens.Encoder(open(tokens.VOCABULARY, "rb").read())
+    stretch = "語の長い文章をここに繰り返し書く" * 40 + "12345678901234567890" * 20
+    texts = [f"{k}{stretch}{k}" for k in range(200)]
+    ids, where = e.encode(*tokens.text_buffers(pa.array(texts)))
+    assert [ids[where[i] : where[i + 1]].tolist() for i in range(200)] == [e.plain.encode_ordinary(t) for t in texts]
+    e.anew = e.seen = 0
+    same(["once more a passage of some length that has been seen in another text before, word for word"] * 3)
 
 
 def test_rows(spark):
