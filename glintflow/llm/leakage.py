@@ -4,7 +4,7 @@ Terms are words with their two successors, which makes the lists short. The corp
 passages: a Bloom filter of the passages' terms (``BITS`` bits, of a fixed size) tells which of a document's terms can be asked for, and the
 documents that hold so many of them that a match is possible are stored with their words and the positions of these terms (a written
 table, which the rest reads). Its postings (term, document) are joined with those of the passages, from the rarest terms on: a
-match needs so many terms (``needed``), so the ``SKIPPED`` most frequent places of a passage are left out and the rest of the hits on the
+match needs so many terms (``needed``), so half as many of a passage's most frequent places are left out and the rest of the hits on the
 others are necessary. That rule loses no match, whatever is frequent; a false hit of the filter only costs its join.
 
 Each surviving pair is confirmed by position: offsets in the passage are subtracted from those in the document, equal words on one
@@ -37,7 +37,6 @@ from glintflow.llm import bytetext
 SHARE, LEAST = 0.32, 15
 SMALL, CUT, OTHER_NUMBER = 4, 4, 1
 COSTS = 0.4
-SKIPPED = 3
 BITS = 1 << 26  # of the filter: 8 MB, and at most two million words of 32 bits when it is put together
 SHARD = 4 << 20  # bytes of text in a shard
 
@@ -173,8 +172,10 @@ def candidates(asked: DataFrame, stored: DataFrame) -> DataFrame:
     postings = stored.select("u", F.explode("terms").alias("term"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("f"))
     entries = asked.select("k", "needed", F.explode("terms").alias("term")).join(frequency, "term", "left")
-    rarer = entries.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc_nulls_last("f"), "term"))).where((F.col("rank") > SKIPPED) & F.col("f").isNotNull())
-    return postings.join(rarer.select("k", "needed", "term"), "term").groupBy("u", "k", "needed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("needed") - SKIPPED).select("u", "k")
+    skipped = F.floor(F.col("needed") / 2)
+    rarer = entries.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc_nulls_last("f"), "term"))).where((F.col("rank") > skipped) & F.col("f").isNotNull())
+    shared = postings.join(rarer.select("k", "term"), "term").groupBy("u", "k").agg(F.count(F.lit(1)).alias("n"))
+    return shared.join(asked.select("k", "needed"), "k").where(F.col("n") >= F.col("needed") - skipped).select("u", "k")
 
 
 def confirmed(words: np.ndarray, passage: np.ndarray, numeric: np.ndarray) -> bool:
