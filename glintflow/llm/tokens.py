@@ -1,19 +1,22 @@
 """Encoding of a corpus by a public byte-level BPE tokenizer, by content-defined chunk reuse.
 
-A rolling hash over the last eight bytes cuts all texts of a batch into chunks of some fifty bytes, so that equal passages of different
-documents fall into equal chunks: mostly before white space, and at one in a thousand characters wherever they stand, so that scripts
-without spaces are cut too. Each distinct chunk is encoded once in a Python worker, by its pre-tokens, and kept (the last
+A rolling hash over the last eight bytes cuts all texts of a batch into chunks of some tens of bytes, so that equal passages of different
+documents fall into equal chunks: before white space, and in long runs without any at one in sixty characters wherever they stand, so that
+scripts without spaces are cut too. Each distinct chunk is encoded once in a Python worker and kept (the last
 ``KEEP`` to two times ``KEEP`` chunks); all others are looked up by their hash, without a loop over chunks in Python.
 
-Joins are then repaired. A cut may split a pre-token or change where white space goes, so for each distinct pair of neighbouring chunks the
-last pre-tokens of the one and the first of the other are split anew together, over a window that grows until both of its ends agree with
-what the chunks have by themselves; from there on, a chunk's own ids are right, since pre-tokenisation
-depends on nothing before a boundary. The ids in between are replaced by those of the window. A text in which no window agrees, or in
-which the repairs of a chunk's two ends meet, is encoded anew as a whole. This holds for every pattern without look-behind.
+Joins are then repaired. A cut may split a pre-token or change where white space goes. For each distinct last pre-token of a chunk and first
+one of the next, both are split anew together: if the first comes out as it was, the cut is a boundary and both chunks' ids hold, since
+pre-tokenisation depends on nothing before a boundary. For each other pair of chunks the
+last pre-tokens of the one and the first of the other are encoded anew together, over a window that grows until both of its ends agree with
+what the chunks have by themselves, and the ids in between are replaced by those of the window. A text in which no window agrees, or in
+which the repairs of a chunk's two ends meet, or run through a chunk of one pre-token, is encoded anew as a whole. The last pre-token of a
+window touches its end and counts as open. This holds for patterns whose pre-tokens are settled by the next one: sequences of classes and
+words, with no look-around but ``(?!\\S)`` and no groups that repeat. With any other pattern every text is encoded as a whole.
 At last the ids of every text are decoded and compared with its bytes, which shows collisions of hashes.
 
 Pre-tokens are found by a Python engine, which knows the classes of letters, numbers and white space as the tokenizer's own does for
-characters up to ``COMMON``; a chunk with others is also encoded by the tokenizer itself, and its texts are encoded anew if they differ.
+characters up to ``COMMON``; with others in it, the pre-tokens of a chunk must give the tokenizer's ids, else its texts are encoded anew.
 
 The job is one narrow pass: nothing is shuffled, and a hot text costs one lookup.
 
@@ -27,6 +30,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -38,8 +42,8 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the vocabulary's pre-tokenisation
-MASK = 7  # of the rolling hash: a cut at every eighth place before white space on average
-ANYWHERE = 1023  # and at one in so many other characters
+MASK = 3  # of the rolling hash: a cut at every fourth place before white space on average
+ANYWHERE, RUN = 63, 24  # and at one in so many other characters that follow so many bytes without white space
 WINDOW = 1 << 21
 KEEP = 1 << 18
 PIECES = 1 << 19  # pre-tokens whose ids are kept
@@ -59,6 +63,8 @@ class Encoder:
         self.plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         compiled = regex.compile(pattern)
         self.split = lambda text: [m.group() for m in compiled.finditer(text)] if compiled.groups else compiled.findall(text)
+        self.first = compiled.match
+        self.far = re.search(r"\(\?[=!<]|\)[*+?{]", pattern.replace(r"(?!\S)", "")) is not None
         self.rare = regex.compile(rf"[^\x00-\x1b\x20-\x84\x86-{chr(COMMON)}]")
         rng = np.random.default_rng(20240229)
         self.table = rng.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -68,6 +74,7 @@ class Encoder:
         words = [b""] * width
         for b, i in ranks.items():
             words[i] = b
+        self.words = words
         self.length = np.array([len(w) for w in words], np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.flat = np.frombuffer(b"".join(words), np.uint8)
@@ -89,7 +96,12 @@ class Encoder:
         self.count = np.zeros(1024, np.int64)  # -1: the engines differ on the chunk
         self.pool = np.zeros(1 << 16, np.int32)
         self.used = 0
-        self.ends: list[tuple[list[str], list[str], bool]] = []  # of each chunk, its first and last pre-tokens, and whether these are all
+        self.head, self.tail = np.zeros(1024, np.int64), np.zeros(1024, np.int64)  # numbers of each chunk's first and last pre-token
+        self.single = np.zeros(1024, bool)  # whether they are one
+        self.slots = 0
+        self.number: dict[str, int] = {}  # of the first and last pre-tokens
+        self.named: list[str] = []
+        self.meets: dict[int, bool] = {}  # whether a cut between two pre-tokens is a boundary
         self.joins: dict[int, int] = {}
         self.repairs: list[tuple[int, int, int]] = [(0, 0, 0)]  # ids to drop at the end and at the start, and the slot of those in between
         self.context = [0]  # ids of the first chunk that the repair relies on
@@ -104,71 +116,82 @@ class Encoder:
 
     def _keep(self, ids: list[list[int]]) -> np.ndarray:
         """Slots of new lists of ids."""
-        k, counts = len(self.ends), np.array([len(x) for x in ids], np.int64)
+        k, counts = self.slots, np.fromiter(map(len, ids), np.int64, len(ids))
         n = int(counts.sum())
         while k + len(ids) > len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+            self.start, self.count, self.head, self.tail, self.single = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.head, self.tail, self.single))
         while self.used + n > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + n] = np.fromiter(chain.from_iterable(ids), np.int32, n)
         self.start[k : k + len(ids)], self.count[k : k + len(ids)] = self.used + np.cumsum(counts) - counts, counts
         self.used += n
+        self.slots += len(ids)
         return np.arange(k, k + len(ids))
 
-    def _new_chunks(self, keys: list[int], texts: list[str]) -> np.ndarray:
-        all_ids, ends, differing = [], [], []
-        most = AROUND[-1]
-        for k, text in enumerate(texts):
-            pieces = self.split(text)
-            ids = list(chain.from_iterable(map(self.ids_of, pieces)))
-            if self.rare.search(text) and ids != self.plain.encode_ordinary(text):
-                differing.append(k)
-            all_ids.append(ids)
-            ends.append((pieces, pieces, True) if len(pieces) <= most else (pieces[:most], pieces[-most:], False))
+    def _number(self, piece: str) -> int:
+        n = self.number.get(piece)
+        if n is None:
+            n = self.number[piece] = len(self.named)
+            self.named.append(piece)
+        return n
+
+    def _new_chunks(self, keys: list[int], texts: list[str], uncommon: np.ndarray) -> np.ndarray:
+        split, encode, number = self.split, self.plain._core_bpe.encode_ordinary, self._number
+        all_ids = list(map(encode, texts))
+        pieces = list(map(split, texts))
+        differing = [k for k in uncommon.tolist() if list(chain.from_iterable(map(self.ids_of, pieces[k]))) != all_ids[k]]
         slots = self._keep(all_ids)
-        self.ends += ends
+        self.head[slots] = [number(p[0]) for p in pieces]
+        self.tail[slots] = [number(p[-1]) for p in pieces]
+        self.single[slots] = [len(p) == 1 for p in pieces]
         self.count[slots[differing]] = -1
         self.slot.update(zip(keys, slots.tolist(), strict=True))
         return slots
 
+    def _boundary(self, last: int, first: int) -> bool:
+        """Whether a cut between two pre-tokens is a boundary in their joint text."""
+        a, b = self.named[last], self.named[first]
+        m = self.first(a + b)
+        return m is not None and m.end() == len(a) and not self.rare.search(a + b)
+
+    def _pieces(self, slot: int) -> list[str]:
+        return self.split(b"".join(self.words[i] for i in self.pool[self.start[slot] : self.start[slot] + self.count[slot]].tolist()).decode("utf-8", "replace"))
+
     def _join(self, left: int, right: int) -> int:
         """The repair of a join: its place in ``repairs``, 0 if both sides agree as they are, -1 if no window agrees."""
-        _, tail, whole_left = self.ends[left]
-        head, _, whole_right = self.ends[right]
+        if self.count[left] < 0 or self.count[right] < 0:
+            return -1
+        tail, head = self._pieces(left), self._pieces(right)
         for around in AROUND:
-            a, b = tail[-around:], head[:around]
-            alone = whole_left and len(a) == len(tail)  # the window begins where the chunk does
-            closed = whole_right and len(b) == len(head)  # and ends where it does
+            begin = max(0, len(tail) - around)
+            a, b = tail[begin:], head[:around]
             both = "".join(a) + "".join(b)
             got = self.split(both)
             if self.rare.search(both) and [i for x in got for i in self.ids_of(x)] != self.plain.encode_ordinary(both):
                 return -1
-            if not alone and got[0] != a[0]:
+            got = got[:-1]
+            if begin and got[:1] != a[:1]:
                 continue
-            first = 0 if alone else 1
-            cut = sum(map(len, a))
-            theirs, at = {}, cut  # boundaries of the second chunk: how many of its pre-tokens lie before
+            first = 1 if begin else 0
+            at = cut = sum(map(len, a))
+            theirs = {}  # boundaries of the second chunk: how many of its pre-tokens lie before
             for k, x in enumerate(b):
                 theirs[at] = k
                 at += len(x)
-            if closed:
+            if len(b) < len(head):
                 theirs[at] = len(b)
-            at, n = 0, 0
-            for n, x in enumerate(got):
-                if at >= cut and at in theirs and n < len(got):
+            at = 0
+            for n, x in enumerate([*got, ""]):
+                if at >= cut and at in theirs:
                     break
                 at += len(x)
             else:
-                n = len(got)
-                if not (closed and at in theirs):
-                    continue
+                continue
             mid, dropped, skipped = got[first:n], a[first:], b[: theirs[at]]
             size = lambda pieces: sum(len(self.ids_of(x)) for x in pieces)
             if mid == dropped + skipped:
-                # both sides agree; the first chunk's last pre-tokens must be its own all the same
                 return 0
             slot = int(self._keep([[i for x in mid for i in self.ids_of(x)]])[0])
-            self.ends.append(([], [], True))
             self.anew += sum(len(x.encode()) for x in mid)
             self.repairs.append((size(dropped), size(skipped), slot))
             self.context.append(size(a))
@@ -185,7 +208,9 @@ class Encoder:
         h = h[:-1] >> np.uint32(16)
         space = ((a[1:] == 32) | (a[1:] == 10)) & (a[:-1] > 32)
         begins = (a[1:] & 0xC0) != 0x80  # no byte inside a character
-        return np.flatnonzero(space & (h & np.uint32(MASK) == 0) | begins & ~space & (h & np.uint32(ANYWHERE) == 1)) + 1
+        at = np.arange(len(a) - 1)
+        run = at - np.maximum.accumulate(np.where(a[:-1] <= 32, at, -1)) >= RUN
+        return np.flatnonzero(space & (h & np.uint32(MASK) == 0) | begins & run & (h & np.uint32(ANYWHERE) == 1)) + 1
 
     def _slots(self, a: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the chunks of a window, and their slots."""
@@ -205,7 +230,8 @@ class Encoder:
         if len(new):
             f = first[new]
             self.anew += int(size[f].sum())
-            slots[new] = self._new_chunks(distinct[new].tolist(), [raw[b:e].decode("utf-8", "replace") for b, e in zip(starts[f].tolist(), ends[f].tolist(), strict=True)])
+            odd = np.concatenate([[0], np.cumsum((a >= 0xC9) | (a >= 0x1C) & (a < 0x20) | (a == 0x85))])  # bytes of uncommon characters, and some others
+            slots[new] = self._new_chunks(distinct[new].tolist(), [raw[b:e].decode("utf-8", "replace") for b, e in zip(starts[f].tolist(), ends[f].tolist(), strict=True)], np.flatnonzero(odd[ends[f]] > odd[starts[f]]))
         return starts, slots[back]
 
     def agrees(self, ids: np.ndarray, a: np.ndarray) -> bool:
@@ -217,13 +243,17 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and each text's offsets in it. offsets: of the texts in data, one more than texts."""
-        if len(self.ends) > KEEP:
+        if self.slots > KEEP:
             self._forget()
         base, total = int(offsets[0]), int(offsets[-1])
         self.seen += total - base
         n_texts = len(offsets) - 1
         if total == base:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        if self.far:
+            self.anew += total - base
+            each = [self.plain.encode_ordinary(data[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(offsets.tolist(), offsets.tolist()[1:], strict=False)]
+            return np.fromiter(chain.from_iterable(each), np.int32), np.cumsum([0, *map(len, each)])
         starts, slots, lo = [], [], base
         while lo < total:
             hi = min(lo + WINDOW, total)
@@ -245,16 +275,10 @@ class Encoder:
         text = np.searchsorted(offsets, start, "right") - 1
         # joins inside texts
         inner = np.flatnonzero(text[1:] == text[:-1]) + 1
-        pair = slot[inner - 1] << np.int64(32) | slot[inner]
-        distinct, back = np.unique(pair, return_inverse=True)
-        got = []
-        for x in distinct.tolist():
-            r = self.joins.get(x)
-            if r is None:
-                r = self.joins[x] = self._join(x >> 32, x & 0xFFFFFFFF)
-            got.append(r)
+        met = _looked_up(self.tail[slot[inner - 1]] << np.int64(32) | self.head[slot[inner]], self.meets, self._boundary)
+        inner = inner[(met == 0) | (self.count[slot[inner - 1]] < 0) | (self.count[slot[inner]] < 0)]
         repair = np.zeros(len(start), np.int64)
-        repair[inner] = np.array(got, np.int64)[back] if len(inner) else 0
+        repair[inner] = _looked_up(slot[inner - 1] << np.int64(32) | slot[inner], self.joins, self._join)
         table, context = np.array(self.repairs, np.int64), np.array(self.context, np.int64)
         count = self.count[slot]
         bad = (repair < 0) | (count < 0)
@@ -263,8 +287,8 @@ class Encoder:
         tail, needs = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         tail[:-1], needs[:-1] = table[repair[1:], 0], context[repair[1:]]
         bad |= (head > 0) & (head + needs > count) | (head + tail > count)  # the repairs of a chunk's ends meet
-        # a chunk that is repaired at its start only: a join that agrees relies on its last pre-tokens, which must lie behind the repair
         bad |= (head > 0) & (head >= count) & np.append(text[1:] == text[:-1], False)
+        bad[:-1] |= (repair[1:] > 0) & self.single[slot[:-1]] & (np.append(-1, text[:-2]) == text[:-1])[: len(text) - 1]  # a pre-token that goes on at its end may have been another at its start
         # in between, then the chunk
         seg_start = np.stack([self.start[table[repair, 2]], self.start[slot] + head], 1).ravel()
         seg_len = np.stack([np.where(repair > 0, self.count[table[repair, 2]], 0), count - head - tail], 1).ravel()
@@ -274,19 +298,32 @@ class Encoder:
         before = np.concatenate([[0], np.cumsum(seg_len)])
         ids = self.pool[np.repeat(seg_start - before[:-1], seg_len) + np.arange(before[-1])]
         where = before[2 * np.searchsorted(text, np.arange(n_texts + 1), "left")]
-        sure = np.ones(n_texts, bool)
-        sure[doubtful] = False
-        if not len(doubtful) and self.agrees(ids, data[base:total]):
+        each = data[base:total] if not len(doubtful) else data[base:total][np.repeat(~np.isin(np.arange(n_texts), doubtful), np.diff(offsets))]
+        if not self.agrees(ids, each):  # two chunks of one hash somewhere: every text by itself
+            doubtful = np.array([t for t in range(n_texts) if offsets[t + 1] > offsets[t] and not self.agrees(ids[where[t] : where[t + 1]], data[offsets[t] : offsets[t + 1]])], np.int64)
+        if not len(doubtful):
             return ids, where
-        parts, out = [], np.zeros(n_texts + 1, np.int64)
-        for t in range(n_texts):
-            a, mine = data[offsets[t] : offsets[t + 1]], ids[where[t] : where[t + 1]]
-            if len(a) and not (sure[t] and self.agrees(mine, a)):
-                self.anew += len(a)
-                mine = np.array(self.plain.encode_ordinary(a.tobytes().decode("utf-8", "replace")), np.int32)
-            parts.append(mine)
-            out[t + 1] = out[t] + len(mine)
-        return np.concatenate(parts), out
+        parts, at, more = [], 0, np.zeros(n_texts + 1, np.int64)
+        for t in doubtful.tolist():
+            a = data[offsets[t] : offsets[t + 1]]
+            self.anew += len(a)
+            mine = self.plain.encode_ordinary(a.tobytes().decode("utf-8", "replace"))
+            parts += [ids[at : where[t]], np.array(mine, np.int32)]
+            more[t + 1] = len(mine) - (where[t + 1] - where[t])
+            at = where[t + 1]
+        return np.concatenate([*parts, ids[at:]]), where + np.cumsum(more)
+
+
+def _looked_up(keys: np.ndarray, known: dict[int, int], ask) -> np.ndarray:
+    """The known answer for each key, which is two numbers; those that aren't known yet are asked for once."""
+    distinct, back = np.unique(keys, return_inverse=True)
+    got = []
+    for x in distinct.tolist():
+        r = known.get(x)
+        if r is None:
+            r = known[x] = ask(x >> 32, x & 0xFFFFFFFF)
+        got.append(r)
+    return np.array(got, np.int64)[back] if len(keys) else np.zeros(0, np.int64)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

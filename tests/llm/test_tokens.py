@@ -47,25 +47,25 @@ def test_forgets_beyond_its_bound(monkeypatch):
 
 
 PATTERNS = [
-    tokens.PATTERN,
+    tokens.PATTERN, r"'re|'r|\w+|\s+|[^\w\s]{1,2}", r" ?\p{L}{1,3}|\p{N}{1,3}|[^\p{L}\p{N}]",
     r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+", r"\p{N}{1,3}(?=(?:\p{N}{3})*(?:\P{N}|$))|\p{L}+ ?|\s|.", r"(?:\w+\s)*\w+|\s+|\W", r"[a-z]+|[A-Z]+ ?|(?s:.)",
 ]
 ENCODERS = {p: tokens.Encoder(open(tokens.VOCABULARY, "rb").read(), p) for p in PATTERNS}
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.lists(PIECES, max_size=60).map("".join)), max_size=8), st.sampled_from([16, 64, 1 << 20]), st.sampled_from([0, 3, 63]))
+@given(st.lists(st.one_of(st.none(), st.lists(PIECES, max_size=60).map("".join)), max_size=8), st.sampled_from([16, 64, 1 << 20]), st.sampled_from([(1, 0), (3, 0), (63, 24)]))
 def test_any_pattern_is_repaired_at_joins(texts, window, anywhere):
-    """Cuts at every place, at every fourth one and at few ones."""
-    old = tokens.WINDOW, tokens.ANYWHERE
-    tokens.WINDOW, tokens.ANYWHERE = window, anywhere
+    """Cuts at every second place, at every fourth one and at few ones."""
+    old = tokens.WINDOW, tokens.ANYWHERE, tokens.RUN
+    tokens.WINDOW, (tokens.ANYWHERE, tokens.RUN) = window, anywhere
     try:
         for p, e in ENCODERS.items():
             e._forget()
             ids, where = e.encode(*tokens.text_buffers(pa.array(texts, pa.string())))
             assert [ids[where[i] : where[i + 1]].tolist() for i in range(len(texts))] == [e.plain.encode_ordinary(t or "") for t in texts], p
     finally:
-        tokens.WINDOW, tokens.ANYWHERE = old
+        tokens.WINDOW, tokens.ANYWHERE, tokens.RUN = old
 
 
 def test_a_corpus_without_spaces_and_reuse(monkeypatch):
