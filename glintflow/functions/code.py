@@ -40,3 +40,37 @@ def definitions(code: DataFrame) -> DataFrame:
         name = F.when(here, F.regexp_extract("line", pattern, 2)).otherwise(name)
     rows = lines.withColumns({"_word": word, "name": name}).where("name <> ''")
     return rows.select("code_id", "line_no", F.when(F.col("_word").isin(*FUNCTIONS), "function").otherwise("type").alias("kind"), "name")
+
+
+# language: patterns with the name in group 1; what a line assigns
+VARIABLES = {"typescript": r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)", "javascript": r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)", "python": r"^\s*([A-Za-z_][\w.]*)\s*=[^=]", "rust": r"\blet\s+(?:mut\s+)?([a-z_]\w*)", "go": r"([A-Za-z_]\w*)\s*:="}
+CALL = r"([A-Za-z_]\w*)\("
+NO_CALLS = ("if", "for", "while", "switch", "match", "return", "catch", "func", "fn", "def", "function")
+CLASSES = ("class", "struct", "impl")
+
+
+def elements(code: DataFrame) -> DataFrame:
+    """(code_id, line_no, kind, name) of what (code_id, language, code) holds, by pattern: functions, classes, types, imports, variables and calls.
+
+    A name counts once a line and kind; a definition is no call. Other languages have none.
+    """
+    from glintflow.operators.multirepo import imported_module
+
+    lines = code.select("code_id", "language", F.posexplode(F.split("code", "\n")).alias("line_no", "line"))
+    none = F.array().cast("array<string>")
+    word, name, assigned = F.lit(""), F.lit(""), none
+    for language, pattern in DEFINITIONS.items():
+        here = F.col("language") == language
+        word, name = F.when(here, F.regexp_extract("line", pattern, 1)).otherwise(word), F.when(here, F.regexp_extract("line", pattern, 2)).otherwise(name)
+        assigned = F.when(here, F.regexp_extract_all("line", F.lit(VARIABLES[language]), 1)).otherwise(assigned)
+    called = F.when(F.col("language").isin(*DEFINITIONS), F.regexp_extract_all("line", F.lit(CALL), 1)).otherwise(none)
+    rows = lines.withColumns({"_word": word, "_name": name, "_module": F.coalesce(imported_module(), F.lit(""))})
+    kind = F.when(F.col("_word").isin(*FUNCTIONS), "function").when(F.col("_word").isin(*CLASSES), "class").otherwise("type")
+    calls = F.filter(F.array_distinct(called), lambda c: ~c.isin(*NO_CALLS) & (c != F.col("_name")))
+    one = lambda k, n: F.struct(k.alias("kind"), n.alias("name"))
+    each = F.concat(
+        F.when(F.col("_name") != "", F.array(one(kind, F.col("_name")))).otherwise(F.array().cast("array<struct<kind:string,name:string>>")),
+        F.when(F.col("_module") != "", F.array(one(F.lit("import"), F.col("_module")))).otherwise(F.array().cast("array<struct<kind:string,name:string>>")),
+        F.transform(F.array_distinct(assigned), lambda v: one(F.lit("variable"), v)), F.transform(calls, lambda c: one(F.lit("call"), c)),
+    )
+    return rows.select("code_id", "line_no", F.inline(each))

@@ -161,15 +161,18 @@ def resolved_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
 def dependency_neighbours(diagnostics: DataFrame, edges: DataFrame) -> DataFrame:
     """Files that a diagnostic's file imports, and files that import it, whose symbols the diagnostic names.
 
-    diagnostics: (id, file, symbols array); edges: (file, dependency, symbols array).
+    diagnostics: (id, file, symbols array); edges: (file, dependency, symbols array). Both sides meet by file and symbol, so that a file which
+    many others import is as many keys as it has symbols, and no pair without a common symbol is made.
     """
-    out = diagnostics.join(edges.select("file", F.col("dependency").alias("neighbour"), F.col("symbols").alias("_s")), "file").withColumn("direction", F.lit("imports"))
-    back = diagnostics.join(edges.select(F.col("dependency").alias("file"), F.col("file").alias("neighbour"), F.col("symbols").alias("_s")), "file").withColumn("direction", F.lit("imported_by"))
-    return out.unionByName(back).where(F.arrays_overlap("symbols", "_s")).select("id", "direction", "neighbour")
+    named = diagnostics.select("id", "file", F.explode("symbols").alias("s"))
+    used = edges.select("file", "dependency", F.explode("symbols").alias("s"))
+    out = named.join(used.withColumnRenamed("dependency", "neighbour"), ["file", "s"]).select("id", F.lit("imports").alias("direction"), "neighbour")
+    back = named.join(used.select(F.col("dependency").alias("file"), "s", F.col("file").alias("neighbour")), ["file", "s"]).select("id", F.lit("imported_by").alias("direction"), "neighbour")
+    return out.unionByName(back).distinct()
 
 
 IMPORTS = {
-    "typescript": r"import\s+[^'\"]*['\"]([^'\"]+)['\"]", "javascript": r"(?:require\(|from\s+)['\"]([^'\"]+)['\"]", "python": r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))",
+    "typescript": r"(?:import\s+[^'\"]*|import\(|require\(|from\s+)['\"]([^'\"]+)['\"]", "javascript": r"(?:import\s+[^'\"]*|import\(|require\(|from\s+)['\"]([^'\"]+)['\"]", "python": r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))",
     "rust": r"^\s*use\s+([\w:]+)", "go": r"^\s*(?:import\s+)?\"([^\"]+)\"",
 }
 TYPES = r"\b(?:class|struct|enum|trait|interface|type)\s+([A-Z]\w*)"
@@ -180,13 +183,18 @@ def code_lines(code: DataFrame) -> DataFrame:
     return code.select("code_id", "language", F.posexplode(F.split("code", "\n")).alias("line_no", "line"))
 
 
-def imports_of(code: DataFrame) -> DataFrame:
-    """Modules imported on each line, by the language's pattern."""
+def imported_module() -> Column:
+    """The module that a row's line imports, by the pattern of its language."""
     found = None
     for language, pattern in IMPORTS.items():
         group = F.regexp_extract("line", pattern, 1) if language != "python" else F.concat(F.regexp_extract("line", pattern, 1), F.regexp_extract("line", pattern, 2))
         found = F.when(F.col("language") == language, group) if found is None else found.when(F.col("language") == language, group)
-    return code_lines(code).withColumn("module", found).where("module <> ''").select("code_id", "line_no", "module")
+    return found
+
+
+def imports_of(code: DataFrame) -> DataFrame:
+    """Modules imported on each line."""
+    return code_lines(code).withColumn("module", imported_module()).where("module <> ''").select("code_id", "line_no", "module")
 
 
 def types_of(code: DataFrame) -> DataFrame:

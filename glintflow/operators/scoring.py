@@ -229,6 +229,13 @@ def budgeted(elements: DataFrame, key: str, budget: int) -> DataFrame:
     return each.select(key, F.col("z.got.id").alias("id"), state.alias("state"), "tokens_used")
 
 
+def within_thresholds(elements: DataFrame, priority: float | None = None, tokens: int | None = None) -> DataFrame:
+    """Elements of a priority or more, of so many tokens or less."""
+    if priority is not None:
+        elements = elements.where(F.col("priority") >= priority)
+    return elements if tokens is None else elements.where(F.col("tokens") <= tokens)
+
+
 def nearest_name(words: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """The nearest of a short list of known names (name) for each word, within ``most`` edits; the first best by name.
 

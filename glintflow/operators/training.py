@@ -97,6 +97,7 @@ def injected(code: DataFrame, errors: list[tuple] = ERRORS) -> DataFrame:
     (code_id, error, difficulty, line, message, broken): all places are changed, the line is that of the first one.
     """
     tried = F.array_compact(F.array(*(F.when((F.col("language") == lang) & F.col("code").contains(old), F.struct(F.lit(name).alias("error"), F.lit(level).alias("difficulty"), F.lit(old).alias("old"), F.lit(new).alias("new"), F.lit(msg).alias("message"))) for name, level, lang, old, new, msg in errors)))
-    rows = code.withColumn("_t", tried).where("size(_t) > 0").withColumn("_e", F.col("_t")[F.pmod(F.xxhash64(F.col("code_id").cast("string")), F.size("_t")).cast("int")])
+    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.col("code_id").cast("string")), i, 1)) - 1
+    rows = code.withColumn("_t", tried).where("size(_t) > 0").withColumn("_e", F.col("_t")[(16 * digit(1) + digit(2)) % F.size("_t")])
     line = F.expr(r"size(split(substring_index(code, _e.old, 1), '\n'))")
     return rows.select("code_id", "_e.error", "_e.difficulty", line.alias("line"), "_e.message", F.expr("replace(code, _e.old, _e.new)").alias("broken"))

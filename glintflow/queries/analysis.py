@@ -18,11 +18,16 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, views: bool = False):
+RECURSIVE = VIEWS.replace("WITH", "WITH RECURSIVE", 1)
+
+
+def query(name: str, sql: str | None = None, views: bool | str = False):
+    """Registers a query; views: whether its SQL goes on after the views, or after views that may recur (``RECURSIVE``)."""
+
     def add(f):
         QUERIES[name] = f
         if sql is not None:
-            SQL[name] = (VIEWS if views else "") + sql
+            SQL[name] = (VIEWS if views is True else views or "") + sql
         return f
 
     return add
@@ -347,17 +352,33 @@ def _(spark, d):
     return privacy.sanitised(diags(spark, d), privacy.Policy(compat=True)).select("id", "file", "message")
 
 
-@query("d_capture")
+@query("d_capture", r""", m AS (SELECT id, CASE WHEN file = '' THEN file ELSE '[DIR_' || substr(sha256(CASE WHEN contains(file, '/') THEN regexp_extract(file, '^(.*)/[^/]*$', 1) ELSE '' END), 1, 6) || ']/' || regexp_extract(file, '([^/]*)$', 1) END AS file, line, "column", severity, severity_rank,
+  regexp_replace(regexp_replace(regexp_replace(message, '"[^"]*"', '"[STRING]"', 'g'), '''[^'']*''', '''[STRING]''', 'g'), '`[^`]*`', '`[STRING]`', 'g') AS t FROM diagnostics
+  WHERE severity = 'Error' AND NOT coalesce(regexp_matches(file, '^(.*/)?(\.env[^/]*|secrets/.*|\.git/.*|node_modules/.*|[^/]*\.log|dist/.*|build/.*|config/.*|\.ssh/.*|credentials/.*)$'), false)),
+ c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t, '//[^\n]*\z', '// [COMMENT]'), '/\*(?s:.*?)\*/', '/* [COMMENT] */', 'g'), '#[^\n]*\z', '# [COMMENT]') AS message, row_number() OVER (PARTITION BY file ORDER BY severity_rank, id) AS i FROM m),
+ r AS (SELECT *, row_number() OVER (PARTITION BY file, line, "column", severity, message[1:100] ORDER BY id) AS k FROM c WHERE i <= 20) SELECT id, file, message FROM r WHERE k = 1""", True)
 def _(spark, d):
     return privacy.captured(diags(spark, d), privacy.Policy.strict()).select("id", "file", "message")
 
 
-@query("d_groups")
+_GROUPS = r""", gf AS (SELECT id, file, line, "column", severity, row_number() OVER (PARTITION BY file ORDER BY line NULLS FIRST, severity_rank NULLS FIRST, id) AS i, list_distinct(list_concat(regexp_extract_all(coalesce(message, ''), '''([a-zA-Z_][a-zA-Z0-9_]*)''', 1), regexp_extract_all(coalesce(message, ''), '`([a-zA-Z_][a-zA-Z0-9_]*)`', 1))) AS sy,
+  regexp_matches(coalesce(message, ''), 'type|Type') AS ty, contains(coalesce(message, ''), 'import') AS im, contains(coalesce(message, ''), 'module') AS mo, contains(coalesce(message, ''), 'initialized') AS ini, contains(coalesce(message, ''), 'assigned') AS asg, contains(coalesce(message, ''), 'used') AS usd,
+  contains(coalesce(message, ''), 'initializer') AS inr, contains(coalesce(message, ''), 'before') AS bef, contains(coalesce(message, ''), 'borrow') AS bor, contains(coalesce(message, ''), 'moved') AS mov, contains(coalesce(message, ''), 'lifetime') AS lif, contains(coalesce(source, ''), 'rust') AS ru FROM diagnostics WHERE file IS NOT NULL AND id IS NOT NULL),
+ gp AS (SELECT a.file, a.i, b.i AS j, CASE WHEN len(list_intersect(a.sy, b.sy)) > 0 THEN 0.8 WHEN a.severity = 'Error' AND b.severity = 'Error' AND a.ty AND b.ty THEN 0.7 WHEN (a.im AND b.im) OR (a.mo AND b.mo) THEN 0.9 WHEN a.line = b.line AND abs(a."column" - b."column") < 10 THEN 0.6
+  WHEN (a.ini AND b.asg) OR (a.asg AND b.usd) OR (a.inr AND b.bef) THEN 0.85 WHEN a.ru AND ((a.bor AND b.bor) OR (a.mov AND b.mov) OR (a.lif AND b.lif)) THEN 0.75 END AS c FROM gf a JOIN gf b ON a.file = b.file AND a.i <> b.i),
+ gm AS (SELECT file, i, list({'j': j, 'c': CAST(c AS DOUBLE)} ORDER BY j) AS js FROM gp WHERE c IS NOT NULL GROUP BY 1, 2), gn AS (SELECT file, max(i) AS n FROM gf GROUP BY 1),
+ gs(file, i, taken, rel) AS (SELECT file, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS STRUCT(j BIGINT, c DOUBLE)[]) FROM gn UNION ALL
+  SELECT s.file, s.i + 1, CASE WHEN list_contains(s.taken, s.i + 1) THEN s.taken ELSE list_concat(list_append(s.taken, s.i + 1), list_transform(list_filter(coalesce(m.js, []), lambda x: NOT list_contains(s.taken, x.j)), lambda x: x.j)) END,
+   CASE WHEN list_contains(s.taken, s.i + 1) THEN NULL ELSE list_filter(coalesce(m.js, []), lambda x: NOT list_contains(s.taken, x.j)) END FROM gs s JOIN gn ON s.file = gn.file LEFT JOIN gm m ON m.file = s.file AND m.i = s.i + 1 WHERE s.i < gn.n),
+ gg AS (SELECT f.file, f.id AS primary_id, f.severity, f.line, CAST(len(rel) AS INT) AS related, coalesce(list_min(list_transform(rel, lambda x: x.c)), 1.0) AS confidence FROM gs JOIN gf f ON f.file = gs.file AND f.i = gs.i WHERE rel IS NOT NULL)"""
+
+
+@query("d_groups", _GROUPS + " SELECT file, primary_id, severity, line, related, confidence FROM gg", RECURSIVE)
 def _(spark, d):
     return dedupe.grouped(diags(spark, d)).select("file", "primary_id", "severity", "line", F.size("related").alias("related"), "confidence")
 
 
-@query("d_group_summary")
+@query("d_group_summary", _GROUPS + " SELECT count(*) AS total_groups, CAST(coalesce(sum(related + 1), 0) AS BIGINT) AS total_diagnostics, count(*) FILTER (severity = 'Error') AS primary_errors, CAST(coalesce(sum(related), 0) AS BIGINT) AS cascading_errors, sum(related + 1) / count(*) AS average_group_size FROM gg", RECURSIVE)
 def _(spark, d):
     return dedupe.group_summary(dedupe.grouped(diags(spark, d)))
 
@@ -382,44 +403,46 @@ def _(spark, d):
     return scoring.analysed(diags(spark, d)).select("id", "language", "kind", "category", "fix_complexity", "cascading")
 
 
-_PRIORITY = _ANALYSED + """, g AS (SELECT *, line % 13 AS related_count FROM z), s AS (SELECT *, CASE severity WHEN 'Error' THEN 100 WHEN 'Warning' THEN 60 WHEN 'Information' THEN 30 ELSE 10 END AS sev, CASE WHEN line < 50 THEN 90 WHEN line < 200 THEN 70 WHEN line < 500 THEN 50 ELSE 30 END AS loc,
+_PRIORITY = _GROUPS + _ANALYSED + """, g AS (SELECT z.*, gg.related AS related_count FROM z JOIN gg ON gg.primary_id = z.id), s AS (SELECT *, CASE severity WHEN 'Error' THEN 100 WHEN 'Warning' THEN 60 WHEN 'Information' THEN 30 ELSE 10 END AS sev, CASE WHEN line < 50 THEN 90 WHEN line < 200 THEN 70 WHEN line < 500 THEN 50 ELSE 30 END AS loc,
  CASE WHEN related_count = 0 THEN 20 WHEN related_count <= 2 THEN 40 WHEN related_count <= 5 THEN 60 WHEN related_count <= 10 THEN 80 ELSE 100 END AS base, CASE fix_complexity WHEN 1 THEN 100 WHEN 2 THEN 80 WHEN 3 THEN 60 WHEN 4 THEN 40 WHEN 5 THEN 20 ELSE 30 END AS cpl,
  CASE category WHEN 'MissingImport' THEN 90 WHEN 'TypeMismatch' THEN 70 WHEN 'MissingProperty' THEN 65 WHEN 'BorrowChecker' THEN 60 WHEN 'LifetimeError' THEN 55 ELSE 50 END AS cat FROM g),
  p AS (SELECT *, round(sev * 0.35 + loc * 0.15 + CASE WHEN coalesce(cascading, false) THEN least(base * 1.5, 100) ELSE base END * 0.25 + cpl * 0.15 + cat * 0.1, 6) AS priority, related_count + CASE WHEN coalesce(cascading, false) THEN 5 ELSE 0 END AS impact_radius FROM s)"""
 
 
 def _prioritised(spark, d):
-    return scoring.prioritised(scoring.analysed(diags(spark, d)).withColumn("related_count", F.col("line") % 13))
+    d_ = diags(spark, d)
+    groups = dedupe.grouped(d_).select(F.col("primary_id").alias("id"), F.size("related").alias("related_count"))
+    return scoring.prioritised(scoring.analysed(d_).join(groups, "id"))
 
 
-@query("x_priority", _PRIORITY + " SELECT id, priority, impact_radius FROM p", True)
+@query("x_priority", _PRIORITY + " SELECT id, priority, impact_radius FROM p", RECURSIVE)
 def _(spark, d):
     return _prioritised(spark, d).select("id", "priority", "impact_radius")
 
 
-@query("x_priority_summary", _PRIORITY + " SELECT count(*) AS groups, count(*) FILTER (priority >= 70) AS high_priority, count(*) FILTER (fix_complexity <= 2) AS quick_fixes, count(*) FILTER (impact_radius > 5) AS cascading, round(avg(priority), 6) AS average_priority FROM p", True)
+@query("x_priority_summary", _PRIORITY + " SELECT count(*) AS groups, count(*) FILTER (priority >= 70) AS high_priority, count(*) FILTER (fix_complexity <= 2) AS quick_fixes, count(*) FILTER (impact_radius > 5) AS cascading, round(avg(priority), 6) AS average_priority FROM p", RECURSIVE)
 def _(spark, d):
     return scoring.priority_summary(_prioritised(spark, d))
 
 
-@query("x_fix_order", _PRIORITY + " SELECT id, priority, row_number() OVER (ORDER BY priority DESC, id) AS rank FROM p ORDER BY priority DESC, id LIMIT 30", True)
+@query("x_fix_order", _PRIORITY + " SELECT id, priority, row_number() OVER (ORDER BY priority DESC, id) AS rank FROM p ORDER BY priority DESC, id LIMIT 30", RECURSIVE)
 def _(spark, d):
     return scoring.fix_order(_prioritised(spark, d), 30).select("id", "priority", "rank")
 
 
 _CONFIDENCE = """round((CASE WHEN code IS NULL THEN 0.3 ELSE CASE code WHEN 'TS2322' THEN 0.85 WHEN 'TS2339' THEN 0.75 WHEN 'TS2345' THEN 0.8 WHEN 'TS1005' THEN 0.95 WHEN 'E0308' THEN 0.8 WHEN 'E0384' THEN 0.9 WHEN 'E0382' THEN 0.7 WHEN 'E0596' THEN 0.85 ELSE 0.5 END END) * 0.45
  + CASE WHEN length(message) <= 20 THEN 0.9 WHEN length(message) <= 50 THEN 0.8 WHEN length(message) <= 100 THEN 0.6 WHEN length(message) <= 200 THEN 0.4 ELSE 0.2 END * 0.15 + CASE severity WHEN 'Error' THEN 0.7 WHEN 'Warning' THEN 0.8 WHEN 'Information' THEN 0.9 WHEN 'Hint' THEN 0.95 ELSE 0.7 END * 0.15
- + CASE regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1) WHEN 'ts' THEN 0.9 WHEN 'rs' THEN 0.95 WHEN 'py' THEN 0.8 WHEN 'go' THEN 0.85 ELSE 0.5 END * 0.1 + CASE WHEN line % 2 = 0 THEN 0.95 ELSE 0.5 END * 0.15, 6)"""
+ + CASE regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1) WHEN 'ts' THEN 0.9 WHEN 'rs' THEN 0.95 WHEN 'py' THEN 0.8 WHEN 'go' THEN 0.85 ELSE 0.5 END * 0.1 + CASE WHEN json_extract_string(data, '$.auto') = 'true' THEN 0.95 ELSE 0.5 END * 0.15, 6)"""
 
 
-@query("x_fix_confidence", f"SELECT id, {_CONFIDENCE} AS confidence FROM diagnostics", True)
+@query("x_fix_confidence", f"SELECT id, {_CONFIDENCE} AS confidence FROM diagnostics JOIN (SELECT id, data FROM sample_diagnostics) USING (id)", True)
 def _(spark, d):
-    return scoring.fix_confidence(diags(spark, d), F.col("message"), F.col("line") % 2 == 0).select("id", "confidence")
+    return scoring.fix_confidence(diags(spark, d), F.col("message"), F.coalesce(F.get_json_object("data", "$.auto") == "true", F.lit(False))).select("id", "confidence")
 
 
-@query("x_routed", f", c AS (SELECT id, {_CONFIDENCE} AS c FROM diagnostics) SELECT CASE WHEN c >= 0.8 THEN 'apply' WHEN c >= 0.8 * 0.7 THEN 'confirm' ELSE 'reject' END AS route, CASE WHEN c >= 0.9 THEN 'Certain' WHEN c >= 0.7 THEN 'Probable' WHEN c >= 0.5 THEN 'Possible' ELSE 'Uncertain' END AS bucket, count(*) AS n FROM c GROUP BY 1, 2", True)
+@query("x_routed", f", c AS (SELECT id, {_CONFIDENCE} AS c FROM diagnostics JOIN (SELECT id, data FROM sample_diagnostics) USING (id)) SELECT CASE WHEN c >= 0.8 THEN 'apply' WHEN c >= 0.8 * 0.7 THEN 'confirm' ELSE 'reject' END AS route, CASE WHEN c >= 0.9 THEN 'Certain' WHEN c >= 0.7 THEN 'Probable' WHEN c >= 0.5 THEN 'Possible' ELSE 'Uncertain' END AS bucket, count(*) AS n FROM c GROUP BY 1, 2", True)
 def _(spark, d):
-    c = scoring.fix_confidence(diags(spark, d), F.col("message"), F.col("line") % 2 == 0)
+    c = scoring.fix_confidence(diags(spark, d), F.col("message"), F.coalesce(F.get_json_object("data", "$.auto") == "true", F.lit(False)))
     return c.groupBy(scoring.routed(F.col("confidence"), 0.8).alias("route"), scoring.confidence_bucket(F.col("confidence")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -429,11 +452,19 @@ def _(spark, d):
     return diags(spark, d).select("id", scoring.verify_complexity(F.col("message"), F.col("file")).alias("complexity"))
 
 
-@query("x_message_scores")
+_SYNTAX = "(contains(message, 'unexpected token') OR (contains(message, 'expected') AND (contains(message, ''';''') OR contains(message, '''}''') OR contains(message, ''')'''))) OR contains(message, 'unterminated'))"
+_MISMATCH = "((contains(message, 'expected') AND contains(message, 'found')) OR contains(message, 'type mismatch') OR contains(message, 'cannot be assigned to'))"
+
+
+@query("x_message_scores", f""", c AS (SELECT id, message, lower(message) AS m, code, CASE WHEN {_SYNTAX} THEN 'S' WHEN {_MISMATCH} THEN 'T' WHEN regexp_matches(message, 'cannot find|not found|unresolved import|module not found') THEN 'I' ELSE 'U' END AS k, {_SYNTAX} OR {_MISMATCH} AS plain FROM diagnostics)
+ SELECT id, CASE k WHEN 'S' THEN CASE WHEN regexp_matches(message, 'missing|expected') THEN 1 ELSE 2 END WHEN 'I' THEN 2 WHEN 'T' THEN CASE WHEN contains(message, 'cannot be assigned') THEN 3 ELSE 4 END ELSE 6 END AS complexity,
+  least(1.0, 0.7 + CASE WHEN length(message) > 50 THEN 0.1 ELSE 0 END + CASE WHEN code IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN plain THEN 0.1 ELSE 0 END)::DOUBLE AS confidence,
+  CASE WHEN regexp_matches(m, 'type|cannot assign|incompatible') THEN 1.0 ELSE 0.5 END AS type_error, CASE WHEN regexp_matches(m, 'cannot find|import|module') THEN 1.0 ELSE 0.3 END AS import_error, CASE WHEN regexp_matches(m, 'undefined|not defined|variable') THEN 1.0 ELSE 0.4 END AS variable_error,
+  CASE WHEN regexp_matches(m, 'function|method|call') THEN 1.0 ELSE 0.5 END AS function_error, CASE WHEN regexp_matches(m, 'class|struct|interface') THEN 1.0 ELSE 0.4 END AS class_error FROM c""", True)
 def _(spark, d):
     m = F.col("message")
     c = scoring.message_category(m)
-    return diags(spark, d).select("id", scoring.message_complexity(c, m).alias("complexity"), scoring.message_confidence(m, F.col("code").isNotNull()).alias("confidence"), *(v.alias(k) for k, v in scoring.type_relevance(m).items()))
+    return diags(spark, d).select("id", scoring.message_complexity(c, m).alias("complexity"), F.round(scoring.message_confidence(m, F.col("code").isNotNull()), 6).alias("confidence"), *(v.alias(k) for k, v in scoring.type_relevance(m).items()))
 
 
 @query("x_proximity", """SELECT id, CASE WHEN abs(line - 300) <= 100 THEN 1.0 - abs(line - 300) / 100.0 * 0.5 ELSE 0.5 END AS linear, CASE WHEN abs(line - 300) <= 3 THEN 1.0 WHEN abs(line - 300) <= 10 THEN 0.8 WHEN abs(line - 300) <= 30 THEN 0.6 WHEN abs(line - 300) <= 50 THEN 0.4 ELSE 0.2 END AS stepped, CASE WHEN line < 300 THEN 1.1 WHEN line = 300 THEN 1.0 ELSE 0.9 END AS factor FROM diagnostics""", True)
@@ -442,32 +473,6 @@ def _(spark, d):
     return diags(spark, d).select("id", scoring.linear_proximity(line, at, 100).alias("linear"), scoring.stepped_proximity(line, at).alias("stepped"), scoring.direction_factor(line, at).alias("factor"))
 
 
-def _elements(spark, d):
-    kinds = F.array(*(F.lit(k) for k in scoring.TOKEN_COST))
-    r = diags(spark, d).withColumn("kind", kinds[(F.col("line") % 7).cast("int")])
-    name = X.quoted_name(F.col("message"), F.lit("~"))
-    rel = scoring.element_relevance(F.col("kind"), F.when(F.col("column") % 3 == 0, name).otherwise("~none"), F.col("message"), F.col("line") < 450, F.col("column") < 20)
-    near = F.when(F.col("kind") == "variable", scoring.stepped_proximity(F.col("line"), F.lit(300))).otherwise(1.0)
-    return r.select("file", "id", "kind", F.round(rel * near, 6).alias("priority"), scoring.element_tokens(F.col("kind"), F.col("line") % 40).alias("tokens"))
-
-
-@query("x_context_elements")
-def _(spark, d):
-    return _elements(spark, d)
-
-
-@query("x_token_budget")
-def _(spark, d):
-    return scoring.budgeted(_elements(spark, d).withColumn("project", X.project_of(F.col("file"))), "project", 2000)
-
-
-@query("x_context_relevance", "SELECT id, round(least(1.0, CASE WHEN line % 2 = 0 THEN 0.3 ELSE 0 END + CASE WHEN line % 3 = 0 THEN 0.2 ELSE 0 END + CASE WHEN line % 5 = 0 THEN 0.1 ELSE 0 END + CASE WHEN \"column\" % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN \"column\" % 3 = 0 THEN 0.15 ELSE 0 END + CASE WHEN \"column\" % 5 = 0 THEN 0.1 ELSE 0 END), 6) AS relevance FROM diagnostics", True)
-def _(spark, d):
-    li, co = F.col("line"), F.col("column")
-    parts = {"function": li % 2 == 0, "class": li % 3 == 0, "imports": li % 5 == 0, "types": co % 2 == 0, "variables": co % 3 == 0, "calls": co % 5 == 0}
-    return diags(spark, d).select("id", scoring.context_relevance(parts).alias("relevance"))
-
-
 # ---- repositories and teams
 
 
@@ -480,7 +485,8 @@ def _(spark, d):
     return multirepo.cross_repo_relations(diags(spark, d).withColumn("repository", X.project_of(F.col("file"))), "repository")
 
 
-@query("j_cross_repo_impact")
+@query("j_cross_repo_impact", SQL["j_cross_repo"].replace(" SELECT r.id, r.severity, r.repo,", ", o AS (SELECT r.id, r.severity, r.repo,").removeprefix(VIEWS) + """) SELECT id, repo, same_pattern + type_mismatch + api_violation + similar_code AS related,
+ round(least(1.0, CASE severity WHEN 'Error' THEN 0.5 WHEN 'Warning' THEN 0.3 WHEN 'Information' THEN 0.1 ELSE 0.05 END + least((same_pattern + type_mismatch + api_violation + similar_code) * 0.1, 0.3) + same_pattern * 0.02 + type_mismatch * 0.1 + api_violation * 0.15 + similar_code * 0.02), 6) AS impact FROM o""", True)
 def _(spark, d):
     return multirepo.cross_repo_impact(multirepo.cross_repo_relations(diags(spark, d).withColumn("repository", X.project_of(F.col("file"))), "repository"))
 
@@ -500,11 +506,15 @@ def _(spark, d):
     return multirepo.related_repositories(table(spark, d, "repositories"))
 
 
-@query("j_repository_impact")
+@query("j_repository_impact", f"""WITH {_TAGS}, w AS (SELECT DISTINCT id AS repository_id, unnest(string_split(name, '-')) AS item FROM repositories WHERE name IS NOT NULL), rel AS ({SQL["j_related"]}), ri AS (SELECT repository_id, least(sum(links * strength), 1.0) AS r FROM rel GROUP BY 1),
+ sd AS (SELECT item, round(least(sqrt(count(*)) / 10, 1.0), 9) AS impact FROM t GROUP BY 1 HAVING count(*) > 1), st AS (SELECT item, round(least(sqrt(count(*)) / 5, 1.0), 9) AS impact FROM w GROUP BY 1 HAVING count(*) > 1),
+ di AS (SELECT repository_id, least(sum(impact), 1.0) AS d FROM t JOIN sd USING (item) WHERE impact >= 0.1 GROUP BY 1), ti AS (SELECT repository_id, least(sum(impact), 1.0) AS t FROM w JOIN st USING (item) WHERE impact >= 0.1 GROUP BY 1)
+ SELECT id AS repository_id, round(coalesce(r, 0), 6) AS relation_impact, round(coalesce(d, 0), 6) AS dependency_impact, round(coalesce(t, 0), 6) AS type_impact, round(round(coalesce(r, 0), 6) * 0.3 + round(coalesce(d, 0), 6) * 0.4 + round(coalesce(t, 0), 6) * 0.3, 6) AS overall_impact
+ FROM repositories LEFT JOIN ri ON ri.repository_id = id LEFT JOIN di ON di.repository_id = id LEFT JOIN ti ON ti.repository_id = id""")
 def _(spark, d):
     r = table(spark, d, "repositories")
-    tags = multirepo.tags_of(r)
-    return multirepo.repository_impact(r, multirepo.related_repositories(r), tags, tags)
+    words = r.where("name IS NOT NULL").select(F.col("id").alias("repository_id"), F.explode(F.split("name", "-")).alias("item"))
+    return multirepo.repository_impact(r, multirepo.related_repositories(r), multirepo.tags_of(r), words)
 
 
 @query("j_foreign_uses", f"WITH {_TAGS}, w AS (SELECT id AS repository_id, unnest(string_split(name, '-')) AS type_name FROM repositories WHERE name IS NOT NULL), u AS (SELECT type_name, repository_id, count(*) AS n FROM w GROUP BY 1, 2), s AS (SELECT type_name, sum(n) AS a FROM u GROUP BY 1) SELECT t.repository_id, t.item AS type_name, CAST(s.a - coalesce(u.n, 0) AS BIGINT) AS uses_elsewhere FROM t JOIN s ON t.item = s.type_name LEFT JOIN u ON u.type_name = t.item AND u.repository_id = t.repository_id WHERE s.a - coalesce(u.n, 0) > 0")
@@ -531,7 +541,9 @@ def _(spark, d):
     return multirepo.resolved_imports(imports, modules)
 
 
-@query("j_neighbours")
+@query("j_neighbours", """, s AS (SELECT id, file, list_distinct(list_concat(regexp_extract_all(message, '''([a-zA-Z_][a-zA-Z0-9_]*)''', 1), regexp_extract_all(message, '`([a-zA-Z_][a-zA-Z0-9_]*)`', 1))) AS sy FROM diagnostics), u AS (SELECT DISTINCT file, unnest(sy) AS name FROM s), f AS (SELECT name, min(file) AS dependency FROM u GROUP BY 1),
+ e AS (SELECT file, dependency, list(DISTINCT name) AS names FROM u JOIN f USING (name) WHERE file <> dependency GROUP BY 1, 2)
+ SELECT s.id, 'imports' AS direction, e.dependency AS neighbour FROM s JOIN e ON s.file = e.file WHERE len(list_intersect(s.sy, e.names)) > 0 UNION ALL SELECT s.id, 'imported_by', e.file FROM s JOIN e ON s.file = e.dependency WHERE len(list_intersect(s.sy, e.names)) > 0""", True)
 def _(spark, d):
     s = diags(spark, d).select("id", "file", X.identifiers(F.col("message")).alias("symbols"))
     defs = s.select(F.explode("symbols").alias("name"), "file").groupBy("name").agg(F.min("file").alias("dependency"))
@@ -604,56 +616,134 @@ def _(spark, d):
     return training.annotation_report(_examples(spark, d))
 
 
-@query("m_lines")
+_PR = _META + """, ch AS (SELECT *, coalesce(len(messages) > 0, false) AND prompt IS NULL AND completion IS NULL AS chat FROM e WHERE example_id IS NOT NULL),
+ pr AS (SELECT example_id, language, CASE WHEN chat THEN list_filter(messages, lambda m: lower(trim(m.role)) = 'user')[-1].content ELSE prompt END AS prompt, CASE WHEN chat THEN list_filter(messages, lambda m: lower(trim(m.role)) = 'assistant')[-1].content ELSE completion END AS answer FROM ch)"""
+_BL = _PR + r""", bl AS (SELECT example_id AS code_id, language, prompt, list_filter(regexp_extract_all(answer, '(?s)```[\w+#.-]*[ \t]*\r?\n(.*?)(?:```|\z)', 1), lambda b: trim(b) <> '') AS blocks FROM pr),
+ cd AS (SELECT code_id, language, prompt, array_to_string(blocks, chr(10)) AS code FROM bl WHERE len(blocks) > 0), ln AS (SELECT code_id, language, prompt, len(string_split(code, chr(10))) AS lines, unnest(string_split(code, chr(10))) AS line, CAST(generate_subscripts(string_split(code, chr(10)), 1) - 1 AS INT) AS line_no FROM cd)"""
+
+
+@query("m_lines", _PR + """ SELECT example_id, '{"prompt":' || to_json(prompt) || ',"completion":' || to_json(answer) || '}' AS line FROM pr WHERE prompt IS NOT NULL AND answer IS NOT NULL""")
 def _(spark, d):
     return training.as_lines(_examples(spark, d))
 
 
-@query("m_chat")
+@query("m_chat", _PR + """ SELECT example_id, '{"messages":[{"role":"system","content":"You fix code problems."},{"role":"user","content":' || to_json(prompt) || '},{"role":"assistant","content":' || to_json(answer) || '}]}' AS line FROM pr WHERE prompt IS NOT NULL AND answer IS NOT NULL""")
 def _(spark, d):
     return training.as_chat(_examples(spark, d), "You fix code problems.")
 
 
-@query("m_labelled", "SELECT example_id, prompt AS text, completion AS label FROM ml_training_examples WHERE prompt IS NOT NULL AND completion IS NOT NULL")
+@query("m_labelled", _PR + " SELECT example_id, prompt AS text, answer AS label FROM pr WHERE prompt IS NOT NULL AND answer IS NOT NULL")
 def _(spark, d):
-    return training.as_labelled(_examples(spark, d).where("completion IS NOT NULL"))  # as its SQL
+    return training.as_labelled(_examples(spark, d))
 
 
-@query("m_prompts", _META + r""" SELECT example_id, 'Fix the following ' || coalesce(language, 'unknown') || ' code that has these diagnostics:' || chr(10) || chr(10) || 'Diagnostics:' || chr(10) || '- Line 7: Error - broken' || chr(10) || chr(10) || 'Code:' || chr(10) || '```' || coalesce(language, 'unknown') || chr(10) || completion || chr(10) || '```' || chr(10) AS prompt_text,
- 'Fix: mended' || chr(10) || chr(10) || '```' || coalesce(language, 'unknown') || chr(10) || completion || chr(10) || '```' AS completion_text FROM e WHERE completion IS NOT NULL""")
+@query("m_prompts", _PR + r""" SELECT example_id, 'Fix the following ' || coalesce(language, 'unknown') || ' code that has these diagnostics:' || chr(10) || chr(10) || 'Diagnostics:' || chr(10) || '- Line 7: Error - broken' || chr(10) || chr(10) || 'Code:' || chr(10) || '```' || coalesce(language, 'unknown') || chr(10) || answer || chr(10) || '```' || chr(10) AS prompt_text,
+ 'Fix: mended' || chr(10) || chr(10) || '```' || coalesce(language, 'unknown') || chr(10) || answer || chr(10) || '```' AS completion_text FROM pr WHERE answer IS NOT NULL""")
 def _(spark, d):
-    e = training.with_metadata(_examples(spark, d)).where("completion IS NOT NULL")
+    e = training.pairs(training.with_metadata(_examples(spark, d)), "language").where("answer IS NOT NULL")
     lang = F.coalesce("language", F.lit("unknown"))
     one = F.array(F.struct(F.lit(7).alias("line"), F.lit("Error").alias("severity"), F.lit("broken").alias("message")))
-    return e.select("example_id", training.prompt_text(lang, one, F.col("completion"), F.lit("")).alias("prompt_text"), training.completion_text(lang, F.lit("mended"), F.col("completion")).alias("completion_text"))
+    return e.select("example_id", training.prompt_text(lang, one, F.col("answer"), F.lit("")).alias("prompt_text"), training.completion_text(lang, F.lit("mended"), F.col("answer")).alias("completion_text"))
 
 
 def _blocks(spark, d):
     """The code blocks of every answer, of either format."""
     e = training.pairs(training.with_metadata(_examples(spark, d)), "language")
-    return e.select(F.col("example_id").alias("code_id"), "language", training.code_blocks(F.col("answer")).alias("blocks"))
+    return e.select(F.col("example_id").alias("code_id"), "language", "prompt", training.code_blocks(F.col("answer")).alias("blocks"))
 
 
 def _code(spark, d):
-    """The first code block of each completion, as the SQL of the queries that read it."""
-    e = training.with_metadata(_examples(spark, d)).where("completion IS NOT NULL")
-    return e.select(F.col("example_id").alias("code_id"), "language", F.regexp_extract("completion", r"(?s)```\w*\n(.*?)```", 1).alias("code")).where("code <> ''")
+    """All code of each answer: its blocks, one after the other."""
+    return _blocks(spark, d).where("size(blocks) > 0").select("code_id", "language", "prompt", F.array_join("blocks", "\n").alias("code"))
+
 
+_ERRORS = ", ".join(f"({i}, '{n}', '{lv}', '{lg}', '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}', '{m.replace(chr(39), chr(39) * 2)}')" for i, (n, lv, lg, a, b, m) in enumerate(training.ERRORS))
 
-@query("m_injected")
+
+@query("m_injected", _BL + f""", er AS (SELECT * FROM (VALUES {_ERRORS}) t(k, error, difficulty, lang, old, new, message)), c AS (SELECT DISTINCT code_id, language, unnest(blocks) AS code FROM bl),
+ tr AS (SELECT code_id, code, list({{'error': error, 'difficulty': difficulty, 'old': old, 'new': new, 'message': message}} ORDER BY k) AS t FROM c JOIN er ON language = lang AND contains(code, old) GROUP BY 1, 2),
+ pk AS (SELECT code_id, code, t[1 + (16 * (strpos('0123456789abcdef', md5(CAST(code_id AS VARCHAR))[1]) - 1) + strpos('0123456789abcdef', md5(CAST(code_id AS VARCHAR))[2]) - 1) % len(t)] AS x FROM tr)
+ SELECT code_id, x.error AS error, x.difficulty AS difficulty, CAST(len(string_split(substr(code, 1, strpos(code, x.old) - 1), chr(10))) AS INT) AS line, x.message AS message, replace(code, x.old, x.new) AS broken FROM pk""")
 def _(spark, d):
     return training.injected(_blocks(spark, d).select("code_id", "language", F.explode("blocks").alias("code")).distinct())
 
 
-@query("m_types", _META + r""", c AS (SELECT example_id AS code_id, regexp_extract(completion, '(?s)```\w*\n(.*?)```', 1) AS code FROM e WHERE completion IS NOT NULL), l AS (SELECT code_id, unnest(string_split(code, chr(10))) AS line, generate_subscripts(string_split(code, chr(10)), 1) - 1 AS line_no FROM c WHERE code <> '')
- SELECT code_id, CAST(line_no AS INT) AS line_no, unnest(regexp_extract_all(line, '\b(?:class|struct|enum|trait|interface|type)\s+([A-Z]\w*)', 1)) AS type_name FROM l""")
+@query("m_types", _BL + r""" SELECT code_id, line_no, unnest(regexp_extract_all(line, '\b(?:class|struct|enum|trait|interface|type)\s+([A-Z]\w*)', 1)) AS type_name FROM ln""")
 def _(spark, d):
     return multirepo.types_of(_code(spark, d))
 
 
-@query("m_imports")
+_IM = r"""CASE WHEN language IN ('typescript', 'javascript') THEN regexp_extract(line, '(?:import\s+[^''"]*|import\(|require\(|from\s+)[''"]([^''"]+)[''"]', 1) WHEN language = 'python' THEN regexp_extract(line, '^\s*from\s+([\w.]+)\s+import', 1) || regexp_extract(line, '^\s*import\s+([\w.]+)', 1)
+  WHEN language = 'rust' THEN regexp_extract(line, '^\s*use\s+([\w:]+)', 1) WHEN language = 'go' THEN regexp_extract(line, '^\s*(?:import\s+)?"([^"]+)"', 1) END"""
+
+
+@query("m_imports", _BL + f" SELECT code_id, line_no, {_IM} AS module FROM ln WHERE {_IM} <> ''")
+def _(spark, d):
+    return multirepo.imports_of(_code(spark, d))  # lines are counted over all blocks
+
+
+_EL = _BL + r""", df AS (SELECT code_id, prompt, lines, line_no, CASE language WHEN 'typescript' THEN regexp_extract(line, '\b(function|class|interface)\s+([A-Za-z_$][\w$]*)', ['w', 'n']) WHEN 'python' THEN regexp_extract(line, '^\s*(def|class)\s+([A-Za-z_]\w*)', ['w', 'n'])
+   WHEN 'rust' THEN regexp_extract(line, '\b(fn|struct|enum|trait|impl)\s+([A-Za-z_]\w*)', ['w', 'n']) WHEN 'go' THEN regexp_extract(line, '\b(func|type)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)', ['w', 'n']) END AS m FROM ln),
+ ve AS (SELECT DISTINCT code_id, prompt, lines, line_no, unnest(CASE language WHEN 'typescript' THEN regexp_extract_all(line, '\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)', 1) WHEN 'python' THEN regexp_extract_all(line, '^\s*([A-Za-z_][\w.]*)\s*=[^=]', 1) WHEN 'rust' THEN regexp_extract_all(line, '\blet\s+(?:mut\s+)?([a-z_]\w*)', 1) WHEN 'go' THEN regexp_extract_all(line, '([A-Za-z_]\w*)\s*:=', 1) END) AS name FROM ln),
+ ca AS (SELECT DISTINCT code_id, prompt, lines, line_no, unnest(CASE WHEN language IN ('typescript', 'python', 'rust', 'go') THEN regexp_extract_all(line, '([A-Za-z_]\w*)\(', 1) END) AS name FROM ln),
+ el AS (SELECT code_id, prompt, lines, line_no, CASE WHEN m.w IN ('function', 'def', 'fn', 'func') THEN 'function' WHEN m.w IN ('class', 'struct', 'impl') THEN 'class' ELSE 'type' END AS kind, m.n AS name FROM df WHERE m.n <> ''
+  UNION ALL SELECT code_id, prompt, lines, line_no, 'variable', name FROM ve UNION ALL SELECT code_id, prompt, lines, line_no, 'call', name FROM ca WHERE name NOT IN ('if', 'for', 'while', 'switch', 'match', 'return', 'catch', 'func', 'fn', 'def', 'function')
+   AND NOT EXISTS (SELECT 1 FROM df WHERE df.code_id = ca.code_id AND df.line_no = ca.line_no AND df.m.n = ca.name)
+  UNION ALL SELECT code_id, prompt, lines, line_no, 'import', """ + _IM + " FROM ln WHERE " + _IM + r""" <> ''),
+ rl AS (SELECT code_id, kind, name, line_no, lines, contains(prompt, name) AS nm, prompt, line_no = min(line_no) OVER (PARTITION BY code_id) AS inside, line_no - min(line_no) OVER (PARTITION BY code_id) <= 3 AS near FROM el WHERE prompt IS NOT NULL),
+ re AS (SELECT code_id, kind, name, line_no, round(least(1.0, round(CASE kind WHEN 'function' THEN 1.0 * CASE WHEN nm THEN 1.5 ELSE 1.0 END * CASE WHEN inside THEN 1.3 ELSE 1.0 END WHEN 'class' THEN 0.8 * CASE WHEN nm THEN 1.4 ELSE 1.0 END * CASE WHEN regexp_matches(prompt, 'type|interface|struct') THEN 1.2 ELSE 1.0 END
+   WHEN 'type' THEN 0.7 * CASE WHEN nm THEN 1.8 WHEN contains(prompt, 'type') THEN 1.3 ELSE 1.0 END WHEN 'import' THEN 0.6 * CASE WHEN nm THEN 1.3 ELSE 1.0 END WHEN 'variable' THEN 0.5 * CASE WHEN nm THEN 1.4 WHEN near THEN 1.2 ELSE 1.0 END ELSE 0.4 * CASE WHEN nm THEN 1.3 ELSE 1.0 END END, 6)), 6)::DOUBLE AS priority,
+  CAST(CASE kind WHEN 'function' THEN 50 WHEN 'class' THEN 30 WHEN 'type' THEN 25 WHEN 'call' THEN 15 WHEN 'import' THEN 10 ELSE 5 END + CASE WHEN kind IN ('function', 'class') THEN floor(lines * 4.0) WHEN kind = 'type' THEN floor(lines * 2.0) ELSE 0 END AS BIGINT) AS tokens FROM rl)"""
+
+
+def _elements(spark, d):
+    """The elements of each answer's code, ranked for the diagnostics in its prompt."""
+    from pyspark.sql import Window
+
+    from glintflow.functions.code import elements
+
+    code = _code(spark, d).where("prompt IS NOT NULL")
+    first = F.min("line_no").over(Window.partitionBy("code_id"))  # the elements of one answer
+    e = elements(code).withColumn("first", first).join(code.select("code_id", "prompt", F.size(F.split("code", "\n")).alias("lines")), "code_id")
+    rel = scoring.element_relevance(F.col("kind"), F.col("name"), F.col("prompt"), F.col("line_no") == F.col("first"), F.col("line_no") - F.col("first") <= 3)
+    return e.select("code_id", "kind", "name", "line_no", F.round(rel, 6).alias("priority"), scoring.element_tokens(F.col("kind"), F.col("lines")).alias("tokens"))
+
+
+@query("x_elements", _EL + " SELECT code_id, kind, name, line_no FROM el")
+def _(spark, d):
+    from glintflow.functions.code import elements
+
+    return elements(_code(spark, d))
+
+
+@query("x_context_elements", _EL + " SELECT code_id, kind, name, line_no, priority, tokens FROM re")
+def _(spark, d):
+    return _elements(spark, d)
+
+
+@query("x_thresholds", _EL + " SELECT code_id, kind, name, line_no FROM re WHERE priority >= 0.8 AND tokens <= 60")
 def _(spark, d):
-    return multirepo.imports_of(_blocks(spark, d).select("code_id", "language", F.array_join("blocks", "\n").alias("code")))  # lines are counted over all blocks
+    return scoring.within_thresholds(_elements(spark, d), 0.8, 60).select("code_id", "kind", "name", "line_no")
+
+
+_EID = "kind || ':' || name || ':' || CAST(line_no AS VARCHAR)"
+
+
+@query("x_token_budget", _EL.replace("WITH", "WITH RECURSIVE", 1) + f""", od AS (SELECT code_id, {_EID} AS id, priority, tokens, CASE WHEN priority >= 0.8 THEN 0 WHEN priority >= 0.4 THEN 1 ELSE 2 END AS tier, row_number() OVER (PARTITION BY code_id ORDER BY CASE WHEN priority >= 0.8 THEN 0 WHEN priority >= 0.4 THEN 1 ELSE 2 END, -priority, {_EID}, tokens) AS i FROM re),
+ bu(code_id, i, used, took) AS (SELECT DISTINCT code_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM od UNION ALL SELECT b.code_id, b.i + 1, CASE WHEN b.used + o.tokens <= 120 THEN b.used + o.tokens ELSE b.used END, b.used + o.tokens <= 120 FROM bu b JOIN od o ON o.code_id = b.code_id AND o.i = b.i + 1)
+ SELECT o.code_id, o.id, CASE WHEN NOT b.took THEN 'excluded' WHEN o.tier = 0 THEN 'essential' ELSE 'supplementary' END AS state, max(b.used) OVER (PARTITION BY o.code_id) AS tokens_used FROM od o JOIN bu b ON o.code_id = b.code_id AND o.i = b.i""")
+def _(spark, d):
+    e = _elements(spark, d)
+    return scoring.budgeted(e.select("code_id", F.concat_ws(":", "kind", "name", F.col("line_no").cast("string")).alias("id"), "priority", "tokens"), "code_id", 120)
+
+
+@query("x_context_relevance", _EL + " SELECT code_id, round(least(1.0, max(CASE WHEN kind = 'function' THEN 0.3 ELSE 0 END) + max(CASE WHEN kind = 'class' THEN 0.2 ELSE 0 END) + max(CASE WHEN kind = 'import' THEN 0.1 ELSE 0 END) + max(CASE WHEN kind = 'type' THEN 0.15 ELSE 0 END) + max(CASE WHEN kind = 'variable' THEN 0.15 ELSE 0 END) + max(CASE WHEN kind = 'call' THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS relevance FROM el GROUP BY 1")
+def _(spark, d):
+    from glintflow.functions.code import elements
+
+    has = {"function": "function", "class": "class", "imports": "import", "types": "type", "variables": "variable", "calls": "call"}
+    e = elements(_code(spark, d)).groupBy("code_id").agg(*(F.bool_or(F.col("kind") == k).alias(p) for p, k in has.items()))
+    return e.select("code_id", scoring.context_relevance({p: F.col(p) for p in has}).alias("relevance"))
 
 
 @query("m_adjustment", _META + " SELECT example_id, round(greatest(0.0, least(1.0, 0.5 + CASE WHEN n % 2 = 0 THEN 0.3 ELSE 0 END + CASE WHEN c > 0.5 THEN 0.2 ELSE 0 END - least(n * 0.05, 0.2) - least(n * 0.1, 0.2))), 6) AS adjustment FROM e WHERE c IS NOT NULL")
@@ -666,11 +756,20 @@ def _(spark, d):
 # ---- health
 
 
-_MEASURED = "m AS (SELECT event_type AS component, avg(value) / 100 AS hit_rate, avg(value) / 10 AS error_rate, count(*) % 2 = 0 AS breaker_open, true AS available, max(value) AS cpu, avg(value) AS memory, avg(value) * 30 AS response_ms FROM events GROUP BY 1)"
+def _measured_sql(name: str, where: str = "true") -> str:
+    return f"{name} AS (SELECT event_type AS component, avg(value) / 100 AS hit_rate, avg(value) / 10 AS error_rate, count(*) % 2 = 0 AS breaker_open, true AS available, max(value) AS cpu, avg(value) AS memory, avg(value) * 30 AS response_ms FROM events WHERE {where} GROUP BY 1)"
+
+
+_MEASURED = _measured_sql("m")
+
 
+def _alerts_sql(measured: str) -> str:
+    each = " UNION ALL ".join(f"SELECT component, '{k}' AS metric, {k} AS v, {w} AS w, {c} AS c FROM {measured}" for k, w, c in (("cpu", 70, 90), ("memory", 75, 90), ("error_rate", 5, 10), ("response_ms", 1000, 5000)))
+    return f"(SELECT metric || '-' || CASE WHEN v > c THEN 'critical' ELSE 'warning' END || '-' || component AS id, metric FROM ({each}) WHERE v > w)"
 
-def _measured(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("component")).agg(
+
+def _measured(spark, d, where: str = "true"):
+    return table(spark, d, "events").where(where).groupBy(F.col("event_type").alias("component")).agg(
         (F.avg("value") / 100).alias("hit_rate"), (F.avg("value") / 10).alias("error_rate"), (F.count(F.lit(1)) % 2 == 0).alias("breaker_open"), F.lit(True).alias("available"), F.max("value").alias("cpu"), F.avg("value").alias("memory"), (F.avg("value") * 30).alias("response_ms")
     )
 
@@ -694,10 +793,14 @@ def _(spark, d):
     return health.alerts(_measured(spark, d)).withColumn("value", F.round("value", 6))
 
 
-@query("h_merged_alerts")
+_HALF = "TIMESTAMP '2024-01-16 00:00:00'"  # alerts of the first half of the month are old
+
+
+@query("h_merged_alerts", f"WITH {_measured_sql('m1', 'ts < ' + _HALF)}, {_measured_sql('m2', 'ts >= ' + _HALF)}, o AS (SELECT id, 1 AS ts, metric = 'response_ms' AS resolved FROM {_alerts_sql('m1')}), n AS (SELECT id FROM {_alerts_sql('m2')}) SELECT id, CAST(ts AS BIGINT) AS ts, resolved FROM o UNION ALL SELECT id, 2, false FROM n WHERE id NOT IN (SELECT id FROM o WHERE NOT resolved)")
 def _(spark, d):
-    new = health.alerts(_measured(spark, d)).select("id", F.lit(2).cast("bigint").alias("ts"))
-    old = new.where("id LIKE 'cpu%'").select("id", F.lit(1).cast("bigint").alias("ts"), F.lit(False).alias("resolved"))
+    at = _HALF.replace("TIMESTAMP", "TIMESTAMP_NTZ")
+    new = health.alerts(_measured(spark, d, f"ts >= {at}")).select("id", F.lit(2).cast("bigint").alias("ts"))
+    old = health.alerts(_measured(spark, d, f"ts < {at}")).select("id", F.lit(1).cast("bigint").alias("ts"), (F.col("metric") == "response_ms").alias("resolved"))
     return health.merged_alerts(old, new)
 
 
@@ -716,7 +819,7 @@ def _(spark, d):
     return health.health_summary(_figures(spark, d))
 
 
-@query("h_prometheus")
+@query("h_prometheus", _SCORES + """ SELECT 'glintflow_component_health_score{component="' || component || '"} ' || printf('%.1f', score) AS line FROM s""")
 def _(spark, d):
     return health.prometheus(health.component_scores(_measured(spark, d)))
 
@@ -725,13 +828,14 @@ def _(spark, d):
 
 
 def _versions(spark, d):
+    """Two runs: the files that the later one saw, and those of the earlier one; their spans overlap."""
     s = snaps(spark, d).where("timestamp IS NOT NULL")
-    pick = lambda agg: s.groupBy(F.col("file_path").alias("file")).agg(agg("timestamp").alias("mtime"), (F.max_by if agg is F.max else F.min_by)(F.coalesce("file_hash", F.lit("")), F.struct("timestamp", "id")).alias("hash"))
-    return pick(F.max).where("file NOT LIKE '%.go'"), pick(F.min).where("file NOT LIKE '%.rs'")
+    pick = lambda span: s.where(span).groupBy(F.col("file_path").alias("file")).agg(F.max("timestamp").alias("mtime"), F.max_by(F.coalesce("file_hash", F.lit("")), F.struct("timestamp", "id")).alias("hash"))
+    return pick("timestamp >= 1710000000"), pick("timestamp < 1716000000")
 
 
-_STATES = """WITH s AS (SELECT * FROM diagnostic_snapshots WHERE timestamp IS NOT NULL), c AS (SELECT file_path AS file, max(timestamp) AS m, arg_max(coalesce(file_hash, ''), {'t': timestamp, 'i': id}) AS h FROM s WHERE file_path NOT LIKE '%.go' GROUP BY 1),
- p AS (SELECT file_path AS file, min(timestamp) AS m, arg_min(coalesce(file_hash, ''), {'t': timestamp, 'i': id}) AS h FROM s WHERE file_path NOT LIKE '%.rs' GROUP BY 1),
+_STATES = """WITH s AS (SELECT * FROM diagnostic_snapshots WHERE timestamp IS NOT NULL), c AS (SELECT file_path AS file, max(timestamp) AS m, arg_max(coalesce(file_hash, ''), {'t': timestamp, 'i': id}) AS h FROM s WHERE timestamp >= 1710000000 GROUP BY 1),
+ p AS (SELECT file_path AS file, max(timestamp) AS m, arg_max(coalesce(file_hash, ''), {'t': timestamp, 'i': id}) AS h FROM s WHERE timestamp < 1716000000 GROUP BY 1),
  x AS (SELECT coalesce(c.file, p.file) AS file, CASE WHEN p.file IS NULL THEN 'added' WHEN c.file IS NULL THEN 'removed' WHEN c.m = p.m THEN 'unchanged' WHEN c.h = p.h THEN 'touched' ELSE 'changed' END AS state FROM c FULL JOIN p ON c.file = p.file)"""
 
 
@@ -753,9 +857,9 @@ def _(spark, d):
     return incremental.merged(states.where("state IN ('added', 'changed')").select(F.lit(-1).cast("bigint").alias("id"), "file"), old, states)
 
 
-@query("i_cache", "SELECT id FROM diagnostic_snapshots WHERE timestamp > 1735689600 - 2592000 ORDER BY timestamp DESC, id DESC LIMIT 1000")
+@query("i_cache", "SELECT id FROM diagnostic_snapshots WHERE timestamp > 1725000000 - 2592000 ORDER BY timestamp DESC, id DESC LIMIT 1000")
 def _(spark, d):
-    return incremental.cached_snapshots(snaps(spark, d), 1735689600, 2_592_000, 1000).select("id")
+    return incremental.cached_snapshots(snaps(spark, d), 1_725_000_000, 2_592_000, 1000).select("id")
 
 
 # ---- readers: the tables' rows put into each dialect and read back
@@ -812,7 +916,7 @@ def _(spark, d):
 # ---- exports
 
 
-@query("k_json")
+@query("k_json", """SELECT '{' || concat_ws(',', '"id":' || to_json(id), '"file":' || to_json(file), '"line":' || CAST(line AS VARCHAR), '"severity":' || to_json(severity), '"message":' || to_json(message)) || '}' AS line FROM diagnostics""", True)
 def _(spark, d):
     return export.json_lines(diags(spark, d).select("id", "file", "line", "severity", "message"))
 
@@ -832,7 +936,7 @@ def _(spark, d):
     return export.markdown(diags(spark, d), important_only=True)
 
 
-@query("k_table")
+@query("k_table", "SELECT " + " || ' | ' || ".join(f"rpad(CASE WHEN length(coalesce({c}, 'null')) > 50 THEN {c}[1:47] || '...' ELSE coalesce({c}, 'null') END, 50, ' ')" for c in ("file", "severity", "message")) + " AS line FROM diagnostics", True)
 def _(spark, d):
     return export.table_lines(diags(spark, d).select("file", "severity", "message"))
 
@@ -845,29 +949,24 @@ def _(spark, d):
     return top.select("id", F.row_number().over(Window.orderBy("severity_rank", "file", "line", "id")).alias("place"))
 
 
-@query("k_chart")
+@query("k_chart", "WITH b AS (SELECT timestamp // 86400 * 86400 AS x, sum(error_count) AS e, sum(warning_count) AS w FROM diagnostic_snapshots WHERE timestamp IS NOT NULL GROUP BY 1) SELECT 'total_errors' AS name, 'diagnostics' AS title, CAST(x AS DOUBLE) AS x, CAST(e AS DOUBLE) AS y FROM b UNION ALL SELECT 'total_warnings', 'diagnostics', CAST(x AS DOUBLE), CAST(w AS DOUBLE) FROM b")
 def _(spark, d):
-    return export.series_chart(history.time_series(snaps(spark, d), 86_400), "bucket", ["total_errors", "total_warnings"], "diagnostics")
+    chart = export.series_chart(history.time_series(snaps(spark, d), 86_400), "bucket", ["total_errors", "total_warnings"], "diagnostics")
+    return chart.select("name", "title", F.inline("points"))
 
 
 # ---- code
 
 
-@query("x_applied_edit", _META + r""", c AS (SELECT example_id AS code_id, regexp_extract(completion, '(?s)```\w*\n(.*?)```', 1) AS code FROM e WHERE completion IS NOT NULL) SELECT code_id, '[' || code[1:2] || ']' || code[3:] AS code FROM c WHERE length(string_split(code, chr(10))[1]) >= 2
- UNION ALL SELECT code_id, code FROM c WHERE code <> '' AND length(string_split(code, chr(10))[1]) < 2""")
+@query("x_applied_edit", _BL + r""", sp AS (SELECT code_id, code, string_split(code, chr(10)) AS l FROM cd) SELECT code_id, CASE WHEN len(l) >= 2 AND length(l[1]) >= 2 AND length(l[2]) >= 1 THEN l[1][1:2] || '<>' || l[2][2:] || CASE WHEN len(l) > 2 THEN chr(10) || array_to_string(l[3:], chr(10)) ELSE '' END ELSE code END AS code FROM sp""")
 def _(spark, d):
     from glintflow.functions.code import applied_edit
 
-    first = F.concat(F.lit("["), F.substring("code", 1, 2), F.lit("]"))
-    zero, two = F.lit(0), F.lit(2)
-    return _code(spark, d).select("code_id", applied_edit(F.col("code"), zero, zero, zero, two, first).alias("code"))
+    zero, one, two = F.lit(0), F.lit(1), F.lit(2)
+    return _code(spark, d).select("code_id", applied_edit(F.col("code"), zero, two, one, one, F.lit("<>")).alias("code"))
 
 
-@query("m_definitions", _META + r""", c AS (SELECT example_id AS code_id, language, regexp_extract(completion, '(?s)```\w*\n(.*?)```', 1) AS code FROM e WHERE completion IS NOT NULL), l AS (SELECT code_id, language, unnest(string_split(code, chr(10))) AS line, generate_subscripts(string_split(code, chr(10)), 1) - 1 AS line_no FROM c WHERE code <> ''),
- p AS (SELECT code_id, line_no, line, CASE language WHEN 'typescript' THEN '\b(function|class|interface)\s+([A-Za-z_$][\w$]*)' WHEN 'python' THEN '^\s*(def|class)\s+([A-Za-z_]\w*)' WHEN 'rust' THEN '\b(fn|struct|enum|trait|impl)\s+([A-Za-z_]\w*)' WHEN 'go' THEN '\b(func|type)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)' END AS r FROM l),
- x AS (SELECT code_id, line_no, CASE r WHEN '\b(function|class|interface)\s+([A-Za-z_$][\w$]*)' THEN regexp_extract(line, '\b(function|class|interface)\s+([A-Za-z_$][\w$]*)', ['w', 'n']) WHEN '^\s*(def|class)\s+([A-Za-z_]\w*)' THEN regexp_extract(line, '^\s*(def|class)\s+([A-Za-z_]\w*)', ['w', 'n'])
-   WHEN '\b(fn|struct|enum|trait|impl)\s+([A-Za-z_]\w*)' THEN regexp_extract(line, '\b(fn|struct|enum|trait|impl)\s+([A-Za-z_]\w*)', ['w', 'n']) ELSE regexp_extract(line, '\b(func|type)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)', ['w', 'n']) END AS m FROM p WHERE r IS NOT NULL)
- SELECT code_id, CAST(line_no AS INT) AS line_no, CASE WHEN m.w IN ('function', 'def', 'fn', 'func') THEN 'function' ELSE 'type' END AS kind, m.n AS name FROM x WHERE m.n <> ''""")
+@query("m_definitions", _EL + " SELECT code_id, line_no, CASE WHEN kind = 'function' THEN 'function' ELSE 'type' END AS kind, name FROM el WHERE kind IN ('function', 'class', 'type')")
 def _(spark, d):
     from glintflow.functions.code import definitions
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glintflow.plans.engine import Engine
 
-NOW = "2025-06-30 00:00:00"
+NOW = "2024-09-01 00:00:00"
 
 VIEWS = r"""
 WITH diagnostics AS (
