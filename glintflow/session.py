@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,11 +24,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it names none (tests), a local one is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it names none, a local session gets one of its own and a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if named:
@@ -34,10 +37,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="glintflow-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, which otherwise must have it installed or in their path."""
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="glintflow-zip-")) / f"{root.name}.zip"  # read by the driver only, which serves it to the executors
+    with zipfile.ZipFile(target, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder; survives the loss of an executor."""
     ensure_checkpoint_dir(df.sparkSession)
