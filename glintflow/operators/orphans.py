@@ -57,33 +57,39 @@ def references(child: DataFrame, table_name: str, record_id: str, time: Column,
 
 
 def known_keys(refs: DataFrame, parents: DataFrame, deleted: DataFrame) -> DataFrame:
-    """What is known of each distinct referred key: ``_state`` registered, deleted or missing, and since when.
+    """The distinct referred keys that have orphans: ``_state`` deleted, missing or late, ``_since`` when, and ``_n`` references.
 
-    ``parents`` and ``deleted`` have (_parent, _key) and parents also ``_since``.
+    ``parents`` and ``deleted`` have (_parent, _key) and parents also ``_since``. A registered key is late only for references before
+    its registration; those whose first reference is after it are left out.
     """
-    keys = refs.groupBy("_parent", "_key").agg(F.count(F.lit(1)).alias("_n"))  # partial sums before the shuffle: hot keys are one row a task
-    registered = parents.where("_key IS NOT NULL").groupBy("_parent", "_key").agg(F.min("_since").alias("_since"))
-    orphans = keys.join(registered, ["_parent", "_key"], "left_anti")
-    gone = deleted.where("_key IS NOT NULL").select("_parent", "_key").distinct()
-    never = orphans.join(gone.withColumn("_gone", F.lit(True)), ["_parent", "_key"], "left")
-    return never.select("_parent", "_key", F.when(F.col("_gone"), "deleted").otherwise("missing").alias("_state"), F.lit(None).cast("bigint").alias("_since")).unionByName(
-        registered.where("_since IS NOT NULL").select("_parent", "_key", F.lit("late").alias("_state"), "_since")
-    )
+    from glintflow.session import checkpointed
+
+    on = ["_parent", "_key"]
+    keys = checkpointed(refs.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")))  # a row a distinct key; partial sums before the shuffle: hot keys are one row a task
+    registered = parents.where("_key IS NOT NULL").groupBy(*on).agg(F.min("_since").alias("_since"))
+    orphans = keys.join(registered, on, "left_anti")
+    gone = deleted.where("_key IS NOT NULL").select(*on).distinct()
+    never = orphans.join(gone.withColumn("_gone", F.lit(True)), on, "left")
+    never = never.select(*on, F.when(F.col("_gone"), "deleted").otherwise("missing").alias("_state"), F.lit(None).cast("bigint").alias("_since"), "_n")
+    late = keys.join(registered, on).where("_since > _first").select(*on, F.lit("late").alias("_state"), "_since", "_n")
+    return never.unionByName(late)
 
 
-SALTS = 16
+HOT = 1 << 20  # references of a key in one task
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame, deleted: DataFrame) -> DataFrame:
     """Rows (table_name, field_name, record_id, reason, period) of references without a valid parent.
 
-    The state of a key is one row; a key that holds a large part of all references is spread over
-    ``SALTS`` tasks by a salt from the record id. The states are replicated as often: they are one
-    row a distinct key, far fewer than the references.
+    The state of a key is one row. A key of more than ``HOT`` references is spread over as many tasks as it has multiples of that, by a salt
+    from the record id, and only its state is replicated as often. The list of these keys is broadcast: one for each ``HOT`` references at most.
     """
-    state = known_keys(refs, parents, deleted)
-    salted = refs.withColumn("_salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
-    state = state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    from glintflow.session import checkpointed
+
+    state = checkpointed(known_keys(refs, parents, deleted)).withColumn("_salts", F.ceil(F.col("_n") / HOT).cast("int"))
+    hot = state.where("_salts > 1").select("_parent", "_key", "_salts")
+    salted = refs.join(F.broadcast(hot), ["_parent", "_key"], "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("record_id"), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    state = state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     found = salted.join(state, ["_parent", "_key", "_salt"]).where((F.col("_state") != "late") | (F.col("_since") > F.col("_at")))
     period = F.coalesce(F.date_format(F.timestamp_seconds("_at"), "yyyy-MM"), F.lit("unknown"))
     return found.select("table_name", "field_name", "record_id", F.col("_state").alias("reason"), period.alias("period")).distinct()
