@@ -68,22 +68,50 @@ def _match(a: _Facts, b: _Facts) -> str | None:
     return None
 
 
+# cue of a primary: cues of those that belong to it
+_LEADS = {"import": ("import",), "module": ("module",), "initialized": ("assigned",), "assigned": ("used",), "initializer": ("before",), "borrow": ("borrow",), "moved": ("moved",), "lifetime": ("lifetime",)}
+
+
+def _keys(f: _Facts) -> set:
+    """What others find a diagnostic by: its symbols, cues, line, and whether it is an error about types."""
+    return {("symbol", s) for s in f.symbols} | {("cue", c) for c in f.says} | {("line", f.line)} | ({("types",)} if f.severity == "Error" and f.says & {"type", "Type"} else set())
+
+
 def _fold(rows: list) -> list[tuple]:
-    """The groups of one file's rows, which come in order of line, severity and arrival."""
+    """The groups of one file's rows, which come in order of line, severity and arrival.
+
+    Whatever a primary can match has a symbol, a line or a cue that it asks for, so it looks only at those that are still free under
+    these keys. Nearly all of them match and are taken, so each is looked at a few times and the fold is about linear in the file.
+    """
     facts = [_Facts(r) for r in rows]
+    found_by: dict = {}
+    for j, f in enumerate(facts):
+        for k in _keys(f):
+            found_by.setdefault(k, {})[j] = None
     taken: set[str] = set()
+
+    def take(j: int) -> None:
+        taken.add(facts[j].id)
+        for k in _keys(facts[j]):
+            found_by[k].pop(j, None)
+
     out = []
     for i, a in enumerate(facts):
         if a.id in taken:
+            found_by_i = _keys(a)
+            for k in found_by_i:
+                found_by[k].pop(i, None)
             continue
+        take(i)
+        asked = {k for k in _keys(a) if k[0] != "cue"} | {("cue", c) for lead, cues in _LEADS.items() if lead in a.says for c in cues}
         related, sure = [], 1.0
-        for j, b in enumerate(facts):
-            if i == j or b.id in taken or (rule := _match(a, b)) is None:
+        for j in sorted({j for k in asked for j in found_by.get(k, ())}):
+            b = facts[j]
+            if b.id in taken or (rule := _match(a, b)) is None:
                 continue
             related.append(b.id)
-            taken.add(b.id)
+            take(j)
             sure = min(sure, CONFIDENCE[rule])
-        taken.add(a.id)
         out.append((rows[0].file, a.id, a.severity, a.line, related, sure))
     return out
 
@@ -92,7 +120,8 @@ def grouped(diagnostics: DataFrame) -> DataFrame:
     """Groups of related diagnostics: greedy in order of line, severity and arrival, one file at a time.
 
     The rule is a sequential fold and all rules ask for the same file. Rows are spread by file and sorted, and each partition is read as a
-    stream in which the files follow one another: a call a batch instead of one a file. One file's diagnostics must fit a task.
+    stream in which the files follow one another: a call a batch instead of one a file. One file's diagnostics must fit a task (some 500 bytes
+    each in Python, so a million of them half a GB), since which of them are still free depends on all groups before.
     """
     from collections.abc import Iterator
 

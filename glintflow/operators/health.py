@@ -66,3 +66,8 @@ def health_summary(metrics: DataFrame) -> DataFrame:
 def prometheus(scores: DataFrame, prefix: str = "glintflow") -> DataFrame:
     """Exposition lines (line) of the components' scores."""
     return scores.select(F.format_string(f'{prefix}_component_health_score{{component="%s"}} %.1f', "component", "score").alias("line"))
+
+
+def json_report(scores: DataFrame) -> DataFrame:
+    """(line): a JSON object for each component, with the issues that lower its score."""
+    return scores.select(F.to_json(F.struct("component", "score", "status", "issues")).alias("line"))

@@ -10,9 +10,9 @@ HOUR, DAY = 3600, 86_400
 FIX_MINUTES = {"SyntaxErrors": 5, "TypeErrors": 15, "Linting": 10, "Build": 20, "Runtime": 30, "Other": 15}
 
 
-def scan(snapshots: DataFrame, file: str, since: int | None = None, limit: int | None = None) -> DataFrame:
-    """A file's snapshots, newest first."""
-    out = snapshots.where(F.col("file_path") == file)
+def scan(snapshots: DataFrame, file: str | DataFrame, since: int | None = None, limit: int | None = None) -> DataFrame:
+    """A file's snapshots, newest first; the file by its path, or by a row that holds it (file_path)."""
+    out = snapshots.where(F.col("file_path") == file) if isinstance(file, str) else snapshots.join(file.select("file_path"), "file_path", "left_semi")
     if since is not None:
         out = out.where(F.col("timestamp") >= since)
     out = out.orderBy(F.desc("timestamp"), F.desc("id"))

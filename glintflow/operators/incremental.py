@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,21 @@ def run_statistics(states: DataFrame) -> DataFrame:
 def cached_snapshots(snapshots: DataFrame, now: int, ttl: int, most: int) -> DataFrame:
     """What a cache still holds: not older than its time, the newest ``most``."""
     return snapshots.where(F.col("timestamp") > now - ttl).orderBy(F.desc("timestamp"), F.desc("id")).limit(most)
+
+
+def changed_since(files: DataFrame, since: int) -> DataFrame:
+    """Files (file, mtime) that were modified at a time or later."""
+    return files.where(F.col("mtime") >= since)
+
+
+def of_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of the listed files (file), such as those that changed since a commit."""
+    return rows.join(files.select("file").distinct(), "file", "left_semi")
+
+
+def git_state(index: Column, tree: Column) -> Column:
+    """The state of a file by its two letters: of the index and of the working tree."""
+    return (
+        F.when((index == "M") | (tree == "M"), "modified").when(index == "A", "added").when((index == "D") | (tree == "D"), "deleted").when(index == "R", "renamed").when(index == "C", "copied")
+        .when((index == "?") & (tree == "?"), "untracked").when((index == "!") & (tree == "!"), "ignored").when((index == "U") | (tree == "U"), "conflict").when(index != " ", "staged").otherwise("modified")
+    )

@@ -95,6 +95,11 @@ def shared_items(uses: DataFrame, scale: float = 10.0) -> DataFrame:
     return n.where("repositories > 1").withColumn("impact", F.round(score, 9)).where(F.col("impact") >= LEAST_IMPACT)
 
 
+def shared_counts(rows: DataFrame, column: str) -> DataFrame:
+    """Values of a column that stand in more than one row, with their numbers."""
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def related_repositories(repositories: DataFrame) -> DataFrame:
     """(repository_id, kind, group_id, links, strength): members of a monorepo and repositories of one language, each with its number of partners.
 

@@ -15,6 +15,13 @@ from glintflow.operators.dedupe import deduplicated, worst_per_file
 _BASE = ("**/.env*", "**/secrets/**", "**/.git/**", "**/node_modules/**", "**/*.log", "**/dist/**", "**/build/**")  # fixed values
 
 
+# fixed values: what a workspace always leaves out
+DEFAULT_IGNORED = (
+    "**/.git/**", "**/.svn/**", "**/.hg/**", "**/node_modules/**", "**/vendor/**", "**/target/**", "**/.cargo/**", "**/dist/**", "**/build/**", "**/out/**", "**/_build/**", "**/.idea/**", "**/.vscode/**", "**/Thumbs.db", "**/.DS_Store", "**/tmp/**",
+    "**/temp/**", "**/*.tmp", "**/*.temp", "**/*.swp", "**/*.swo", "**/~*", "**/.cache/**", "**/__pycache__/**", "**/.pytest_cache/**", "**/coverage/**", "**/.coverage", "**/htmlcov/**", "**/.env*", "**/secrets/**", "**/credentials/**",
+)
+
+
 @dataclass(frozen=True)
 class Policy:
     exclude: tuple[str, ...] = _BASE
@@ -45,6 +52,12 @@ def ignored(rows: DataFrame, gitignore: list[str]) -> DataFrame:
     return without(rows, [gitignore_glob(p) for p in gitignore if p.strip() and not p.startswith("#")])
 
 
+def workspace(rows: DataFrame, gitignore: list[str] | None = None, more: tuple[str, ...] = (), files: DataFrame | None = None) -> DataFrame:
+    """Rows of files that belong to a workspace: not ignored by default, by its gitignore lines or by further globs, and there (files: file), if these are given."""
+    rows = ignored(without(rows, (*DEFAULT_IGNORED, *more)), gitignore or [])
+    return rows if files is None else rows.join(files.select("file").distinct(), "file", "left_semi")
+
+
 def selected(rows: DataFrame, severities: list[str] | None = None, sources: list[str] | None = None, include: list[str] | None = None, exclude: list[str] | None = None, most: int | None = None) -> DataFrame:
     """Rows by lists of severities and sources and by globs; ``most`` rows by id."""
     if severities:
@@ -68,6 +81,10 @@ def sanitised(diagnostics: DataFrame, policy: Policy = Policy()) -> DataFrame:
     if policy.mask_comments:
         m = mask_comments(m, policy.compat)
     rows = rows.withColumn("message", m)
+    if "related" in rows.columns:  # the texts and places that a diagnostic refers to
+        text = lambda r: mask_strings(r["message"], policy.compat) if policy.mask_strings else r["message"]
+        place = lambda r: anonymous_path(r["file"]) if policy.anonymous_paths else r["file"]
+        rows = rows.withColumn("related", F.transform("related", lambda r: F.struct(place(r).alias("file"), r["line"].alias("line"), text(r).alias("message"))))
     if policy.anonymous_paths:
         rows = rows.withColumn("file", anonymous_path(F.col("file")))
     return worst_per_file(rows, policy.per_file)

@@ -69,17 +69,63 @@ def main_language(files: DataFrame, key: str) -> DataFrame:
 
 
 def rate_limited(requests: DataFrame, most: int = 60, seconds: int = 60) -> DataFrame:
-    """Whether each request (client, ts) is within the client's sliding window; a denied request counts as well."""
-    w = Window.partitionBy("client").orderBy("ts").rangeBetween(-(seconds - 1), 0)
-    return requests.withColumn("allowed", F.count(F.lit(1)).over(w) <= most)
+    """Whether each request (client, ts) is within the client's sliding window; a denied request counts as well.
+
+    A client's requests are split by spans of ``seconds``; each is also context of the next span, so a busy client is many tasks.
+    """
+    span = F.expr(f"ts div {seconds}")
+    w = Window.partitionBy("client", "_span").orderBy("ts").rangeBetween(-(seconds - 1), 0)
+    rows = requests.withColumn("_own", span).withColumn("_span", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    return rows.withColumn("allowed", F.count(F.lit(1)).over(w) <= most).where("_span = _own").drop("_own", "_span")
+
+
+def globally_limited(requests: DataFrame, most: int = 3000, seconds: int = 60) -> DataFrame:
+    """Whether each request (id, ts) is let in by one limit over all: at most ``most`` that were let in within any ``seconds``; denied ones don't count.
+
+    Each decision depends on the ones before, but only on their number by time: requests are counted by ts first, the fold runs over one
+    row a tick in one task, and of the requests of a tick the first ones by id are let in.
+    """
+    from collections import deque
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        recent: deque = deque()
+        held = 0
+        for b in batches:
+            let = []
+            for ts, n in zip(b["ts"].tolist(), b["n"].tolist(), strict=True):
+                while recent and recent[0][0] <= ts - seconds:
+                    held -= recent.popleft()[1]
+                took = min(n, most - held)
+                let.append(took)
+                if took:
+                    recent.append((ts, took))
+                    held += took
+            yield pd.DataFrame({"ts": b["ts"], "let": let})
+
+    ticks = requests.where("ts IS NOT NULL").groupBy(F.col("ts").cast("bigint").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
+    let = ticks.repartition(1).sortWithinPartitions("ts").mapInPandas(fold, "ts bigint, let bigint")
+    place = F.row_number().over(Window.partitionBy("ts").orderBy("id"))
+    return requests.join(let, "ts").withColumn("allowed", place <= F.col("let")).drop("let")
+
+
+def memory_pressure(used_bytes, most: int = 1 << 30):
+    """Share of the memory that is used, at most 1."""
+    return F.least(used_bytes / float(most), F.lit(1.0))
 
 
 def moving_rate(outcomes: DataFrame, key: str, alpha: float = 0.1, start: float = 0.5) -> DataFrame:
     """Exponential moving average of outcomes (key, seq, success): a fold in order, in closed form.
 
-    The weight of an outcome depends on how many follow it, so a number from the end and a sum replace the fold.
+    The weight of an outcome depends on how many follow it, so a number from the end and a sum replace the fold. Outcomes with a weight below
+    what a double can show beside the others (1e-20) are left out before the shuffle, so that no key is ordered as a whole.
     """
+    import math
+
+    felt = math.ceil(math.log(1e-20) / math.log(1 - alpha))
     w = Window.partitionBy(key).orderBy(F.desc("seq"))
-    rows = outcomes.select(key, (F.row_number().over(w) - 1).alias("_after"), F.col("success").cast("double").alias("_s"))
-    out = rows.groupBy(key).agg(F.sum(F.col("_s") * alpha * F.pow(F.lit(1 - alpha), "_after")).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    rows = outcomes.select(key, F.row_number().over(w).alias("_i"), F.col("success").cast("double").alias("_s")).where(F.col("_i") <= felt)
+    out = rows.groupBy(key).agg(F.sum(F.col("_s") * alpha * F.pow(F.lit(1 - alpha), F.col("_i") - 1)).alias("_e"), F.count(F.lit(1)).alias("_n"))
     return out.select(key, (F.col("_e") + start * F.pow(F.lit(1 - alpha), "_n")).alias("rate"))

@@ -56,3 +56,30 @@ def status_events(history: DataFrame) -> DataFrame:
     action = F.lower(F.regexp_replace("action", "[^A-Za-z]", ""))
     rows = history.where("timestamp IS NOT NULL AND new_value IS NOT NULL").where(action == "statuschanged").select(F.expr("seq").alias("seq"), at.alias("at"), F.lower(F.regexp_replace(F.trim("new_value"), "[ -]", "_")).alias("status"))
     return rows.distinct().groupBy(F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd").alias("day"), "status").agg(F.count(F.lit(1)).alias("changes"))
+
+
+def relations_of(relations: DataFrame, repository: str) -> DataFrame:
+    """The relations (source_id, target_id, relation_type) that a repository is in, as source or as target."""
+    return relations.where((F.col("source_id") == repository) | (F.col("target_id") == repository))
+
+
+def merged_metrics(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Metrics (member_id, repository_id, resolved_count, avg_resolution_time) of two spans as one: counts added, means weighted by them."""
+    both = old.unionByName(new).groupBy("member_id", "repository_id")
+    total = F.sum(F.col("avg_resolution_time") * F.col("resolved_count"))
+    return both.agg(F.sum("resolved_count").alias("resolved_count"), F.try_divide(total, F.sum("resolved_count")).alias("avg_resolution_time"))
+
+
+def metrics_of(assignments: DataFrame) -> DataFrame:
+    """Metrics of resolved assignments, each counted once, by member and repository."""
+    done = assignments.where("completed_at IS NOT NULL AND assigned_at IS NOT NULL").dropDuplicates(["id"])
+    keys = normal_key(F.col("assignee_id")).alias("member_id"), normal_key(F.col("repository_id")).alias("repository_id")
+    return done.groupBy(*keys).agg(F.count(F.lit(1)).alias("resolved_count"), F.avg(F.col("completed_at") - F.col("assigned_at")).alias("avg_resolution_time"))
+
+
+def with_status(assignments: DataFrame, changes: DataFrame) -> DataFrame:
+    """Assignments with the last change (assignment_id, status, at, seq) of their status; the time of completion is set by one to resolved only, and else kept."""
+    last = changes.groupBy("assignment_id").agg(F.max_by(F.struct("status", "at"), F.struct("at", "seq")).alias("_c"))
+    out = assignments.join(last, assignments["id"] == F.col("assignment_id"), "left").drop("assignment_id")
+    done = F.when(F.col("_c.status") == "resolved", F.col("_c.at")).otherwise(F.col("completed_at"))
+    return out.withColumns({"completed_at": done, "updated_at": F.coalesce("_c.at", "updated_at"), "status": F.coalesce("_c.status", "status")}).drop("_c")

@@ -82,7 +82,30 @@ def as_labelled(examples: DataFrame) -> DataFrame:
     return _answered(examples).select("example_id", F.col("prompt").alias("text"), F.col("answer").alias("label"))
 
 
-# name, difficulty, language, from, to, message: errors to be made
+def context_statistics(examples: DataFrame) -> DataFrame:
+    """(total_pairs, avg_context_size): pairs, and the mean size of the code in their prompts, rounded down."""
+    size = F.aggregate(code_blocks(F.coalesce("prompt", F.lit(""))), F.lit(0).cast("bigint"), lambda a, c: a + F.length(c))
+    out = pairs(examples).agg(F.count(F.lit(1)).alias("total_pairs"), F.sum(size).alias("_s"))
+    return out.select("total_pairs", F.coalesce(F.floor(F.try_divide(F.col("_s"), F.col("total_pairs"))), F.lit(0)).cast("bigint").alias("avg_context_size"))
+
+
+def session_statistics(annotations: DataFrame, session: str) -> DataFrame:
+    """(session, total_reviewed, quality, n, avg_confidence_adjustment, seconds_per_annotation) of annotations (quality, adjustment, ts), by session and quality."""
+    key = F.col(session).alias("session")
+    whole = annotations.groupBy(key).agg(F.count(F.lit(1)).alias("total_reviewed"), F.round(F.avg("adjustment"), 6).alias("avg_confidence_adjustment"), F.round(F.try_divide(F.max("ts") - F.min("ts"), F.count(F.lit(1))), 6).alias("seconds_per_annotation"))
+    graded = annotations.groupBy(key, "quality").agg(F.count(F.lit(1)).alias("n"))
+    return graded.join(whole, "session").select("session", "total_reviewed", "quality", "n", "avg_confidence_adjustment", "seconds_per_annotation")
+
+
+# fixed values: name, difficulty, language, from, to, message of the errors that are made by default
+PATTERNS = [
+    ("missing_semicolon", "Beginner", "typescript", '";', '"', "';' expected"), ("typo_in_console", "Beginner", "typescript", "console.log", "console.lg", "Property 'lg' does not exist on type 'Console'. Did you mean 'log'?"),
+    ("type_mismatch", "Intermediate", "typescript", "const x: string =", "const x: number =", "Type 'string' is not assignable to type 'number'"), ("undefined_property", "Advanced", "typescript", "user.name", "user.firstName", "Property 'firstName' does not exist on type 'User'"),
+    ("missing_mut", "Beginner", "rust", "let mut x = 5;", "let x = 5;", "cannot assign twice to immutable variable"), ("borrow_checker", "Intermediate", "rust", "&data", "&mut data", "cannot borrow as mutable"),
+    ("indentation_error", "Beginner", "python", "    return x", "   return x", "IndentationError: unexpected indent"), ("undefined_variable", "Intermediate", "python", "result = x + y", "result = x + z", "NameError: name 'z' is not defined"),
+]
+
+# more general ones of our own: name, difficulty, language, from, to, message
 ERRORS = [
     ("missing_semicolon", "Beginner", "typescript", ";", "", "';' expected"), ("missing_await", "Intermediate", "typescript", "await ", "", "Property does not exist on type Promise"),
     ("wrong_length", "Beginner", "typescript", ".length", ".len", "Property 'len' does not exist"), ("missing_question_mark", "Intermediate", "rust", "?;", ";", "mismatched types"),
@@ -91,7 +114,7 @@ ERRORS = [
 ]
 
 
-def injected(code: DataFrame, errors: list[tuple] = ERRORS) -> DataFrame:
+def injected(code: DataFrame, errors: list[tuple] = [*PATTERNS, *ERRORS]) -> DataFrame:
     """One made error for each code (code_id, language, code) that an error fits: which one is settled by a hash of the id.
 
     (code_id, error, difficulty, line, message, broken): all places are changed, the line is that of the first one.

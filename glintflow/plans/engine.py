@@ -44,7 +44,7 @@ class Engine:
     """Answers queries over a folder of tables."""
 
     def __init__(self, spark: SparkSession, folder: str, now: str | None = None, compat: bool = False) -> None:
-        self.now, self.compat, self.memo, self.version = now, compat, Memo(), folder
+        self.now, self.compat, self.memo, self.version, self._spark = now, compat, Memo(), folder, spark
         self.diagnostics = diagnostics_of(table(spark, folder, "sample_diagnostics"))
         self._builders: dict[str, Callable[[], DataFrame]] = {
             "diagnostics": lambda: self.diagnostics,
@@ -69,6 +69,10 @@ class Engine:
     def view(self, name: str) -> DataFrame:
         return self._builders[name]()
 
+    def refresh(self) -> None:
+        """Reads the tables' files anew and forgets what was planned over the old ones."""
+        self.__init__(self._spark, self.version, self.now, self.compat)
+
     def execute(self, text: str, strict: bool = False) -> DataFrame:
         q = parse(text)
         if strict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glintflow.functions import text as X
-from glintflow.functions.patterns import glob_regex, wildcard_condition
+from glintflow.functions.patterns import checked_regex, glob_regex, wildcard_condition
 from glintflow.operators import dedupe, health, history, incremental, multirepo, privacy, scoring, summary, team, training
 from glintflow.plans.engine import files_view
 from glintflow.queries.language import VIEWS
@@ -51,7 +51,7 @@ def _(spark, d):
 
 @query("f_path_regex", "SELECT id FROM diagnostics WHERE regexp_matches(file, '/(token|queue)_[0-9]+\\.(rs|go)$')", True)
 def _(spark, d):
-    return diags(spark, d).where(F.col("file").rlike(r"/(token|queue)_[0-9]+\.(rs|go)$")).select("id")
+    return diags(spark, d).where(F.col("file").rlike(checked_regex(r"/(token|queue)_[0-9]+\.(rs|go)$"))).select("id")
 
 
 @query("f_category_any", "SELECT id FROM diagnostics WHERE coalesce(contains(code, 'TS2') OR contains(code, 'E03'), false)", True)
@@ -313,7 +313,7 @@ _FILE = "(SELECT arg_max(file_path, {'n': n, 'f': file_path}) FROM (SELECT file_
 @query("w_scan", f"SELECT id, timestamp, error_count FROM diagnostic_snapshots WHERE file_path = {_FILE} AND timestamp >= 1700000000 ORDER BY timestamp DESC, id DESC LIMIT 10")
 def _(spark, d):
     n = snaps(spark, d).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
-    name = n.agg(F.max_by("file_path", F.struct("n", "file_path")).alias("f")).first().f
+    name = n.agg(F.max_by("file_path", F.struct("n", "file_path")).alias("file_path"))
     return history.scan(snaps(spark, d), name, 1700000000, 10).select("id", "timestamp", "error_count")
 
 
@@ -657,7 +657,7 @@ def _code(spark, d):
     return _blocks(spark, d).where("size(blocks) > 0").select("code_id", "language", "prompt", F.array_join("blocks", "\n").alias("code"))
 
 
-_ERRORS = ", ".join(f"({i}, '{n}', '{lv}', '{lg}', '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}', '{m.replace(chr(39), chr(39) * 2)}')" for i, (n, lv, lg, a, b, m) in enumerate(training.ERRORS))
+_ERRORS = ", ".join(f"({i}, '{n}', '{lv}', '{lg}', '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}', '{m.replace(chr(39), chr(39) * 2)}')" for i, (n, lv, lg, a, b, m) in enumerate([*training.PATTERNS, *training.ERRORS]))
 
 
 @query("m_injected", _BL + f""", er AS (SELECT * FROM (VALUES {_ERRORS}) t(k, error, difficulty, lang, old, new, message)), c AS (SELECT DISTINCT code_id, language, unnest(blocks) AS code FROM bl),

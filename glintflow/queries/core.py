@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glintflow.queries import analysis, language, quality
+from glintflow.queries import analysis, language, quality, reports
 
-QUERIES = {**quality.QUERIES, **language.QUERIES, **analysis.QUERIES}
-SQL = {**quality.SQL, **language.SQL, **analysis.SQL}
+QUERIES = {**quality.QUERIES, **language.QUERIES, **analysis.QUERIES, **reports.QUERIES}
+SQL = {**quality.SQL, **language.SQL, **analysis.SQL, **reports.SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

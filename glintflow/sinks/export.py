@@ -68,6 +68,29 @@ def appended(rows: DataFrame, path: str, by: str | None = None) -> None:
     (w.partitionBy(by) if by else w).parquet(path)
 
 
+def summary_lines(diagnostics: DataFrame) -> DataFrame:
+    """(section, key, n): what a report says before its entries: diagnostics by severity, source and project, and files."""
+    from glintflow.functions.text import project_of
+
+    part = lambda section, key: F.struct(F.lit(section).alias("section"), F.coalesce(key, F.lit("unknown")).alias("key"))
+    each = F.explode(F.array(part("severity", F.col("severity")), part("source", F.col("source")), part("project", project_of(F.col("file")))))
+    counts = diagnostics.select(each.alias("s")).groupBy("s.section", "s.key").agg(F.count(F.lit(1)).alias("n"))
+    files = diagnostics.agg(F.count_distinct("file").alias("n")).select(F.lit("files").alias("section"), F.lit("files").alias("key"), "n")
+    return counts.unionByName(files)
+
+
+def share_chart(rows: DataFrame, key: str, title: str) -> DataFrame:
+    """(name, value, share, title): the bars or slices of a chart of counts."""
+    n = rows.groupBy(F.coalesce(F.col(key), F.lit("unknown")).alias("name")).agg(F.count(F.lit(1)).alias("value"))
+    whole = n.agg(F.sum("value").alias("_w"))  # one row
+    return n.join(F.broadcast(whole)).select("name", "value", F.round(F.col("value") / F.col("_w"), 9).alias("share"), F.lit(title).alias("title"))
+
+
+def scatter_chart(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """(x, y, n): the distinct points of two columns with their numbers; rows without either are passed over."""
+    return rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def series_chart(series: DataFrame, x: str, ys: list[str], title: str) -> DataFrame:
     """(name, points) of each line of a chart; a series has a point a bucket."""
     point = F.struct(F.col(x).cast("double").alias("x"), F.col("y").cast("double").alias("y"))
@@ -76,7 +99,7 @@ def series_chart(series: DataFrame, x: str, ys: list[str], title: str) -> DataFr
 
 
 def chart_document(chart: DataFrame, kind: str, wrapper: str = "plain", most: int = 10_000) -> str:
-    """A chart as a document for a charting library: plain, plotly, chartjs, vega or html. Of at most ``most`` series."""
+    """A chart as a document for a charting library: plain, plotly, chartjs, vega, d3 or html. Of at most ``most`` series."""
     rows = [r.asDict(True) for r in chart.limit(most).collect()]
     if wrapper == "plotly":
         return json.dumps({"data": [{"type": "scatter" if kind == "line" else kind, "name": r["name"], "x": [p["x"] for p in r["points"]], "y": [p["y"] for p in r["points"]]} for r in rows]})
@@ -84,5 +107,7 @@ def chart_document(chart: DataFrame, kind: str, wrapper: str = "plain", most: in
         return json.dumps({"type": kind, "data": {"datasets": [{"label": r["name"], "data": r["points"]} for r in rows]}})
     if wrapper == "vega":
         return json.dumps({"mark": kind, "data": {"values": [{"series": r["name"], **p} for r in rows for p in r["points"]]}})
+    if wrapper == "d3":
+        return json.dumps([{"series": r["name"], **p} for r in rows for p in r["points"]])
     plain = json.dumps({"kind": kind, "series": rows})
     return f"<script type='application/json'>{plain.replace('</', '<\\/')}</script>" if wrapper == "html" else plain

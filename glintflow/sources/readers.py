@@ -35,7 +35,8 @@ def _items(raw: DataFrame, kind: str, key: str = "diagnostics") -> DataFrame:
     """The elements of ``{key: [...]}`` or of a bare array."""
     wrapped = F.from_json("data", f"STRUCT<{key}: ARRAY<{kind}>>")[key]
     bare = F.from_json("data", f"ARRAY<{kind}>")
-    return raw.select("record", F.posexplode(F.when(F.col("data").rlike(r"^\s*\["), bare).otherwise(wrapped)).alias("position", "d"))
+    each = raw.select("record", F.posexplode(F.when(F.col("data").rlike(r"^\s*\["), bare).otherwise(wrapped)).alias("position", "d"))
+    return each.withColumn("position", F.col("position").cast("bigint"))
 
 
 def _span(d: str, end_default: bool = True) -> list[Column]:
@@ -70,7 +71,7 @@ def rust(raw: DataFrame) -> DataFrame:
 def eslint(raw: DataFrame) -> DataFrame:
     m = _items(raw, _ESLINT, "results").select("record", F.col("position").alias("outer"), F.col("d.filePath").alias("path"), F.posexplode("d.messages").alias("inner", "m"))
     return m.select(
-        "record", (F.col("outer") * 100_000 + F.col("inner")).alias("position"), normal_uri(F.coalesce("path", F.lit(""))).alias("file"), zero_based(F.col("m.line")).alias("start_line"), zero_based(F.col("m.column")).alias("start_character"),
+        "record", (F.col("outer").cast("bigint") * (1 << 32) + F.col("inner")).alias("position"), normal_uri(F.coalesce("path", F.lit(""))).alias("file"), zero_based(F.col("m.line")).alias("start_line"), zero_based(F.col("m.column")).alias("start_character"),
         zero_based(F.coalesce("m.endLine", "m.line")).alias("end_line"), zero_based(F.coalesce("m.endColumn", "m.column")).alias("end_character"), by_value(F.col("m.severity"), ESLINT_SEVERITY, "Warning").alias("severity"),
         F.coalesce("m.message", F.lit("")).alias("message"), F.col("m.ruleId").alias("code"), F.lit("eslint").alias("source"), _none(),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,19 +30,34 @@ def first_seen(stream: DataFrame, time: str, keys: list[str], late: str = "2 hou
 class OnChange:
     """A sink for foreachBatch: hands a batch's result on only if it differs from the last one.
 
-    The result is compared by a digest of all its rows, which is one number.
+    The result is compared by a digest of all its rows, which is one number. With a folder (shared, like that of checkpoints) the last digest is
+    kept in it, so that a restarted stream goes on where it was.
     """
 
-    def __init__(self, make: Callable[[DataFrame], DataFrame], emit: Callable[[DataFrame, int], None]) -> None:
-        self.make, self.emit, self.last, self.emitted = make, emit, None, 0
+    def __init__(self, make: Callable[[DataFrame], DataFrame], emit: Callable[[DataFrame, int], None], folder: str | None = None) -> None:
+        self.make, self.emit, self.last, self.emitted, self.folder = make, emit, None, 0, folder
+
+    def _known(self, spark: SparkSession) -> None:
+        from pyspark.errors import AnalysisException
+
+        if self.folder and self.last is None:
+            try:
+                r = spark.read.schema("number bigint, d string, n bigint").parquet(self.folder).orderBy(F.desc("number")).first()
+                self.last = r and (r.d and Decimal(r.d), r.n)
+            except AnalysisException:  # no folder yet
+                self.last = None
 
     def __call__(self, batch: DataFrame, number: int) -> None:
+        self._known(batch.sparkSession)
         result = self.make(batch)
         digest = result.agg(F.sum(F.xxhash64(*result.columns).cast("decimal(38,0)")).alias("d"), F.count(F.lit(1)).alias("n")).first()
         if (digest.d, digest.n) != self.last:
             self.last = (digest.d, digest.n)
             self.emitted += 1
             self.emit(result, number)
+            if self.folder:
+                digest = None if self.last[0] is None else str(self.last[0])
+                batch.sparkSession.createDataFrame([(number, digest, self.last[1])], "number bigint, d string, n bigint").coalesce(1).write.mode("append").parquet(self.folder)
 
 
 def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, seconds: int | None = None) -> StreamingQuery:
@@ -77,3 +93,15 @@ def changed_only(stream: DataFrame, seen: Callable[[], DataFrame], checkpoint: s
 def worst(stream: DataFrame) -> DataFrame:
     """Errors and warnings of a stream."""
     return stream.where(severity_rank(F.col("severity")) <= 2)
+
+
+def health_loop(stream: DataFrame, measured: Callable[[DataFrame], DataFrame], push: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None) -> StreamingQuery:
+    """The health of components, worked out anew for each batch of their measurements: (component, score, status, issues, alerts)."""
+    from glintflow.operators.health import alerts, component_scores
+
+    def each(batch: DataFrame, number: int) -> None:
+        m = measured(batch)
+        raised = alerts(m).groupBy("component").agg(F.array_sort(F.collect_set("id")).alias("alerts"))  # one of four a component
+        push(component_scores(m).join(raised, "component", "left"), number)
+
+    return fan_out(stream, [each], checkpoint, seconds)

@@ -171,3 +171,88 @@ def test_masks_take_whole_texts(spark):
     one = spark.createDataFrame([("x" * 9000 + ' "b" /* c */ end',)], "m string")
     r = one.select(text.mask_strings(F.col("m")), text.mask_comments(F.col("m")), text.mask_strings(F.col("m"), compat=True)).first()
     assert r[0].endswith('x "[STRING]" /* c */ end') and r[1].endswith('"b" /* [COMMENT] */ end') and r[2] == "x" * 8192
+
+
+def test_groups_equal_the_plain_fold(spark):
+    """The indexed fold against every pair of every file, in order."""
+    import random
+
+    rng = random.Random(5)
+    words = ["type", "Type", "import", "module", "undefined", "initialized", "assigned", "used", "initializer", "before", "borrow", "moved", "lifetime", "Cannot find", "x", "y"]
+    rows = []
+    for n in range(400):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(4))) + rng.choice(["", " 'a'", " `b`", " 'c' `d`"])
+        rows.append((f"{n:03}", f"f{n % 8}", rng.randrange(30), rng.randrange(40), rng.choice(["Error", "Error", "Warning", "Hint"]), text, rng.choice(["rustc", "tsc"])))
+    d = diag(spark, *rows)
+    want = []
+    by_file: dict = {}
+    for r in sorted(d.collect(), key=lambda r: (r.file, r.line, r.severity_rank, r.id)):
+        by_file.setdefault(r.file, []).append(dedupe._Facts(r))
+    for facts in by_file.values():
+        taken = set()
+        for a in facts:
+            if a.id in taken:
+                continue
+            hits = [(b.id, rule) for b in facts if b is not a and b.id not in taken and (rule := dedupe._match(a, b))]
+            taken |= {a.id, *(i for i, _ in hits)}
+            want.append((a.id, tuple(i for i, _ in hits), min([1.0, *(dedupe.CONFIDENCE[r] for _, r in hits)])))
+    assert sorted((r.primary_id, tuple(r.related), r.confidence) for r in dedupe.grouped(d).collect()) == sorted(want)
+
+
+def test_related_texts_are_masked(spark):
+    d = spark.createDataFrame([("1", "a/b.rs", 1, 1, "m 'x'", [("a/secret.rs", 3, 'says "key"')]), ("2", "a/b.rs", 2, 1, "m", None)], "id string, file string, line int, severity_rank int, message string, related array<struct<file:string,line:int,message:string>>")
+    got = {r.id: r for r in privacy.sanitised(d, privacy.Policy(anonymous_paths=True)).collect()}
+    assert got["1"].related[0].message == 'says "[STRING]"' and got["1"].related[0].file.endswith("]/secret.rs") and got["1"].related[0].line == 3 and got["2"].related is None
+
+
+def test_workspace_defaults(spark):
+    files = ["src/a.rs", "x/.git/config", "node_modules/p/i.js", "src/t.tmp", ".env.local", "a/target/x.rs", "gone.rs", "src/b.log"]
+    d = spark.createDataFrame([(f,) for f in files], "file string")
+    there = d.where("file <> 'gone.rs'")
+    assert sorted(r.file for r in privacy.workspace(d, ["*.log"], files=there).collect()) == ["src/a.rs"]
+    assert sorted(r.file for r in privacy.workspace(d).collect()) == ["gone.rs", "src/a.rs", "src/b.log"]
+
+
+def test_one_limit_over_all(spark):
+    from glintflow.operators import summary
+
+    r = spark.createDataFrame([(i, t) for i, t in enumerate([1, 1, 1, 2, 3, 5, 5, 6])], "id int, ts bigint")
+    assert {x.id: x.allowed for x in summary.globally_limited(r, 2, 4).collect()} == {0: True, 1: True, 2: False, 3: False, 4: False, 5: True, 6: True, 7: False}
+    assert summary.globally_limited(r.limit(0)).count() == 0
+
+
+def test_default_error_patterns(spark):
+    code = spark.createDataFrame([(1, "typescript", 'const x: string = "hello";\nconsole.log(x);'), (2, "rust", "fn f() {\n    let mut x = 5;\n}"), (3, "python", "def f(x, y):\n    result = x + y\n    return x"), (4, "go", "x")], "code_id int, language string, code string")
+    got = {r.code_id: r for r in training.injected(code, training.PATTERNS).collect()}
+    assert set(got) == {1, 2, 3} and got[2].error == "missing_mut" and got[2].line == 2 and "let x = 5;" in got[2].broken and got[3].error in ("indentation_error", "undefined_variable")
+
+
+def test_imports_and_elements(spark):
+    from glintflow.functions.code import elements
+
+    code = spark.createDataFrame(
+        [(1, "typescript", "import { a } from './a';\nconst b = require('b');\nexport class K {}\nlet c = await import('c');"), (2, "python", "import os\nfrom x.y import z\nclass K:\n    def f(self):\n        v = g(1) == 2"), (3, "rust", "use std::io;\nfn main() { let mut q = h(); }"), (4, "go", 'import "fmt"\nfunc (s *T) f() { v := g() }'), (5, "cobol", "MOVE A TO B(1)"), (6, None, None)],
+        "code_id int, language string, code string",
+    )
+    assert {(r.code_id, r.module) for r in multirepo.imports_of(code).collect()} == {(1, "./a"), (1, "b"), (1, "c"), (2, "os"), (2, "x.y"), (3, "std::io"), (4, "fmt")}
+    got = {(r.code_id, r.kind, r.name) for r in elements(code).collect()}
+    assert got >= {(1, "class", "K"), (1, "variable", "b"), (1, "variable", "c"), (1, "call", "require"), (2, "function", "f"), (2, "class", "K"), (2, "variable", "v"), (2, "call", "g"), (3, "function", "main"), (3, "variable", "q"), (3, "call", "h"), (4, "function", "f"), (4, "variable", "v"), (4, "call", "g")}
+    assert not any(c >= 5 for c, _, _ in got) and (2, "call", "f") not in got
+
+
+def test_git_states_and_positions(spark):
+    from glintflow.operators.incremental import git_state
+
+    s = spark.createDataFrame([(a, b) for a, b in ("M ", " M", "A ", " D", "R ", "C ", "??", "!!", "UU", "T ", "  ")], "a string, b string").select(git_state(F.col("a"), F.col("b")).alias("s"))
+    assert [r.s for r in s.collect()] == ["modified", "modified", "added", "deleted", "renamed", "copied", "untracked", "ignored", "conflict", "staged", "modified"]
+    raw = spark.createDataFrame([("r", json.dumps({"results": [{"filePath": "a", "messages": [{"line": 1, "message": "m"}] * 2}, {"filePath": "b", "messages": [{"line": 1, "message": "m"}]}]}))], "record string, data string")
+    p = [r.position for r in readers.eslint(raw).collect()]
+    assert len(set(p)) == 3
+
+
+def test_merged_metrics(spark):
+    from glintflow.operators import team
+
+    m = "member_id string, repository_id string, resolved_count bigint, avg_resolution_time double"
+    got = team.merged_metrics(spark.createDataFrame([("a", "r", 2, 10.0)], m), spark.createDataFrame([("a", "r", 1, 40.0), ("b", "r", 1, 5.0)], m)).collect()
+    assert {(r.member_id, r.resolved_count, r.avg_resolution_time) for r in got} == {("a", 3, 20.0), ("b", 1, 5.0)}

@@ -55,3 +55,23 @@ def test_first_seen(spark, tmp_path):
     q = monitor.first_seen(monitor.read_stream(spark, str(tmp_path / "in"), rows.schema), "t", ["id"]).writeStream.format("memory").queryName("first_seen").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.id for r in spark.table("first_seen").collect()) == ["a", "b"]
+
+
+def test_a_restarted_subscription_goes_on(spark, tmp_path):
+    one, two = spark.createDataFrame([(1,), (1,)], "x int"), spark.createDataFrame([(2,)], "x int")
+    pushed = []
+    for n, b in enumerate((one, one, two, two, one)):  # a new sink each time, as after a restart
+        monitor.OnChange(lambda b: b.groupBy("x").count(), lambda r, k: pushed.append(k), str(tmp_path / "last"))(b, n)
+    assert pushed == [0, 2, 4]
+
+
+def test_subscribed_and_health_loop(spark, tiny, tmp_path):
+    ev = spark.read.parquet(f"{tiny}/events.parquet").select("event_type", "value")
+    ev.repartition(3).write.parquet(str(tmp_path / "in"))
+    pushed, scores = [], []
+    s = monitor.read_stream(spark, str(tmp_path / "in"), ev.schema, 1)
+    monitor.subscribed(s, lambda b: b.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), lambda r, n: pushed.append(r.count()), str(tmp_path / "ck1")).awaitTermination(120)
+    assert len(pushed) == 3
+    measured = lambda b: b.groupBy(F.col("event_type").alias("component")).agg((F.avg("value") / 100).alias("hit_rate"), F.avg("value").alias("error_rate"), F.lit(False).alias("breaker_open"), F.lit(True).alias("available"), F.max("value").alias("cpu"), F.avg("value").alias("memory"), F.avg("value").alias("response_ms"))
+    monitor.health_loop(s, measured, lambda r, n: scores.extend(r.collect()), str(tmp_path / "ck2")).awaitTermination(120)
+    assert len(scores) == 15 and {r.status for r in scores} <= {"Online", "Degraded", "Offline"} and any(r.alerts for r in scores)
