@@ -6,14 +6,15 @@ grades; a linear discriminant calibrates them on labelled documents that were le
 seen by were estimated (two halves, each graded by the other). Words that tell levels apart count, evenly spread ones do
 not; code, lists and boilerplate move the quantiles little.
 
-The labels' sample is bounded: at most ``MAX_LABELLED`` documents, those with the lowest hash of their id, are used to fit. All
+The labels' sample is bounded: at most ``MAX_LABELLED`` documents, those with the lowest hash of their id, are used to fit, and of these the ones
+of at most ``MAX_WORDS`` distinct words, so that at most 8 bytes times both reach the driver. All
 documents are then read once, in a narrow pass without a shuffle.
 
 Defined results
 ---------------
 * A row for each document in English by its text, of at least ``LEAST_WORDS`` words at white space, whose type isn't ``log``.
 * Null, empty and blank texts have no row; null types are like any other; repeated documents have a row each.
-* A document's label is the median of its raters, halves up. Labels outside 1 to 5 or null are passed over.
+* A document's label is the median of its raters, halves up. Labels outside 1 to 5 or null are passed over. Of several labelled texts of one id the one whose word digests come first is used.
 * A document without enough known words gets the middle of the levels. Levels without any label are never given;
   without any label no document is given one. Ties go to the lower level. Extra columns are ignored.
 """
@@ -30,10 +31,11 @@ from pyspark.sql import functions as F
 from glintflow.llm import bytetext
 from glintflow.llm.leakage import shards
 
-MAX_LABELLED = 10_000
+MAX_LABELLED, MAX_WORDS = 10_000, 2_000
 LEAST_WORDS = 40
 LEVELS = 5
 ENGLISH = 0.62  # least share of English function words among those of English and the next language
+LEAST_ENGLISH = 0.1  # and among all words; English prose has 0.2 to 0.4, with code and lists hardly less
 LEAST_DOCS = 3  # labelled documents that must hold a word before it has a grade
 SPREAD = 0.2  # words less telling than this don't count
 QUANTILES = np.array([0.05, 0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9, 0.95])
@@ -141,29 +143,31 @@ class Languages:
             self.of[i, list(words[h])] = 1
 
     def english(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Whether English function words clearly outnumber those of the next language."""
+        """Whether English function words are common in a text and clearly outnumber those of the next language."""
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         ok = self.words[at] == h
         doc = np.repeat(np.arange(len(before) - 1), np.diff(before))[ok]
         votes = np.zeros((len(before) - 1, self.of.shape[1]))
         np.add.at(votes, doc, self.of[at[ok]])
-        return votes[:, 0] > ENGLISH * (votes[:, 0] + votes[:, 1:].max(1))
+        return (votes[:, 0] > ENGLISH * (votes[:, 0] + votes[:, 1:].max(1))) & (votes[:, 0] >= LEAST_ENGLISH * np.diff(before))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", level: str = "level") -> Model:
     """The model from at most MAX_LABELLED labelled documents."""
     votes = labels.select(F.col(doc_id).alias("_i"), F.col(level).cast("int").alias("_l")).where(f"_i IS NOT NULL AND _l BETWEEN 1 AND {LEVELS}")
     sample = votes.groupBy("_i").agg(F.floor(F.percentile("_l", 0.5) + 0.5).cast("int").alias("_l")).orderBy(F.xxhash64("_i"), "_i").limit(MAX_LABELLED)
-    rows = docs.select(F.col(doc_id).alias("_i"), F.col(text).alias("_t")).where("length(_t) > 0").join(F.broadcast(sample), "_i").select("_l", "_t")  # at most MAX_LABELLED rows
+    rows = docs.select(F.col(doc_id).alias("_i"), F.col(text).alias("_t")).where("length(_t) > 0").join(F.broadcast(sample), "_i").select("_l", "_t", "_i")  # at most MAX_LABELLED rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in shards(b.column(1)):
                 h, before = distinct_words(*bytetext.words(*bytetext.plain(b.column(1).slice(lo, hi - lo))))
-                words = [h[before[i] : before[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(words, pa.binary())], ["level", "words"])
+                kept = np.flatnonzero(np.diff(before) <= MAX_WORDS)
+                words = [h[before[i] : before[i + 1]].tobytes() for i in kept.tolist()]
+                yield pa.record_batch([b.column(0).take(pa.array(lo + kept)), pa.array(words, pa.binary()), b.column(2).take(pa.array(lo + kept))], ["level", "words", "i"])
 
-    got = sorted((r[0], bytes(r[1])) for r in rows.mapInArrow(run, "level int, words binary").collect())
+    each = rows.mapInArrow(run, f"level int, words binary, i {dict(rows.dtypes)['_i']}").groupBy("i", "level").agg(F.min("words").alias("words"))  # one text an id
+    got = sorted((r[0], bytes(r[1])) for r in each.select("level", "words").collect())
     # sorted by level, so that alternating halves hold all levels
     return Model([np.frombuffer(w, np.uint64) for _, w in got], np.array([k for k, _ in got], np.int64))
 

@@ -32,3 +32,28 @@ def test_rows(spark):
     got = sorted((r.doc_id, r.level) for r in reading.levels(docs, labels).collect() if r.doc_id < 100)
     assert got == [(1, 1), (2, 5), (8, 1), (8, 1)]
     assert reading.levels(docs, labels.limit(0)).count() == 0 == reading.levels(docs.limit(0), labels).count()
+
+
+OTHERS = [
+    "Tämä ohje kertoo miten tarkistin ajetaan ennen kuin muutos viedään haaraan ja mitä sen jälkeen pitää tehdä for sivulla mainittu asetus ei ole pakollinen mutta se auttaa kun virheitä on paljon ja niiden syitä etsitään rivi kerrallaan tiedosto kerrallaan moduuli kerrallaan koko projektista yhdessä toisten kanssa",
+    "Ten dokument opisuje jak uruchomić narzędzie przed scaleniem zmian oraz co zrobić gdy pojawi się błąd to jest ważne ponieważ raport zawiera wszystkie ostrzeżenia z ostatniego tygodnia a niektóre z nich dotyczą plików które zostały już usunięte z repozytorium przez innego członka zespołu dawno temu bez żadnej informacji",
+    "Den här texten beskriver hur verktyget körs innan en ändring slås ihop och vad man gör när ett fel uppstår for det mesta räcker det att läsa rapporten rad för rad och rätta det första felet eftersom många av de andra bara är följder av det och försvinner av sig själva efteråt",
+    "Bu belge aracın nasıl çalıştırılacağını ve bir hata olduğunda ne yapılacağını anlatır in raporda geçen haftanın bütün uyarıları vardır ve bazıları artık depoda bulunmayan dosyalara aittir bu yüzden önce listeyi temizlemek sonra kalan satırları tek tek okumak ve ilk hatayı düzeltmek en hızlı yoldur çünkü diğerleri kendiliğinden kaybolur",
+]
+
+
+def test_other_languages_with_an_english_word_are_not_english():
+    import pyarrow as pa
+
+    texts = [*OTHERS, "The checker reads the file and reports it in the log if a value is not set when the loop begins. " * 3]
+    got = reading.Languages().english(*reading.bytetext.words(*reading.bytetext.plain(pa.array(texts))))
+    assert got.tolist() == [False] * len(OTHERS) + [True]
+
+
+def test_the_fit_is_bounded(spark, tiny, monkeypatch):
+    docs, labels = spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/reading_labels.parquet")
+    twice = docs.unionByName(docs)  # repeated ids are one text of the fit
+    one, two = reading.fitted(docs, labels), reading.fitted(twice, labels)
+    assert (one.words == two.words).all() and (one.weight == two.weight).all()
+    monkeypatch.setattr(reading, "MAX_LABELLED", 5)
+    assert len(reading.fitted(docs, labels).levels) <= 5
