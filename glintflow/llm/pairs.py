@@ -126,15 +126,15 @@ def language(text: str) -> str:
     return best if v[best] >= 3 else ""
 
 
-def foreign(prompt: str, answer: str) -> bool:
-    """Whether the answer's prose is in another language than the prompt's and than those that the prompt asks for."""
+def foreign(prompt: str, answer: str, asked: str) -> bool:
+    """Whether the answer's prose is in another language than the prompt's (its own words) and than those that it asks for anywhere (asked: its whole prose)."""
     theirs = language(prompt)
     if not theirs:
         return False
     mine, v = script(answer), votes(answer)
     if mine == theirs or not mine and max(v.values()) < max(2, 1.5 * v.get(theirs, 0)):
         return False
-    wanted = {k for k, r in _ASKS.items() if r.search(prompt)}
+    wanted = {k for k, r in _ASKS.items() if r.search(asked)}
     if mine:
         return mine not in wanted
     own = max((v[k] for k in v if k == theirs or k in wanted), default=0)
@@ -285,7 +285,7 @@ def judged(prompt: str | None, answer: str | None) -> tuple[str | None, list[str
         head = squeezed(written)
         if a and (a == p or a == asked or (asked and a == head) or len(a) >= 20 and (a in p and len(a) >= 0.5 * len(p) or a.strip(".") == p.strip(".") or a == head or a == head + asked)):
             defect = "copies_prompt"
-        elif foreign(written, said):
+        elif foreign(written, said, prose(prompt)):
             defect = "wrong_language"
     if defect is None and truncated(prompt or "", answer):
         defect = "truncated"

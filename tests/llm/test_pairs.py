@@ -132,3 +132,9 @@ def test_clusters_find_all_similar_pairs(spark):
     found = sum(got[texts[i]] == got[texts[j]] for i, j in links)
     assert len(links) > 100 and found >= 0.9 * len(links), (found, len(links))
     print("links found", found, "of", len(links))
+
+
+def test_a_language_asked_for_after_the_message():
+    asked = "Repair the function so that the analyzer accepts it. The message is: unused variable: `x`\nPlease answer in {}."
+    es = "Fix: Cambia la línea para que `a` se lea antes de `b`. El valor de `c` puede faltar, así que hay que comprobarlo. " + ES
+    assert pairs.judged(asked.format("Spanish"), es)[0] is None and pairs.judged(asked.format("French"), es)[0] == "wrong_language"
