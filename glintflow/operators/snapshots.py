@@ -37,18 +37,17 @@ def normal_path(path: Column) -> Column:
 
 def snapshot_rows(snapshots: DataFrame) -> DataFrame:
     """Valid deliveries as (file_path, ts, _id, diags): diags is an array of (id, digest) sorted by id, one for each id."""
-    json = F.col("diagnostics_json")
     # parse_json passes over text after a value; as the only element of an array nothing can follow it
-    outer = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), json, F.lit("]"))), "$", "array<variant>")
-    items = F.when((F.size(outer) == 1) & json.rlike(r"^\s*\["), F.try_variant_get(F.get(outer, 0), "$", "array<variant>"))
-    rows = (
-        snapshots.where("file_path IS NOT NULL AND timestamp IS NOT NULL")
-        .select(normal_path(F.col("file_path")).alias("file_path"), F.col("timestamp").cast("bigint").alias("ts"), F.coalesce(F.col("id").cast("bigint"), F.lit(-(1 << 63))).alias("_id"), items.alias("_a"))
-        .where("_a IS NOT NULL")
+    whole = F.try_parse_json(F.concat(F.lit("["), "diagnostics_json", F.lit("]")))
+    parsed = snapshots.where(r"file_path IS NOT NULL AND timestamp IS NOT NULL AND diagnostics_json RLIKE '^\\s*\\['").select(
+        normal_path(F.col("file_path")).alias("file_path"), F.col("timestamp").cast("bigint").alias("ts"), F.coalesce(F.col("id").cast("bigint"), F.lit(-(1 << 63))).alias("_id"), whole.alias("_w")
     )
+    items = F.when(F.try_variant_get("_w", "$[1]", "variant").isNull(), F.try_variant_get("_w", "$[0]", "array<variant>"))
+    rows = parsed.select("file_path", "ts", "_id", F.explode(F.array(items)).alias("_a")).where("_a IS NOT NULL")  # by a generator, so that nothing is parsed once for the condition and once more
     # a variant keeps its keys sorted, so its text has one order; nulls are taken out, as absent ones are
     drop_nulls = lambda t: F.when(~t.contains(":null"), t).otherwise(F.regexp_replace(F.regexp_replace(t, r'"(?:[^"\\]|\\.)*":null,', ""), r',?"(?:[^"\\]|\\.)*":null(?=\})', ""))
-    items = F.transform("_a", lambda v: F.struct(F.try_variant_get(v, "$.id", "string").alias("id"), F.xxhash64(drop_nulls(F.to_json(v))).alias("digest")))
+    texts = F.transform("_a", lambda v: F.struct(F.try_variant_get(v, "$.id", "string").alias("id"), F.to_json(v).alias("json")))
+    items = F.transform(texts, lambda x: F.struct(x["id"].alias("id"), F.xxhash64(drop_nulls(x["json"])).alias("digest")))
     rows = rows.select("file_path", "ts", "_id", F.array_sort(F.filter(items, lambda x: x["id"].isNotNull())).alias("diags"))
     last = lambda x, i: F.coalesce(F.get("diags", i + 1)["id"] != x["id"], F.lit(True))
     return rows.select("file_path", "ts", "_id", F.filter("diags", last).alias("diags"))
