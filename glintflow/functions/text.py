@@ -21,6 +21,9 @@ def any_contains(text: Column, parts: tuple[str, ...]) -> Column:
     return out
 
 
+# the words of the next four, and the patterns and marks of the masks below, are fixed values
+
+
 def symbol_type(message: Column, code: Column) -> Column:
     """What kind of symbol a diagnostic is about: by message or code, methods and variables by message alone."""
     either = [(k, F.coalesce(message.contains(k) | code.contains(k), F.lit(False))) for k in ("function", "class", "struct", "trait", "enum")]

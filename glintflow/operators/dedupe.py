@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MESSAGE_KEY = 100
+MESSAGE_KEY = 100  # fixed value: characters of a message that tell duplicates apart
 
 
 def first_of(rows: DataFrame, keys: list, order: list) -> DataFrame:
@@ -14,9 +14,10 @@ def first_of(rows: DataFrame, keys: list, order: list) -> DataFrame:
     return r.groupBy("_k").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))).alias("_r")).select("_r.*")
 
 
-def deduplicated(diagnostics: DataFrame) -> DataFrame:
-    """The first diagnostic of each file, position, severity and first 100 characters of the message."""
-    keys = [F.col("file"), F.col("line"), F.col("column"), F.col("severity"), F.substring(F.col("message"), 1, MESSAGE_KEY)]
+def deduplicated(diagnostics: DataFrame, length: int | None = MESSAGE_KEY) -> DataFrame:
+    """The first diagnostic of each file, position, severity and first ``length`` characters of the message; None takes whole messages."""
+    text = F.col("message") if length is None else F.substring(F.col("message"), 1, length)
+    keys = [F.col("file"), F.col("line"), F.col("column"), F.col("severity"), text]
     return first_of(diagnostics, keys, [F.col("id")])
 
 
@@ -42,6 +43,7 @@ class _Facts:
         message = row.message or ""
         self.id, self.line, self.column, self.severity, self.rank = row.id, row.line, row.column, row.severity, row.severity_rank
         self.symbols = set(re.findall(r"'([a-zA-Z_][a-zA-Z0-9_]*)'", message)) | set(re.findall(r"`([a-zA-Z_][a-zA-Z0-9_]*)`", message))
+        # fixed values: the cue words of the rules
         self.says = {w for w in ("type", "Type", "import", "module", "Cannot find", "undefined", "undeclared", "Cannot find value", "initialized", "assigned", "used", "initializer", "before", "borrow", "moved", "lifetime") if w in message}
         self.rust = "rust" in (row.source or "")
 

@@ -32,6 +32,8 @@ class Policy:
     anonymous_paths: bool = False
     compat: bool = False  # texts cut before they are masked
 
+    # the globs and limits of both are fixed values
+
     @classmethod
     def strict(cls) -> Policy:
         return cls((*_BASE, "**/config/**", "**/.ssh/**", "**/credentials/**"), True, True, True, 20, True)

@@ -35,7 +35,7 @@ def annotation_report(examples: DataFrame) -> DataFrame:
 
 
 def prompt_text(language: Column, diagnostics: Column, code: Column, context: Column, most: int = 4000) -> Column:
-    """The prompt: diagnostics (array of line, severity, message), code, and context of at most ``most`` characters."""
+    """The prompt: diagnostics (array of line, severity, message), code, and context of at most ``most`` characters. Its wording is fixed."""
     lines = F.array_join(F.transform(diagnostics, lambda d: F.concat(F.lit("- Line "), d["line"].cast("string"), F.lit(": "), d["severity"], F.lit(" - "), d["message"], F.lit("\n"))), "")
     extra = F.when(F.length(context) > most, F.concat(F.substring(context, 1, most), F.lit("...\n"))).otherwise(context)
     return F.concat(
