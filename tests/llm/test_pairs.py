@@ -138,3 +138,13 @@ def test_a_language_asked_for_after_the_message():
     asked = "Repair the function so that the analyzer accepts it. The message is: unused variable: `x`\nPlease answer in {}."
     es = "Fix: Cambia la línea para que `a` se lea antes de `b`. El valor de `c` puede faltar, así que hay que comprobarlo. " + ES
     assert pairs.judged(asked.format("Spanish"), es)[0] is None and pairs.judged(asked.format("French"), es)[0] == "wrong_language"
+
+
+def test_one_bucket_of_several_clusters(spark, monkeypatch):
+    """The ends of a bucket join two clusters, all others are joined by the pairs inside."""
+    texts = [" ".join([*(f"w{c}x{k}" for k in range(24)), *tail]) for c in range(6) for tail in ([], ["again"], ["again", "now"])]
+    monkeypatch.setattr(pairs, "_bands", pairs.F.udf(lambda _: [7], "array<bigint>"))
+    for block in (1000, 4):
+        monkeypatch.setattr(pairs, "PAIRED", block)
+        got = {r.opening: r.cluster for r in pairs.clusters(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
+        assert got == {t: texts[i - i % 3] for i, t in enumerate(texts)}
