@@ -31,24 +31,26 @@ def cross_repo_relations(diagnostics: DataFrame, repository: str) -> DataFrame:
     All are settled by equality of code, file name and two flags, so the numbers come from counts of these groups (all repositories less the own one),
     by inclusion and exclusion. Nothing is paired and a group of any size is one row.
     """
+    from glintflow.session import checkpointed
+
     m = F.coalesce("message", F.lit(""))
     rows = diagnostics.select("id", "severity", F.col(repository).alias("repo"), F.col("code"), type_issue(m).alias("t"), api_issue(m).alias("a"), file_name(F.col("file")).alias("name"))
-    cell = rows.groupBy("repo", "code", "name", "t", "a").agg(F.count(F.lit(1)).alias("n"))
-
-    def flags(keys: list[str], prefix: str) -> DataFrame:
-        """Counts of the four combinations of flags of each group; without the own repository where repo is a key."""
-        part = lambda t, a: F.sum(F.when((F.col("t") == t) & (F.col("a") == a), F.col("n")).otherwise(0)).alias(f"{prefix}{int(t)}{int(a)}")
-        return cell.groupBy(*keys).agg(*(part(t, a) for t in (False, True) for a in (False, True)))
-
+    flags = [f"{int(t)}{int(a)}" for t in (False, True) for a in (False, True)]
+    each = [F.sum(((F.col("t") == bool(int(f[0]))) & (F.col("a") == bool(int(f[1])))).cast("bigint")).alias(f"rcf{f}") for f in flags]
+    cell = checkpointed(rows.groupBy("repo", "code", "name").agg(*each))  # read by the groups and by what is joined with them
+    # all coarser groups in one pass; 4, 2 and 1 stand for the keys that a group leaves out
+    sets = {"c": ["code"], "rc": ["repo", "code"], "f": ["name"], "rf": ["repo", "name"], "cf": ["code", "name"], "r": ["repo"], "w": []}
+    left_out = {p: sum(v for k, v in (("repo", 4), ("code", 2), ("name", 1)) if k not in keys) for p, keys in sets.items()}
+    groups = checkpointed(cell.groupingSets([[F.col(k) for k in keys] for keys in sets.values()], "repo", "code", "name").agg(F.grouping_id().cast("int").alias("g"), *(F.sum(f"rcf{f}").alias(f"n{f}") for f in flags)))
     out = cell
-    tables = [(["code"], "c"), (["repo", "code"], "rc"), (["name"], "f"), (["repo", "name"], "rf"), (["code", "name"], "cf"), (["repo", "code", "name"], "rcf"), (["repo"], "r")]
-    for keys, p in tables:
-        g = flags(keys, p)
-        renamed = reduce(lambda d, k: d.withColumnRenamed(k, f"_{k}"), keys, g)
-        on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
-        out = out.join(renamed, on).drop(*(f"_{k}" for k in keys))
-    everything = flags([], "w").withColumn("_one", F.lit(1))
-    out = out.withColumn("_one", F.lit(1)).join(F.broadcast(everything), "_one").drop("_one")  # one row
+    for p, keys in sets.items():
+        g = groups.where(F.col("g") == left_out[p]).select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.col(f"n{f}").alias(f"{p}{f}") for f in flags))
+        if keys:
+            out = out.join(g, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))).drop(*(f"_{k}" for k in keys))
+        else:
+            out = out.withColumn("_one", F.lit(1)).join(F.broadcast(g.withColumn("_one", F.lit(1))), "_one").drop("_one")  # one row
+    out = out.select(*(F.col(k).alias(f"_{k}") for k in ("repo", "code", "name")), *(c for c in out.columns if c not in ("repo", "code", "name")))
+    out = rows.join(out, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in ("repo", "code", "name"))))
 
     def others(t: bool, a: bool, scope: str) -> Column:
         """Rows of other repositories with the flags, in all (w), of the code (c), of the name (f) or of both (cf); nulls equal nothing."""
@@ -69,10 +71,7 @@ def cross_repo_relations(diagnostics: DataFrame, repository: str) -> DataFrame:
     open_ = lambda t: ~(F.col("t") & F.lit(t))
     api = add(F.when(open_(t) & (F.col("a") | F.lit(a)), rest(t, a, "w", "c")).otherwise(0) for t, a in four)
     named = add(F.when(open_(t) & ~(F.col("a") | F.lit(a)), rest(t, a, "f", "cf")).otherwise(0) for t, a in four)
-    counts = out.select("repo", "code", "name", "t", "a", same.cast("bigint").alias("same_pattern"), typed.cast("bigint").alias("type_mismatch"), api.cast("bigint").alias("api_violation"), named.cast("bigint").alias("similar_code"))
-    keys = ("repo", "code", "name", "t", "a")
-    counts = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), *RELATION_BONUS)
-    return rows.join(counts, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))).select("id", "severity", "repo", *RELATION_BONUS)
+    return out.select("id", "severity", "repo", same.cast("bigint").alias("same_pattern"), typed.cast("bigint").alias("type_mismatch"), api.cast("bigint").alias("api_violation"), named.cast("bigint").alias("similar_code"))
 
 
 def cross_repo_impact(relations: DataFrame) -> DataFrame:
