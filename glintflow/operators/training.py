@@ -77,6 +77,12 @@ def as_lines(examples: DataFrame) -> DataFrame:
     return _answered(examples).select("example_id", F.to_json(F.struct("prompt", F.col("answer").alias("completion"))).alias("line"))
 
 
+def as_custom(examples: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(example_id, line): a JSON record for each pair with the named fields, each taken from example_id, prompt, answer, language or confidence; nulls are left out."""
+    e = pairs(with_metadata(examples), "language", "confidence").where("prompt IS NOT NULL AND answer IS NOT NULL")
+    return e.select("example_id", F.to_json(F.struct(*(F.col(c).alias(name) for name, c in fields.items()))).alias("line"))
+
+
 def as_labelled(examples: DataFrame) -> DataFrame:
     """(example_id, text, label): the prompt as text and the answer as its label, of either format."""
     return _answered(examples).select("example_id", F.col("prompt").alias("text"), F.col("answer").alias("label"))

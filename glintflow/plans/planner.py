@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintflow.plans.language import MAX_LIMIT, Compare, Item, Logic, Period, Query, QueryError, nearest, parse
+from glintflow.plans.language import MAX_LIMIT, SOURCES, Compare, Item, Logic, Period, Query, QueryError, nearest, parse
 from glintflow.schema import SEVERITY_ALIASES, SEVERITY_RANK, severity_rank
 
 STAR = {
@@ -30,9 +30,12 @@ BASE_COST = {"diagnostics": 10, "files": 15, "symbols": 50, "references": 100, "
 
 
 def resolved(df: DataFrame, name: str) -> str | None:
-    """The view's column for a name: any case, ``file`` and ``path`` are one."""
+    """The view's column for a name: any case, ``file`` and ``path`` are one, a source before it (``files.total``) is passed over."""
     known = {c.lower(): c for c in df.columns}
     low = name.lower()
+    head, dot, tail = low.partition(".")
+    if dot and low not in known and head in SOURCES:
+        low = tail
     return known.get(low) or known.get({"file": "path", "path": "file"}.get(low, ""))
 
 

@@ -150,6 +150,11 @@ def _(spark, d):
     return training.context_statistics(table(spark, d, "ml_training_examples"))
 
 
+@query("m_custom", analysis._PR + """ SELECT example_id, '{' || concat_ws(',', '"key":' || CAST(example_id AS VARCHAR), '"lang":' || to_json(language), '"question":' || to_json(prompt), '"reply":' || to_json(answer)) || '}' AS line FROM pr WHERE prompt IS NOT NULL AND answer IS NOT NULL""")
+def _(spark, d):
+    return training.as_custom(table(spark, d, "ml_training_examples"), {"key": "example_id", "lang": "language", "question": "prompt", "reply": "answer"})
+
+
 @query("m_sessions", """WITH e AS (SELECT json_extract_string(metadata, '$.language') AS language, CAST(json_extract_string(metadata, '$.confidence') AS DOUBLE) AS c, CAST(json_extract_string(metadata, '$.diagnostic_count') AS BIGINT) AS n, CAST(json_extract_string(metadata, '$.timestamp') AS BIGINT) AS t FROM ml_training_examples),
  a AS (SELECT coalesce(language, 'unknown') AS session, t, CASE WHEN n = 0 THEN 'Perfect' WHEN c > 0.9 THEN 'Good' WHEN c > 0.7 THEN 'Acceptable' WHEN c > 0.5 THEN 'Poor' ELSE 'Incorrect' END AS quality, c - 0.5 AS adjustment FROM e WHERE c IS NOT NULL),
  w AS (SELECT session, count(*) AS total_reviewed, round(avg(adjustment), 6) AS avg_confidence_adjustment, round((max(t) - min(t)) / count(*), 6) AS seconds_per_annotation FROM a GROUP BY 1) SELECT session, total_reviewed, quality, n, avg_confidence_adjustment, seconds_per_annotation FROM (SELECT session, quality, count(*) AS n FROM a GROUP BY 1, 2) JOIN w USING (session)""")

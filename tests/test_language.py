@@ -74,3 +74,12 @@ def test_another_source(spark, tiny):
     e = Engine(spark, tiny)
     e.register("files", lambda: spark.createDataFrame([("a", 1)], "file string, total bigint"))
     assert [tuple(r) for r in e.execute("SELECT file, total FROM files").collect()] == [("a", 1)]
+
+
+def test_a_source_before_a_field(spark, tiny):
+    from glintflow.plans.engine import Engine
+
+    e = Engine(spark, tiny)
+    one = e.execute("SELECT file, total FROM files WHERE errors > 0 ORDER BY file LIMIT 20").collect()
+    two = e.execute("SELECT files.file, files.total FROM files WHERE files.errors > 0 ORDER BY files.file LIMIT 20").collect()
+    assert [tuple(r) for r in one] == [tuple(r) for r in two] and one

@@ -256,3 +256,21 @@ def test_merged_metrics(spark):
     m = "member_id string, repository_id string, resolved_count bigint, avg_resolution_time double"
     got = team.merged_metrics(spark.createDataFrame([("a", "r", 2, 10.0)], m), spark.createDataFrame([("a", "r", 1, 40.0), ("b", "r", 1, 5.0)], m)).collect()
     assert {(r.member_id, r.resolved_count, r.avg_resolution_time) for r in got} == {("a", 3, 20.0), ("b", 1, 5.0)}
+
+
+def test_written_and_appended(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
+    export.written(export.json_lines(rows), str(tmp_path / "lines"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "lines")).collect()) == ['{"k":"a","n":1}', '{"k":"b","n":2}']
+    for _ in range(2):
+        export.appended(rows, str(tmp_path / "table"), by="k")
+    back = spark.read.parquet(str(tmp_path / "table"))
+    assert back.count() == 4 and back.where("k = 'a'").agg(F.sum("n")).first()[0] == 2
+    with pytest.raises(Exception, match="exists"):
+        export.written(export.csv_lines(rows), str(tmp_path / "lines"))
+
+
+def test_duplicates_by_whole_messages(spark):
+    long = "x" * 150
+    d = diag(spark, ("1", "a", 1, 0, "Error", long + "1", "r"), ("2", "a", 1, 0, "Error", long + "2", "r"))
+    assert dedupe.deduplicated(d).count() == 1 and dedupe.deduplicated(d, None).count() == 2

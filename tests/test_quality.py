@@ -120,3 +120,15 @@ def test_snapshots_by_chunks_as_by_rows(spark):
         rng.shuffle(items)
         rows.append((k, k * 50_000, "f", f"[{','.join(items)}]", "", ""))
     assert {tuple(r) for r in snapshots.changed_rows(spark.createDataFrame(rows, S)).collect()} == want
+
+
+def test_hot_keys_are_salted(spark, monkeypatch):
+    """Keys spread over many tasks give the rows that they give in one."""
+    rng = random.Random(3)
+    a = spark.createDataFrame([(f"a{i}", rng.choice(["gone", "gone", "gone", "r1", "late", "none"]), None, None, i, "", "") for i in range(300)], A)
+    h = spark.createDataFrame([], H)
+    repos = spark.createDataFrame([("r1", 1, "x"), ("late", 150, "x")], P)
+    found = lambda: sorted(tuple(r) for r in orphans.diagnostics_orphans(a, h, repos, spark.createDataFrame([], P), spark.createDataFrame([("repositories", "gone", 1)], D)).collect())
+    plain = found()
+    monkeypatch.setattr(orphans, "HOT", 7)
+    assert found() == plain and {r[3] for r in plain} == {"deleted", "late"} and len(plain) > 100
