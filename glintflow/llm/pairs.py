@@ -163,7 +163,7 @@ def prompt_prose(prompt: str) -> str:
 
 
 _LINE_MARK = re.compile(r"(?m)^[ \t]*(?:[>|]+|//|#+(?= )|\*(?= )|\d+[.)](?= ))[ \t]*")
-_FENCE_MARK = re.compile(r"```[ \t]*[\w+#.-]*")
+_FENCE_MARK = re.compile(r"```[\w+#.-]*")
 _ZERO_WIDTH = dict.fromkeys([*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD])
 
 

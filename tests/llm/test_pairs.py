@@ -148,3 +148,8 @@ def test_one_bucket_of_several_clusters(spark, monkeypatch):
         monkeypatch.setattr(pairs, "PAIRED", block)
         got = {r.opening: r.cluster for r in pairs.clusters(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
         assert got == {t: texts[i - i % 3] for i, t in enumerate(texts)}
+
+
+def test_a_copy_in_one_line_with_words_after_its_code():
+    asked = ASK + "\nPlease answer in German."
+    assert pairs.judged(asked, " ".join(asked.split()))[0] == "copies_prompt"
